@@ -16,7 +16,7 @@ def format_size(size: Column) -> Column:
     """
     units = F.array(*[F.lit(u) for u in SIZE_UNITS])
     exp = F.least(
-        F.floor(F.log(F.lit(1024.0), F.greatest(size.cast("double"), F.lit(1.0)))),
+        F.floor(F.log(1024.0, F.greatest(size.cast("double"), F.lit(1.0)))),
         F.lit(len(SIZE_UNITS) - 1),
     ).cast("int")
     value = F.round(size / F.pow(F.lit(1024.0), exp), 1)
