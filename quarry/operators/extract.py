@@ -36,6 +36,8 @@ def assemble_documents(files: DataFrame, cap_bytes: int = CONTENT_CAP_BYTES) ->
     """
     if "error" in files.columns:
         files = files.filter(F.col("error").isNull())
+    if "content" not in files.columns:
+        files = files.withColumn("content", F.lit(None).cast("string"))
     ctype = files.schema["content"].dataType
     if isinstance(ctype, T.BinaryType):
         text = capped_binary_text(F.col("content"), cap_bytes)

@@ -59,17 +59,13 @@ def _leaf(boost: Column, idf: Column, tf: Column, dl: Column) -> Column:
     return boost * idf * idf * F.sqrt(tf.cast("double")) / F.sqrt(dl.cast("double"))
 
 
-def _with_children(tbl: DataFrame, prepared: DataFrame) -> DataFrame:
-    return tbl.join(F.broadcast(prepared.select("query_id", "n_children")), "query_id")
-
-
 def term_leaves(cq: CompiledQueries, index: IndexTables, n_queries: int, max_rows: int) -> DataFrame:
     """Leaves of the single-term clauses with their document frequency.
 
     Columns: query_id, n_children, c, t, s, n_subs, n_terms, field, tb, lterm,
     boost, n_leaves, df.
     """
-    g = _with_children(cq.groups, cq.prepared)
+    g = cq.groups
     keys = ["query_id", "n_children", "c", "t", "s", "n_subs", "n_terms", "field", "boost"]
     analysed = g.filter((F.col("kind") == "match") & (F.col("field") != "path")).select(
         *keys,
@@ -174,7 +170,7 @@ def phrase_child_scores(cq: CompiledQueries, index: IndexTables, n_queries: int,
     sets intersected with ``array_intersect``; a document holds at most the
     capped content, so the group is bounded.
     """
-    ph = _with_children(cq.phrases, cq.prepared)
+    ph = cq.phrases
     toks = ph.select(
         "query_id",
         "n_children",

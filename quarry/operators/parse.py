@@ -141,34 +141,22 @@ def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> Compil
 
     quoted = prepared.select(
         "query_id",
+        "n_children",
+        "q",
         F.posexplode("phrases").alias("c", "phrase"),
     ).select(
         "query_id",
+        "n_children",
         F.col("c").cast("int").alias("c"),
-        (F.col("phrase") if phrase_mode == "per_phrase" else F.lit(None).cast("string")).alias("ptext"),
-    )
-    quoted = (
-        quoted.join(prepared.select("query_id", "q"), "query_id")
-        .select(
-            "query_id",
-            "c",
-            F.coalesce(F.col("ptext"), F.col("q")).alias("text"),
-            F.lit(BOOST_QUOTED_PHRASE).alias("boost"),
-        )
-    )
-    implied = prepared.filter(F.col("n_terms") > 1).select(
-        "query_id",
-        F.col("n_phr").alias("c"),
-        F.array_join("terms", " ").alias("text_words"),
-        "remaining",
-        "q",
-        "n_phr",
+        (F.col("phrase") if phrase_mode == "per_phrase" else F.col("q")).alias("text"),
+        F.lit(BOOST_QUOTED_PHRASE).alias("boost"),
     )
     # The implied phrase runs on the remaining string itself (or the whole
     # query when nothing was parsed), not on the re-joined words.
-    implied = implied.select(
+    implied = prepared.filter(F.col("n_terms") > 1).select(
         "query_id",
-        "c",
+        "n_children",
+        F.col("n_phr").alias("c"),
         F.when((F.col("n_phr") == 0) & (F.col("remaining") == ""), F.col("q"))
         .otherwise(F.col("remaining"))
         .alias("text"),
@@ -178,12 +166,14 @@ def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> Compil
 
     single = prepared.filter(F.col("n_terms") == 1).select(
         "query_id",
+        "n_children",
         "n_phr",
         F.try_element_at("terms", F.lit(1)).alias("term"),
         F.posexplode(_subs_for(F.try_element_at("terms", F.lit(1)))).alias("s", "sub"),
     )
     single = single.select(
         "query_id",
+        "n_children",
         (F.col("n_phr") + F.col("s")).cast("int").alias("c"),
         F.lit(-1).alias("t"),
         F.lit(0).alias("s"),
@@ -195,10 +185,11 @@ def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> Compil
         F.lit(0).alias("n_terms"),
     )
     multi = prepared.filter(F.col("n_terms") > 1).select(
-        "query_id", "n_phr", "n_terms", F.posexplode("terms").alias("t", "term")
+        "query_id", "n_children", "n_phr", "n_terms", F.posexplode("terms").alias("t", "term")
     )
     multi = multi.select(
         "query_id",
+        "n_children",
         "n_phr",
         "n_terms",
         "t",
@@ -207,6 +198,7 @@ def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> Compil
         F.posexplode(_subs_for(F.col("term"))).alias("s", "sub"),
     ).select(
         "query_id",
+        "n_children",
         (F.col("n_phr") + 1).cast("int").alias("c"),
         F.col("t").cast("int").alias("t"),
         F.col("s").cast("int").alias("s"),
@@ -219,3 +211,13 @@ def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> Compil
     )
     groups = single.unionByName(multi)
     return CompiledQueries(prepared=prepared, phrases=phrases, groups=groups)
+
+
+def persist_compiled(cq: CompiledQueries) -> CompiledQueries:
+    """Keep the (small) clause tables once instead of re-deriving them at
+    every use in the plan; they are bounded by the query text."""
+    return CompiledQueries(
+        prepared=cq.prepared.persist(),
+        phrases=cq.phrases.persist(),
+        groups=cq.groups.persist(),
+    )

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from quarry.config import SearchConfig
 from quarry.functions.format import iso_utc
 from quarry.operators import match as M
 from quarry.operators import rank as R
-from quarry.operators.parse import compile_queries
+from quarry.operators.parse import compile_queries, persist_compiled
 from quarry.operators.snippet import snippet
 from quarry.operators.validate import validate_queries
 
@@ -34,14 +35,20 @@ class SearchResult:
     pages: DataFrame  # query_id, total_results, max_score, current_page, ...
     matches: DataFrame  # query_id, doc_id, score (all matches, unpaged)
     rejected: DataFrame  # query_id, query, error
+    cached: tuple = ()
+
+    def unpersist(self) -> None:
+        """Release the cached intermediate tables of this search."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def match_queries(queries: DataFrame, index: M.IndexTables, config: SearchConfig = SearchConfig()):
     """Validated queries -> (compiled, matches(query_id, doc_id, score, loc))."""
     checked = validate_queries(queries)
     valid = checked.filter(F.col("error").isNull()).drop("error")
-    n_queries = max(1, valid.count())
-    cq = compile_queries(valid, config.phrase_mode)
+    cq = persist_compiled(compile_queries(valid, config.phrase_mode))
+    n_queries = max(1, cq.prepared.count())
     leaves = M.term_leaves(cq, index, n_queries, config.broadcast_max_rows)
     n_leaves_bound = M.expansion_bound(cq, index, n_queries)
     children = M.term_child_scores(leaves, index, n_leaves_bound, config.broadcast_max_rows).unionByName(
@@ -53,7 +60,9 @@ def match_queries(queries: DataFrame, index: M.IndexTables, config: SearchConfig
 
 def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = SearchConfig()) -> SearchResult:
     checked, cq, matches, n_queries = match_queries(queries, index, config)
-    ranked = R.rank_matches(matches, config.score_digits)
+    # Hits and page details both read the ranked matches: keep them once
+    # (spread over executors, spilled to disk when large).
+    ranked = R.rank_matches(matches, config.score_digits).persist(StorageLevel.MEMORY_AND_DISK)
     tot = R.totals(ranked)
     pages = R.page_details(cq.prepared, tot)
     row = cq.prepared.agg(F.max(F.col("page") * F.col("per_page")).alias("m")).first()
@@ -78,4 +87,10 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
         snippet(F.col("content"), F.col("name"), F.col("loc.term"), config.snippet_context).alias("snippet"),
     )
     rejected = checked.filter(F.col("error").isNotNull()).select("query_id", "query", "error")
-    return SearchResult(hits=hits, pages=pages, matches=ranked.select("query_id", "doc_id", "score"), rejected=rejected)
+    return SearchResult(
+        hits=hits,
+        pages=pages,
+        matches=ranked.select("query_id", "doc_id", "score"),
+        rejected=rejected,
+        cached=(ranked, cq.prepared, cq.groups, cq.phrases),
+    )

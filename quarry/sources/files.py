@@ -29,7 +29,8 @@ from quarry.functions.paths import base_name
 TREE_SCHEMA = "path string, name string, is_dir boolean, size bigint, mod_time timestamp, error string"
 
 
-def scan_binary(spark: SparkSession, root: str) -> DataFrame:
+def scan_binary(spark: SparkSession, root: str, with_bytes: bool = False) -> DataFrame:
+    """Listing via ``binaryFile``; metadata only unless ``with_bytes``."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.col("path"), r"^file:(//)?", "")
     return raw.select(
@@ -38,7 +39,7 @@ def scan_binary(spark: SparkSession, root: str) -> DataFrame:
         F.lit(False).alias("is_dir"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("mod_time"),
-        F.col("content"),
+        *([F.col("content")] if with_bytes else []),
     )
 
 

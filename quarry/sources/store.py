@@ -44,6 +44,7 @@ from quarry.config import (
     PROGRESS_STEP_LISTED,
     IndexConfig,
 )
+from quarry.functions.paths import is_index_text
 from quarry.operators import listing as L
 from quarry.operators.analysis import build_postings, build_term_stats
 from quarry.operators.extract import assemble_documents
@@ -273,6 +274,13 @@ class IndexStore:
             self._ledger(run_id, PROGRESS_COMPLETE, 0, 0, 1)
             return {"run_id": run_id, "changed": 0, "deleted": 0, "n_docs": v.n_docs if v else 0, "published": False}
 
+        if "content" not in changed.columns:
+            # Two-phase scan: the listing was metadata only; read the capped
+            # bytes of the changed text files now (S8), errors isolated.
+            from quarry.sources.files import with_content
+
+            want = is_index_text(F.col("name")) & ~F.col("is_dir")
+            changed = with_content(changed, want, self.config.content_cap_bytes)
         new_docs = assemble_documents(changed, self.config.content_cap_bytes)
         removed = changed.select(F.col("path").alias("doc_id")).unionByName(
             deleted.select(F.col("path").alias("doc_id"))
