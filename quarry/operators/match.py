@@ -51,6 +51,49 @@ def bounded_broadcast(df: DataFrame, bound_rows: int, max_rows: int) -> DataFram
     return F.broadcast(df) if bound_rows <= max_rows else df
 
 
+def query_buckets(cq: CompiledQueries, index: IndexTables) -> dict[str, list[int]]:
+    """Storage buckets (per field) holding every term the batch can touch.
+
+    Exact tokens, path terms, phrase tokens and prefixes (a prefix shares the
+    bucket of its first three bytes with all its expansions).  The result has
+    at most ``3 * term_buckets`` small integers whatever the data size, so it
+    is collected and applied as a static partition filter: postings and term
+    statistics are read only in these buckets.
+    """
+    g = cq.groups
+    b = index.term_buckets
+    exact = g.filter((F.col("kind") == "match") & (F.col("field") != "path")).select(
+        "field", F.explode(analyzed_terms(F.col("term"))).alias("t")
+    )
+    other = g.filter((F.col("kind") == "prefix") | (F.col("field") == "path")).select("field", F.col("term").alias("t"))
+    phr = cq.phrases.select(F.lit("content").alias("field"), F.explode(analyzed_terms(F.col("text"))).alias("t"))
+    allt = exact.unionByName(other).unionByName(phr)
+    rows = allt.select("field", term_bucket(F.col("field"), F.col("t"), b).alias("tb")).distinct().collect()
+    out: dict[str, list[int]] = {}
+    for r in rows:
+        out.setdefault(r["field"], []).append(int(r["tb"]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def prune_buckets(df: DataFrame, buckets: dict[str, list[int]]) -> DataFrame:
+    """Filter a (field, tb)-partitioned table to the given buckets."""
+    cond = None
+    for f, tbs in sorted(buckets.items()):
+        c = (F.col("field") == F.lit(f)) & F.col("tb").isin(*tbs)
+        cond = c if cond is None else (cond | c)
+    return df.filter(cond if cond is not None else F.lit(False))
+
+
+def pruned_index(index: IndexTables, buckets: dict[str, list[int]]) -> IndexTables:
+    return IndexTables(
+        documents=index.documents,
+        postings=prune_buckets(index.postings, buckets),
+        term_stats=prune_buckets(index.term_stats, buckets),
+        n_docs=index.n_docs,
+        term_buckets=index.term_buckets,
+    )
+
+
 def _idf(df_col: Column, n_docs: int) -> Column:
     return F.lit(1.0) + F.log(F.lit(float(n_docs)) / (df_col.cast("double") + F.lit(1.0)))
 
@@ -218,16 +261,3 @@ def score_matches(children: DataFrame) -> DataFrame:
         (F.sum("cscore") * F.count(F.lit(1)) / F.col("n_children")).alias("score"),
         F.min("loc").alias("loc"),
     )
-
-
-def expansion_bound(cq: CompiledQueries, index: IndexTables, n_queries: int) -> int:
-    """Rows of exact leaves plus the actual number of prefix expansions."""
-    px = cq.groups.filter(F.col("kind") == "prefix").select(
-        "field",
-        utf8_prefix3(F.col("term")).alias("k3"),
-        term_bucket(F.col("field"), F.col("term"), index.term_buckets).alias("tb"),
-        F.col("term").alias("prefix"),
-    )
-    vocab = index.term_stats.select("field", "tb", "term", utf8_prefix3(F.col("term")).alias("k3"))
-    n = px.join(vocab, ["field", "tb", "k3"]).filter(F.col("term").startswith(F.col("prefix"))).count()
-    return n + n_queries * LEAVES_PER_QUERY_BOUND

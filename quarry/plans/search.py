@@ -49,17 +49,20 @@ def match_queries(queries: DataFrame, index: M.IndexTables, config: SearchConfig
     valid = checked.filter(F.col("error").isNull()).drop("error")
     cq = persist_compiled(compile_queries(valid, config.phrase_mode))
     n_queries = max(1, cq.prepared.count())
-    leaves = M.term_leaves(cq, index, n_queries, config.broadcast_max_rows)
-    n_leaves_bound = M.expansion_bound(cq, index, n_queries)
+    index = M.pruned_index(index, M.query_buckets(cq, index))
+    leaves = M.term_leaves(cq, index, n_queries, config.broadcast_max_rows).persist()
+    # Exact leaves are bounded by the query text; prefix expansions by the
+    # vocabulary, so count them before deciding to broadcast.
+    n_leaves_bound = leaves.count()
     children = M.term_child_scores(leaves, index, n_leaves_bound, config.broadcast_max_rows).unionByName(
         M.phrase_child_scores(cq, index, n_queries, config.broadcast_max_rows)
     )
     matches = M.score_matches(children)
-    return checked, cq, matches, n_queries
+    return checked, cq, matches, n_queries, leaves
 
 
 def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = SearchConfig()) -> SearchResult:
-    checked, cq, matches, n_queries = match_queries(queries, index, config)
+    checked, cq, matches, n_queries, leaves = match_queries(queries, index, config)
     # Hits and page details both read the ranked matches: keep them once
     # (spread over executors, spilled to disk when large).
     ranked = R.rank_matches(matches, config.score_digits).persist(StorageLevel.MEMORY_AND_DISK)
@@ -92,5 +95,5 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
         pages=pages,
         matches=ranked.select("query_id", "doc_id", "score"),
         rejected=rejected,
-        cached=(ranked, cq.prepared, cq.groups, cq.phrases),
+        cached=(ranked, cq.prepared, cq.groups, cq.phrases, leaves),
     )

@@ -25,6 +25,8 @@ def local_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.parquet.compression.codec", "zstd")
+        # Small broadcast hash tables otherwise reserve a whole 64 MiB page.
+        .config("spark.buffer.pageSize", "4m")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -28,6 +28,7 @@ pointer once.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -113,6 +114,7 @@ class _FS:
 
 class IndexStore:
     def __init__(self, spark: SparkSession, root: str, config: IndexConfig = IndexConfig()):
+        self.timings: dict[str, float] = {}
         self.spark = spark
         self.root = root.rstrip("/")
         self.config = config
@@ -212,7 +214,9 @@ class IndexStore:
         cfg = self.config
         base = self._p(f"segments/{seg}")
         docs_b = docs.withColumn("db", F.pmod(F.xxhash64("id"), F.lit(cfg.doc_buckets)).cast("int"))
+        t0 = time.time()
         docs_b.repartition("db").write.mode("overwrite").partitionBy("db").parquet(f"{base}/documents")
+        self.timings["seg_documents"] = time.time() - t0
         written = self.spark.read.schema(DOCUMENTS_B).parquet(f"{base}/documents").drop("db")
         post = build_postings(written, cfg.term_buckets)
         (
@@ -222,6 +226,7 @@ class IndexStore:
             .partitionBy("field", "tb")
             .parquet(f"{base}/postings")
         )
+        self.timings["seg_postings"] = time.time() - t0
         p_written = self.spark.read.schema(S.POSTINGS).parquet(f"{base}/postings")
         ts = build_term_stats(p_written)
         if ts_delta is not None:
@@ -233,6 +238,7 @@ class IndexStore:
             .partitionBy("field", "tb")
             .parquet(f"{base}/term_stats")
         )
+        self.timings["seg_term_stats"] = time.time() - t0
         tombstones.select("doc_id").distinct().write.mode("overwrite").parquet(f"{base}/tombstones")
 
     def _ledger(self, run_id: str, status: int, n_done: int, n_total: int, batch: int) -> None:
@@ -260,6 +266,8 @@ class IndexStore:
         """
         run_ts = run_ts or datetime.now(timezone.utc).replace(tzinfo=None)
         run_id = run_id or run_ts.strftime("run-%Y%m%dT%H%M%S%f")
+        self.timings = {}
+        t0 = time.time()
         v = self.current()
         manifest = self.manifest(v)
 
@@ -270,6 +278,7 @@ class IndexStore:
 
         n_changed = changed.select("path").count()
         n_deleted = deleted.count()
+        self.timings["detect"] = time.time() - t0
         if n_changed == 0 and n_deleted == 0:
             self._ledger(run_id, PROGRESS_COMPLETE, 0, 0, 1)
             return {"run_id": run_id, "changed": 0, "deleted": 0, "n_docs": v.n_docs if v else 0, "published": False}
@@ -299,7 +308,9 @@ class IndexStore:
             ).count()
         self._ledger(run_id, PROGRESS_STEP_CLEANED, 0, n_changed, 0)
 
+        self.timings["tombstone_stats"] = time.time() - t0
         self._write_segment(seg, new_docs, removed, ts_delta)
+        self.timings["segment"] = time.time() - t0
         n_added = self.spark.read.parquet(self._p(f"segments/{seg}/documents")).count()
 
         # S15 + S16: manifest drops deleted paths and stamps processed files.
@@ -324,6 +335,7 @@ class IndexStore:
         )
         self._publish(nv)
         self._ledger(run_id, PROGRESS_COMPLETE, n_added, n_changed, 1)
+        self.timings["published"] = time.time() - t0
         return {"run_id": run_id, "changed": n_changed, "deleted": n_deleted, "n_docs": n_docs, "published": True}
 
     def compact(self) -> Version | None:

@@ -19,6 +19,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "4g")
+        .config("spark.buffer.pageSize", "4m")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
