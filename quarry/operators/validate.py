@@ -24,6 +24,9 @@ ERR_EXCLUDES = "invalid exclude path(s)"
 ERR_EXCLUDE_IS_ROOT = "path to exclude cannot be the same as index path"
 ERR_EXCLUDE_OUTSIDE = "path to exclude must begin with the index path"
 
+# Requested paths up to this many are broadcast for the existence check.
+BROADCAST_WANTED_ROWS = 1_000_000
+
 
 def _first(*pairs: tuple[Column, str]) -> Column:
     out = None
@@ -56,11 +59,18 @@ def path_syntax_ok(p: Column) -> Column:
     return (p == "") | ((trim_ws(p) != "") & ~F.instr(p, "\x00").cast("boolean") & p.startswith("/"))
 
 
-def existing_paths(listing: DataFrame) -> DataFrame:
-    """Every file path and every folder above one, as ``path``."""
-    files = listing.select("path")
-    dirs = listing.select(F.explode(ancestor_dirs(F.col("path"))).alias("path"))
-    return files.unionByName(dirs).distinct()
+def existing_paths(listing: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Which of the ``wanted`` paths exist: a listed file or a folder above one.
+
+    Each file's own path and ancestor folders are produced per row and
+    semi-joined with the (small, broadcast) set of wanted paths before any
+    shuffle; the distinct then only sees matches.
+    """
+    cand = listing.select(F.explode(F.array_union(F.array(F.col("path")), ancestor_dirs(F.col("path")))).alias("path"))
+    w = wanted.select("path").distinct()
+    if w.count() <= BROADCAST_WANTED_ROWS:
+        w = F.broadcast(w)
+    return cand.join(w, "path", "left_semi").distinct()
 
 
 def parse_exclude_text(text: Column) -> Column:
@@ -74,8 +84,9 @@ def validate_index_requests(requests: DataFrame, listing: DataFrame) -> DataFram
     Existence is a semi-join against the listed files and their folders
     (exploded requests are small, the listing side is the big one).
     """
-    ex = existing_paths(listing)
     req = requests.withColumn("excludes", F.coalesce(F.col("excludes"), F.array().cast("array<string>")))
+    wanted = req.select("path").unionByName(req.select(F.explode("excludes").alias("path")))
+    ex = existing_paths(listing, wanted)
     root_ok = req.select("request_id", "path").join(ex.withColumn("root_exists", F.lit(True)), "path", "left")
     items = req.select("request_id", "path", F.posexplode("excludes").alias("i", "ex"))
     items = items.join(

@@ -1 +1,8 @@
-"""quarry.streaming."""
+"""quarry.streaming: intentionally empty.
+
+The indexed system has no streams: indexing is a request-driven batch over a
+file listing, and Spark's file stream source would not re-deliver a file that
+was modified in place, so change detection stays the batch manifest join
+(``quarry.operators.listing.changed_files``).  Search requests are answered
+as query tables by ``quarry.plans.search.search``.
+"""
