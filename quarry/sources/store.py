@@ -47,11 +47,22 @@ from quarry.config import (
 )
 from quarry.functions.paths import is_index_text
 from quarry.operators import listing as L
-from quarry.operators.analysis import build_postings, build_term_stats
+from quarry.functions.text import analyzed_terms
+from quarry.operators.analysis import build_postings, build_term_stats, term_bucket
 from quarry.operators.extract import assemble_documents
 from quarry.operators.match import IndexTables
 
-DOCUMENTS_B = T.StructType(S.DOCUMENTS.fields + [T.StructField("db", T.IntegerType(), True)])
+# Stored documents carry their distinct analysed terms (a forward index) so
+# that removing a document needs only its own row, not a postings scan.
+DOCUMENTS_B = T.StructType(
+    S.DOCUMENTS.fields
+    + [
+        T.StructField("content_terms", T.ArrayType(T.StringType()), True),
+        T.StructField("name_terms", T.ArrayType(T.StringType()), True),
+        T.StructField("db", T.IntegerType(), True),
+    ]
+)
+DOC_COLUMNS = [f.name for f in S.DOCUMENTS.fields]
 
 # Tombstone sets up to this many ids are broadcast in the read-side anti join.
 TOMBSTONE_BROADCAST_ROWS = 5_000_000
@@ -197,7 +208,7 @@ class IndexStore:
         v = self.current()
         tb = v.term_buckets if v else self.config.term_buckets
         return IndexTables(
-            documents=self.documents(v).drop("db"),
+            documents=self.documents(v).select(*DOC_COLUMNS),
             postings=self.postings(v),
             term_stats=self.term_stats(v),
             n_docs=v.n_docs if v else 0,
@@ -213,11 +224,16 @@ class IndexStore:
     def _write_segment(self, seg: str, docs: DataFrame, tombstones: DataFrame, ts_delta: DataFrame | None):
         cfg = self.config
         base = self._p(f"segments/{seg}")
-        docs_b = docs.withColumn("db", F.pmod(F.xxhash64("id"), F.lit(cfg.doc_buckets)).cast("int"))
+        docs_b = docs.select(*DOC_COLUMNS).select(
+            *DOC_COLUMNS,
+            F.array_distinct(analyzed_terms(F.coalesce(F.col("content"), F.lit("")))).alias("content_terms"),
+            F.array_distinct(analyzed_terms(F.col("name"))).alias("name_terms"),
+            self._db(F.col("id")).alias("db"),
+        )
         t0 = time.time()
         docs_b.repartition("db").write.mode("overwrite").partitionBy("db").parquet(f"{base}/documents")
         self.timings["seg_documents"] = time.time() - t0
-        written = self.spark.read.schema(DOCUMENTS_B).parquet(f"{base}/documents").drop("db")
+        written = self.spark.read.schema(DOCUMENTS_B).parquet(f"{base}/documents").select(*DOC_COLUMNS)
         post = build_postings(written, cfg.term_buckets)
         (
             post.repartitionByRange("field", "tb", "term", "doc_id")
@@ -241,6 +257,9 @@ class IndexStore:
         self.timings["seg_term_stats"] = time.time() - t0
         tombstones.select("doc_id").distinct().write.mode("overwrite").parquet(f"{base}/tombstones")
 
+    def _db(self, id_col):
+        return F.pmod(F.xxhash64(id_col), F.lit(self.config.doc_buckets)).cast("int")
+
     def _ledger(self, run_id: str, status: int, n_done: int, n_total: int, batch: int) -> None:
         row = [(run_id, batch, n_done, n_total, status, datetime.now(timezone.utc).replace(tzinfo=None))]
         self.spark.createDataFrame(row, S.RUN_LEDGER).coalesce(1).write.mode("append").parquet(self._p("ledger"))
@@ -297,19 +316,35 @@ class IndexStore:
         number = (v.number + 1) if v else 1
         seg = f"s{number:06d}"
         ts_delta = None
+        old = None
         n_removed_live = 0
         if v is not None and v.segments:
-            live_post = self.postings(v)
-            rm = F.broadcast(removed) if (n_changed + n_deleted) <= TOMBSTONE_BROADCAST_ROWS else removed
-            gone_post = live_post.join(rm, "doc_id", "left_semi")
-            ts_delta = gone_post.groupBy("field", "tb", "term").agg((-F.count(F.lit(1))).alias("df"))
-            n_removed_live = self.documents(v).select("id").join(
-                rm.withColumnRenamed("doc_id", "id"), "id", "left_semi"
-            ).count()
+            # Negative df deltas for the live versions of removed ids, from the
+            # removed documents' own term lists: only their id buckets are read.
+            dbs = sorted(
+                int(r[0])
+                for r in removed.select(self._db(F.col("doc_id"))).distinct().collect()
+            )
+            rm = removed.select(F.col("doc_id").alias("id"))
+            if (n_changed + n_deleted) <= TOMBSTONE_BROADCAST_ROWS:
+                rm = F.broadcast(rm)
+            old = self.documents(v).filter(F.col("db").isin(*dbs)).join(rm, "id", "left_semi")
+            old = old.select("id", "content_terms", "name_terms").persist()
+            n_removed_live = old.count()
+            gone_terms = (
+                old.select(F.lit("content").alias("field"), F.explode("content_terms").alias("term"))
+                .unionByName(old.select(F.lit("name").alias("field"), F.explode("name_terms").alias("term")))
+                .unionByName(old.select(F.lit("path").alias("field"), F.col("id").alias("term")))
+            )
+            ts_delta = gone_terms.groupBy("field", "term").agg((-F.count(F.lit(1))).alias("df")).select(
+                "field", term_bucket(F.col("field"), F.col("term"), v.term_buckets).alias("tb"), "term", "df"
+            )
         self._ledger(run_id, PROGRESS_STEP_CLEANED, 0, n_changed, 0)
 
         self.timings["tombstone_stats"] = time.time() - t0
         self._write_segment(seg, new_docs, removed, ts_delta)
+        if old is not None:
+            old.unpersist()
         self.timings["segment"] = time.time() - t0
         n_added = self.spark.read.parquet(self._p(f"segments/{seg}/documents")).count()
 
@@ -345,7 +380,7 @@ class IndexStore:
             return v
         number = v.number + 1
         seg = f"s{number:06d}"
-        docs = self.documents(v).drop("db")
+        docs = self.documents(v).select(*DOC_COLUMNS)
         empty = self.spark.createDataFrame([], "doc_id string")
         self._write_segment(seg, docs, empty, None)
         nv = Version(
