@@ -51,14 +51,15 @@ def bounded_broadcast(df: DataFrame, bound_rows: int, max_rows: int) -> DataFram
     return F.broadcast(df) if bound_rows <= max_rows else df
 
 
-def query_buckets(cq: CompiledQueries, index: IndexTables) -> dict[str, list[int]]:
-    """Storage buckets (per field) holding every term the batch can touch.
-
-    Exact tokens, path terms, phrase tokens and prefixes (a prefix shares the
-    bucket of its first three bytes with all its expansions).  The result has
-    at most ``3 * term_buckets`` small integers whatever the data size, so it
-    is collected and applied as a static partition filter: postings and term
-    statistics are read only in these buckets.
+def batch_facts(cq: CompiledQueries, index: IndexTables) -> tuple[int, int, dict[str, list[int]]]:
+    """One small job: (number of queries, deepest page end, buckets).
+
+    Buckets are the storage buckets (per field) of every term the batch can
+    touch: exact tokens, path terms, phrase tokens and prefixes (a prefix
+    shares the bucket of its first three bytes with all its expansions).
+    There are at most ``3 * term_buckets`` of them whatever the data size, so
+    they are collected and applied as a static partition filter: postings
+    and term statistics are read only in these buckets.
     """
     g = cq.groups
     b = index.term_buckets
@@ -68,11 +69,23 @@ def query_buckets(cq: CompiledQueries, index: IndexTables) -> dict[str, list[int
     other = g.filter((F.col("kind") == "prefix") | (F.col("field") == "path")).select("field", F.col("term").alias("t"))
     phr = cq.phrases.select(F.lit("content").alias("field"), F.explode(analyzed_terms(F.col("text"))).alias("t"))
     allt = exact.unionByName(other).unionByName(phr)
-    rows = allt.select("field", term_bucket(F.col("field"), F.col("t"), b).alias("tb")).distinct().collect()
-    out: dict[str, list[int]] = {}
-    for r in rows:
-        out.setdefault(r["field"], []).append(int(r["tb"]))
-    return {k: sorted(v) for k, v in out.items()}
+    buckets = allt.select(
+        F.col("field").alias("k"), term_bucket(F.col("field"), F.col("t"), b).cast("long").alias("v")
+    ).distinct()
+    stats = cq.prepared.agg(
+        F.lit("#n").alias("k"), F.count(F.lit(1)).cast("long").alias("v")
+    ).unionByName(
+        cq.prepared.agg(F.lit("#end").alias("k"), F.max(F.col("page") * F.col("per_page")).cast("long").alias("v"))
+    )
+    n_queries, max_end, out = 0, 0, {}
+    for r in buckets.unionByName(stats).collect():
+        if r["k"] == "#n":
+            n_queries = int(r["v"] or 0)
+        elif r["k"] == "#end":
+            max_end = int(r["v"] or 0)
+        else:
+            out.setdefault(r["k"], []).append(int(r["v"]))
+    return n_queries, max_end, {k: sorted(v) for k, v in out.items()}
 
 
 def prune_buckets(df: DataFrame, buckets: dict[str, list[int]]) -> DataFrame:
@@ -140,8 +153,9 @@ def term_leaves(cq: CompiledQueries, index: IndexTables, n_queries: int, max_row
     expanded = bounded_broadcast(px, bound, max_rows).join(vocab, ["field", "tb", "k3"]).filter(
         F.col("lterm").startswith(F.col("prefix"))
     )
+    # One count row per prefix clause (bounded like the clauses themselves).
     n_exp = expanded.groupBy("query_id", "c", "t", "s").agg(F.count(F.lit(1)).cast("int").alias("n_leaves"))
-    expanded = expanded.join(n_exp, ["query_id", "c", "t", "s"]).select(
+    expanded = expanded.join(bounded_broadcast(n_exp, bound, max_rows), ["query_id", "c", "t", "s"]).select(
         *keys, "n_leaves", "lterm", "tb", "df"
     )
     return exact.select(*keys, "n_leaves", "lterm", "tb", "df").unionByName(expanded)

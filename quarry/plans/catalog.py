@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import (
@@ -18,13 +18,14 @@ from quarry.config import (
     IndexConfig,
     SearchConfig,
 )
-from quarry.functions.format import format_size, iso_utc, progress_percent
+from quarry.functions.format import format_size, iso_utc
 from quarry.functions.paths import base_name, is_index_text
 from quarry.functions.text import normalize_query, split_words
 from quarry.operators import listing as L
 from quarry.operators.analysis import build_doc_stats, build_postings, build_term_stats
 from quarry.operators.extract import assemble_documents
 from quarry.operators.parse import parse_queries
+from quarry.operators.progress import ledger_progress
 from quarry.operators.validate import parse_exclude_text, validate_index_requests, validate_queries
 from quarry.plans.index import build_index
 from quarry.plans.search import search
@@ -85,7 +86,6 @@ SINGLE_QUOTED = '"rights reserved"'
 SINGLE_AND = "released mit"
 RUN_TS = "2024-06-01 00:00:00"
 CONTENT_CAP_TEST_BYTES = 1000
-LEDGER_BATCH = 100
 
 
 def _utc(spark: SparkSession) -> None:
@@ -218,24 +218,18 @@ def q_manifest_lookup(spark, sf_dir):
 def q_run_progress(spark, sf_dir):
     """Run ledger with one batch per folder, progress after each batch.
 
-    The ledger has one row per batch (a few per task at scale), so the running
-    sum over it is a window over a small table.
+    The running total is a distributed prefix sum, so no task gathers the
+    whole ledger.
     """
     docs = _corpus_docs(spark, sf_dir)
     folder = F.regexp_extract(F.col("id"), r"^(.*)/[^/]*$", 1)
     ledger = docs.groupBy(folder.alias("batch")).agg(F.count(F.lit(1)).alias("n_done"))
-    w_all = Window.partitionBy()
-    w_run = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    out = ledger.select(
-        "batch", "n_done", F.sum("n_done").over(w_run).alias("cum_done"), F.sum("n_done").over(w_all).alias("n_total")
-    )
+    out = ledger_progress(ledger, "batch", PROGRESS_STEP_CLEANED, PROGRESS_COMPLETE)
     return out.select(
         "batch",
         F.col("n_done").cast("bigint").alias("n_done"),
         F.col("cum_done").cast("bigint").alias("cum_done"),
-        progress_percent(F.col("cum_done"), F.col("n_total"), PROGRESS_STEP_CLEANED, PROGRESS_COMPLETE)
-        .cast("bigint")
-        .alias("progress"),
+        F.col("progress").cast("bigint").alias("progress"),
     )
 
 

@@ -48,8 +48,9 @@ def match_queries(queries: DataFrame, index: M.IndexTables, config: SearchConfig
     checked = validate_queries(queries)
     valid = checked.filter(F.col("error").isNull()).drop("error")
     cq = persist_compiled(compile_queries(valid, config.phrase_mode))
-    n_queries = max(1, cq.prepared.count())
-    index = M.pruned_index(index, M.query_buckets(cq, index))
+    n_queries, max_end, buckets = M.batch_facts(cq, index)
+    n_queries = max(1, n_queries)
+    index = M.pruned_index(index, buckets)
     leaves = M.term_leaves(cq, index, n_queries, config.broadcast_max_rows).persist()
     # Exact leaves are bounded by the query text; prefix expansions by the
     # vocabulary, so count them before deciding to broadcast.
@@ -58,18 +59,16 @@ def match_queries(queries: DataFrame, index: M.IndexTables, config: SearchConfig
         M.phrase_child_scores(cq, index, n_queries, config.broadcast_max_rows)
     )
     matches = M.score_matches(children)
-    return checked, cq, matches, n_queries, leaves
+    return checked, cq, matches, n_queries, max_end, leaves
 
 
 def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = SearchConfig()) -> SearchResult:
-    checked, cq, matches, n_queries, leaves = match_queries(queries, index, config)
+    checked, cq, matches, n_queries, max_end, leaves = match_queries(queries, index, config)
     # Hits and page details both read the ranked matches: keep them once
     # (spread over executors, spilled to disk when large).
     ranked = R.rank_matches(matches, config.score_digits).persist(StorageLevel.MEMORY_AND_DISK)
     tot = R.totals(ranked)
     pages = R.page_details(cq.prepared, tot)
-    row = cq.prepared.agg(F.max(F.col("page") * F.col("per_page")).alias("m")).first()
-    max_end = int(row["m"] or 0) if row is not None else 0
     top = R.top_rows(ranked, max(max_end, 1))
     page = R.page_rows(top, cq.prepared)
     docs = index.documents.select(

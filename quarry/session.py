@@ -34,10 +34,17 @@ def local_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a scratch one if unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for checkpoints and written intermediates.
+
+    Uses ``spark.checkpoint.dir`` as the cluster sets it; only when nothing
+    set it (local tests) a scratch folder is created.  The SparkContext's
+    checkpoint folder is pointed at the same place.
+    """
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
