@@ -44,6 +44,7 @@ class IndexTables:
     term_stats: DataFrame
     n_docs: int
     term_buckets: int
+    doc_buckets: int = 0  # > 0 when documents carry a ``db`` id-hash bucket column
 
 
 def bounded_broadcast(df: DataFrame, bound_rows: int, max_rows: int) -> DataFrame:
@@ -104,6 +105,7 @@ def pruned_index(index: IndexTables, buckets: dict[str, list[int]]) -> IndexTabl
         term_stats=prune_buckets(index.term_stats, buckets),
         n_docs=index.n_docs,
         term_buckets=index.term_buckets,
+        doc_buckets=index.doc_buckets,
     )
 
 

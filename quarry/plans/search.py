@@ -29,6 +29,10 @@ from quarry.operators.snippet import snippet
 from quarry.operators.validate import validate_queries
 
 
+# Page ids up to this many are pushed to the documents scan as a filter.
+PUSHED_ID_LIMIT = 10_000
+
+
 @dataclass
 class SearchResult:
     hits: DataFrame  # query_id, rank, id, path, name, score, size, mod_time, snippet
@@ -71,9 +75,26 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
     pages = R.page_details(cq.prepared, tot)
     top = R.top_rows(ranked, max(max_end, 1))
     page = R.page_rows(top, cq.prepared)
-    docs = index.documents.select(
-        F.col("id").alias("doc_id"), "path", "name", "size", "mod_time", "content"
-    )
+    docs = index.documents
+    cached = [ranked, cq.prepared, cq.groups, cq.phrases, leaves]
+    if index.doc_buckets > 0 and "db" in docs.columns:
+        # Documents are partitioned by an id-hash bucket: read only the
+        # buckets of this batch's page rows (at most doc_buckets integers).
+        page = page.persist()
+        cached.append(page)
+        # When the page ids are few, they also go down as a pushed filter:
+        # documents are sorted by id inside each bucket, so row-group
+        # statistics skip most of a bucket.
+        db = F.pmod(F.xxhash64("doc_id"), F.lit(index.doc_buckets)).cast("int")
+        rows = page.select(db.alias("db"), "doc_id").distinct().limit(PUSHED_ID_LIMIT + 1).collect()
+        if len(rows) <= PUSHED_ID_LIMIT:
+            dbs = sorted({int(r["db"]) for r in rows})
+            ids = sorted({r["doc_id"] for r in rows})
+            docs = docs.filter(F.col("db").isin(*dbs) & F.col("id").isin(*ids)) if ids else docs.filter(F.lit(False))
+        else:
+            dbs = [int(r[0]) for r in page.select(db).distinct().collect()]
+            docs = docs.filter(F.col("db").isin(*dbs))
+    docs = docs.select(F.col("id").alias("doc_id"), "path", "name", "size", "mod_time", "content")
     # The page rows are at most n_queries * 20; broadcast them and fetch
     # only their documents.
     fetched = M.bounded_broadcast(page, 20 * n_queries, config.broadcast_max_rows).join(docs, "doc_id")
@@ -94,5 +115,5 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
         pages=pages,
         matches=ranked.select("query_id", "doc_id", "score"),
         rejected=rejected,
-        cached=(ranked, cq.prepared, cq.groups, cq.phrases, leaves),
+        cached=tuple(cached),
     )

@@ -208,11 +208,12 @@ class IndexStore:
         v = self.current()
         tb = v.term_buckets if v else self.config.term_buckets
         return IndexTables(
-            documents=self.documents(v).select(*DOC_COLUMNS),
+            documents=self.documents(v).select(*DOC_COLUMNS, "db") if v else self.documents(v),
             postings=self.postings(v),
             term_stats=self.term_stats(v),
             n_docs=v.n_docs if v else 0,
             term_buckets=tb,
+            doc_buckets=v.doc_buckets if v else 0,
         )
 
     def doc_count(self) -> int:
@@ -231,7 +232,9 @@ class IndexStore:
             self._db(F.col("id")).alias("db"),
         )
         t0 = time.time()
-        docs_b.repartition("db").write.mode("overwrite").partitionBy("db").parquet(f"{base}/documents")
+        docs_b.repartition("db").sortWithinPartitions("db", "id").write.mode("overwrite").partitionBy("db").parquet(
+            f"{base}/documents"
+        )
         self.timings["seg_documents"] = time.time() - t0
         written = self.spark.read.schema(DOCUMENTS_B).parquet(f"{base}/documents").select(*DOC_COLUMNS)
         post = build_postings(written, cfg.term_buckets)
