@@ -391,6 +391,11 @@ prev AS (
 ) u"""
     out["manifest_lookup"] = _with(*base) + f"""SELECT f.path, m.path IS NOT NULL AS found, {iso('m.last_indexed')} AS last_indexed
 FROM files f LEFT JOIN manifest m ON m.path = f.path AND m.path <> '' WHERE f.path <> ''"""
+    frac = "regexp_replace(strftime(last_indexed, '%f'), '0+$', '')"
+    out["manifest_json"] = _with(*base) + f"""SELECT 'files' AS bucket, path AS key,
+  '{{"last_indexed":"' || strftime(last_indexed, '%Y-%m-%dT%H:%M:%S') ||
+  CASE WHEN {frac} = '' THEN '' ELSE '.' || {frac} END || 'Z"}}' AS value
+FROM manifest"""
     out["run_progress"] = _with(FILES, VISIBLE, docs_from("visible")) + """, ledger AS (
   SELECT regexp_extract(id, '^(.*)/[^/]*$', 1) AS batch, count(*) AS n_done FROM docs GROUP BY 1
 ), run AS (

@@ -24,6 +24,7 @@ from quarry.functions.text import normalize_query, split_words
 from quarry.operators import listing as L
 from quarry.operators.analysis import build_doc_stats, build_postings, build_term_stats
 from quarry.operators.extract import assemble_documents
+from quarry.operators.manifest import manifest_to_kv
 from quarry.operators.parse import parse_queries
 from quarry.operators.progress import ledger_progress
 from quarry.operators.validate import parse_exclude_text, validate_index_requests, validate_queries
@@ -215,6 +216,11 @@ def q_manifest_lookup(spark, sf_dir):
     return lk.select("path", "found", iso_utc(F.col("last_indexed")).alias("last_indexed"))
 
 
+def q_manifest_json(spark, sf_dir):
+    """The manifest as key/value JSON rows."""
+    return manifest_to_kv(_manifest(spark, sf_dir))
+
+
 def q_run_progress(spark, sf_dir):
     """Run ledger with one batch per folder, progress after each batch.
 
@@ -450,6 +456,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "delete_documents": q_delete_documents,
     "manifest_upsert": q_manifest_upsert,
     "manifest_lookup": q_manifest_lookup,
+    "manifest_json": q_manifest_json,
     "run_progress": q_run_progress,
     "doc_count": q_doc_count,
     "content_cap": q_content_cap,

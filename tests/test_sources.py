@@ -81,3 +81,19 @@ def test_changed_and_deleted(spark):
     ch = {r.path: r.reason for r in L.changed_files(lst, man).collect()}
     assert ch == {"/r/b": "changed", "/r/c": "new"}  # equal time is not a change
     assert [r.path for r in L.deleted_files(lst, man, ["/r"]).collect()] == ["/r/gone"]
+
+
+def test_manifest_json_round_trip(spark):
+    from quarry.operators.manifest import manifest_from_kv, manifest_to_kv
+
+    man = spark.createDataFrame(
+        [("/r/a", "2024-01-01 00:00:00"), ("/r/b", "2024-01-01 00:00:01.250")], "path string, last_indexed string"
+    ).withColumn("last_indexed", F.to_timestamp("last_indexed"))
+    kv = manifest_to_kv(man)
+    vals = {r.key: r.value for r in kv.collect()}
+    assert vals == {"/r/a": '{"last_indexed":"2024-01-01T00:00:00Z"}', "/r/b": '{"last_indexed":"2024-01-01T00:00:01.25Z"}'}
+    extra = spark.createDataFrame([("", "/x", "{}"), ("files", "", "{}"), ("", "/y", "{}")], "bucket string, key string, value string")
+    back = manifest_from_kv(kv.unionByName(extra))
+    assert sorted((r.path, str(r.last_indexed)) for r in back.collect()) == sorted(
+        (r.path, str(r.last_indexed)) for r in man.collect()
+    )
