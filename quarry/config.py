@@ -69,9 +69,13 @@ class SearchConfig:
     """
 
     phrase_mode: str = "as_built"
+    blank_matches_all: bool = False
     broadcast_max_rows: int = 2_000_000
     score_digits: int = 6
     snippet_context: int = SNIPPET_CONTEXT
+    # Q5: with ``blank_matches_all`` a blank query is valid and matches every
+    # document with a constant score (ranked by path).  Off by default, as
+    # validation rejects blank queries before they reach the index.
 
 
 @dataclass(frozen=True)

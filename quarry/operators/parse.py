@@ -115,9 +115,10 @@ def _subs_for(term):
 def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> CompiledQueries:
     """Queries (already defaulted and validated) -> clause tables.
 
-    Q1: a query that is blank after trimming yields no clauses (no hits).
+    Q1: a query that is blank after trimming yields no clauses (no hits);
+    it keeps its ``prepared`` row so it still gets page details.
     """
-    p = parse_queries(queries).filter(F.col("q") != "")
+    p = parse_queries(queries)
     n_terms = F.size("terms")
     n_phr = F.size("phrases")
     n_single = F.size(_subs_for(F.try_element_at("terms", F.lit(1))))
@@ -139,7 +140,8 @@ def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> Compil
         n_children.alias("n_children"),
     )
 
-    quoted = prepared.select(
+    live = prepared.filter(F.col("q") != "")
+    quoted = live.select(
         "query_id",
         "n_children",
         "q",
@@ -153,7 +155,7 @@ def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> Compil
     )
     # The implied phrase runs on the remaining string itself (or the whole
     # query when nothing was parsed), not on the re-joined words.
-    implied = prepared.filter(F.col("n_terms") > 1).select(
+    implied = live.filter(F.col("n_terms") > 1).select(
         "query_id",
         "n_children",
         F.col("n_phr").alias("c"),
@@ -164,7 +166,7 @@ def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> Compil
     )
     phrases = quoted.unionByName(implied)
 
-    single = prepared.filter(F.col("n_terms") == 1).select(
+    single = live.filter(F.col("n_terms") == 1).select(
         "query_id",
         "n_children",
         "n_phr",
@@ -184,7 +186,7 @@ def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> Compil
         F.lit(1).alias("n_subs"),
         F.lit(0).alias("n_terms"),
     )
-    multi = prepared.filter(F.col("n_terms") > 1).select(
+    multi = live.filter(F.col("n_terms") > 1).select(
         "query_id", "n_children", "n_phr", "n_terms", F.posexplode("terms").alias("t", "term")
     )
     multi = multi.select(

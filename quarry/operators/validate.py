@@ -35,18 +35,20 @@ def _first(*pairs: tuple[Column, str]) -> Column:
     return out.otherwise(F.lit(None).cast("string"))
 
 
-def validate_queries(queries: DataFrame) -> DataFrame:
+def validate_queries(queries: DataFrame, allow_blank: bool = False) -> DataFrame:
     """Q14 + Q15: defaults, then (query, per_page, page) rules.
 
     Adds ``error``; per_page and page carry their defaulted values.
+    ``allow_blank`` lets blank queries through (match-all mode, Q5).
     """
     d = apply_defaults(queries)
     q = F.coalesce(F.col("query"), F.lit(""))
+    no = F.lit(False)
     return d.withColumn(
         "error",
         _first(
-            (q == "", ERR_REQUIRED.format("query")),
-            (trim_ws(q) == "", ERR_QUERY),
+            (no if allow_blank else (q == ""), ERR_REQUIRED.format("query")),
+            (no if allow_blank else (trim_ws(q) == ""), ERR_QUERY),
             (F.char_length(q) > MAX_QUERY_CHARS, ERR_RANGE.format("query")),
             ((F.col("per_page") < 0) | (F.col("per_page") > MAX_PER_PAGE), ERR_RANGE.format("per_page")),
             (F.col("page") < 0, ERR_RANGE.format("page")),

@@ -49,7 +49,7 @@ class SearchResult:
 
 def match_queries(queries: DataFrame, index: M.IndexTables, config: SearchConfig = SearchConfig()):
     """Validated queries -> (compiled, matches(query_id, doc_id, score, loc))."""
-    checked = validate_queries(queries)
+    checked = validate_queries(queries, allow_blank=config.blank_matches_all)
     valid = checked.filter(F.col("error").isNull()).drop("error")
     cq = persist_compiled(compile_queries(valid, config.phrase_mode))
     n_queries, max_end, buckets = M.batch_facts(cq, index)
@@ -63,9 +63,31 @@ def match_queries(queries: DataFrame, index: M.IndexTables, config: SearchConfig
         M.phrase_child_scores(cq, index, n_queries, config.broadcast_max_rows)
     )
     matches = M.score_matches(children)
+    if config.blank_matches_all:
+        every = match_all(cq, index)
+        if every is not None:
+            matches = matches.unionByName(every)
     return checked, cq, matches, n_queries, max_end, leaves
 
 
+def match_all(cq, index: M.IndexTables) -> DataFrame:
+    """Q5: every document for each blank query, constant score 1.0.
+
+    The blank query ids (at most the batch size) are exploded per document,
+    so no join pairs every query with every document.
+    """
+    ids = [int(r[0]) for r in cq.prepared.filter(F.col("q") == "").select("query_id").collect()]
+    if not ids:
+        return None
+    return index.documents.select(
+        F.explode(F.array(*[F.lit(i).cast("long") for i in ids])).alias("query_id"),
+        F.col("id").alias("doc_id"),
+        F.lit(0).alias("n_children"),
+        F.lit(1.0).alias("score"),
+        F.lit(None).cast("struct<pos:int,term:string>").alias("loc"),
+    )
+
+
 def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = SearchConfig()) -> SearchResult:
     checked, cq, matches, n_queries, max_end, leaves = match_queries(queries, index, config)
     # Hits and page details both read the ranked matches: keep them once

@@ -169,3 +169,26 @@ def test_reindex_edit_delete_add(spark, tree):
     assert len(store.current().segments) == 1
     assert _search(spark, store, "HELLO")[0] == [P(root, "newfile.txt")]
     assert store.documents().count() == 5
+
+
+def test_match_all_mode(spark, tree):
+    from quarry.config import SearchConfig
+
+    root, store = tree
+    q = spark.createDataFrame([(1, "   ", 2, 1), (2, "markdown", 0, 0), (3, "", 0, 0)],
+                              "query_id long, query string, per_page int, page int")
+    res = search(q, store.open_index(), SearchConfig(blank_matches_all=True))
+    hits = {}
+    for r in res.hits.orderBy("query_id", "rank").collect():
+        hits.setdefault(r.query_id, []).append((r.path, r.score))
+    pages = {r.query_id: r.total_results for r in res.pages.collect()}
+    res.unpersist()
+    n = store.doc_count()
+    assert pages[1] == n and pages[3] == n and pages[2] == 1
+    assert len(hits[1]) == 2 and all(s == 1.0 for _, s in hits[1])
+    assert [p for p, _ in hits[1]] == sorted(p for p, _ in hits[1])
+    assert hits[2][0][0].endswith("file3.md")
+    # Without the mode, blank queries are rejected, not matched.
+    res = search(q, store.open_index())
+    assert sorted(r.query_id for r in res.rejected.collect()) == [1, 3]
+    res.unpersist()
