@@ -35,6 +35,14 @@ def visible_files(listing: DataFrame, root: str) -> DataFrame:
     return listing.filter(~F.col("is_dir") & is_under(F.col("path"), r) & ~is_hidden_below(F.col("path"), r))
 
 
+def excluded(path, excludes: Sequence[str]):
+    """Column: ``path`` lies below one of the exclude folders (None if none)."""
+    ex = _norm_excludes(excludes)
+    if not ex:
+        return None
+    return F.arrays_overlap(ancestor_dirs(path), F.array(*[F.lit(e) for e in ex]))
+
+
 def drop_excluded(listing: DataFrame, excludes: Sequence[str]) -> DataFrame:
     """S3: drop files below any excluded folder (whole path segments).
 
@@ -109,3 +117,28 @@ def manifest_lookup(listing: DataFrame, manifest: DataFrame) -> DataFrame:
         .join(m, "path", "left")
         .withColumn("found", F.col("last_indexed").isNotNull())
     )
+
+
+def change_set(raw_listing: DataFrame, manifest: DataFrame, root: str, excludes: Sequence[str] = ()) -> DataFrame:
+    """S2-S6 + S14 in one pass: one full outer join of listing and manifest.
+
+    Rows get ``status``: 'new' or 'changed' for visible, non-excluded files
+    never indexed or modified after indexing; 'deleted' for manifest paths
+    under ``root`` that the (unfiltered) listing no longer has.  Unchanged
+    files are dropped.  Listed columns are kept (null for deleted rows).
+    """
+    r = root.rstrip("/") or "/"
+    path = F.col("path")
+    keep = ~F.col("is_dir") & is_under(path, F.lit(r)) & ~is_hidden_below(path, F.lit(r))
+    ex = excluded(path, excludes)
+    if ex is not None:
+        keep = keep & ~ex
+    listed = raw_listing.withColumn("_keep", keep).withColumn("_listed", F.lit(True))
+    m = manifest.filter(is_under(path, F.lit(r))).select("path", "last_indexed")
+    j = listed.join(m, "path", "full_outer")
+    status = (
+        F.when(F.col("_listed").isNull(), F.lit("deleted"))
+        .when(F.col("_keep") & F.col("last_indexed").isNull(), F.lit("new"))
+        .when(F.col("_keep") & (F.col("mod_time") > F.col("last_indexed")), F.lit("changed"))
+    )
+    return j.withColumn("status", status).filter(F.col("status").isNotNull()).drop("_keep", "_listed")

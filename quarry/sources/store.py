@@ -293,13 +293,19 @@ class IndexStore:
         v = self.current()
         manifest = self.manifest(v)
 
-        files = L.drop_excluded(L.visible_files(raw_listing, root), excludes)
-        changed = L.changed_files(files, manifest)
-        deleted = L.deleted_files(raw_listing, manifest, [root])
+        # One listing pass: classify against the manifest in a single full
+        # outer join, write the change set to the store (this also cuts the
+        # lineage, so the tree is never listed twice and every later step
+        # sees the same snapshot), then count it.
         self._ledger(run_id, PROGRESS_STEP_LISTED, 0, 0, 0)
-
-        n_changed = changed.select("path").count()
-        n_deleted = deleted.count()
+        cdir = self._p(f"runs/{run_id}/changes")
+        L.change_set(raw_listing, manifest, root, excludes).write.mode("overwrite").parquet(cdir)
+        changes = self.spark.read.parquet(cdir)
+        counts = {r["status"]: int(r["n"]) for r in changes.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+        n_changed = counts.get("new", 0) + counts.get("changed", 0)
+        n_deleted = counts.get("deleted", 0)
+        changed = changes.filter(F.col("status") != "deleted").drop("status")
+        deleted = changes.filter(F.col("status") == "deleted").select("path")
         self.timings["detect"] = time.time() - t0
         if n_changed == 0 and n_deleted == 0:
             self._ledger(run_id, PROGRESS_COMPLETE, 0, 0, 1)

@@ -97,3 +97,19 @@ def test_manifest_json_round_trip(spark):
     assert sorted((r.path, str(r.last_indexed)) for r in back.collect()) == sorted(
         (r.path, str(r.last_indexed)) for r in man.collect()
     )
+
+
+def test_change_set_equals_separate_operators(spark):
+    from quarry.sources import corpus as C
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        return
+    files = C.files_listing(spark, sf)
+    man = C.derived_manifest(files)
+    cs = L.change_set(files, man, C.CORPUS_ROOT, C.CORPUS_EXCLUDES)
+    got = {(r.path, r.status) for r in cs.select("path", "status").collect()}
+    vis = L.drop_excluded(L.visible_files(files, C.CORPUS_ROOT), C.CORPUS_EXCLUDES)
+    want = {(r.path, r.reason) for r in L.changed_files(vis, man).select("path", "reason").collect()}
+    want |= {(r.path, "deleted") for r in L.deleted_files(files, man, [C.CORPUS_ROOT]).collect()}
+    assert got == want and len(got) > 20
