@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import analyzed_terms, is_stop_word, raw_tokens, utf8_prefix3
+from quarry.functions.text import is_stop_word, utf8_prefix3
 from quarry.operators.analysis import term_bucket
 from quarry.operators.parse import CompiledQueries
 
@@ -65,10 +65,12 @@ def batch_facts(cq: CompiledQueries, index: IndexTables) -> tuple[int, int, dict
     g = cq.groups
     b = index.term_buckets
     exact = g.filter((F.col("kind") == "match") & (F.col("field") != "path")).select(
-        "field", F.explode(analyzed_terms(F.col("term"))).alias("t")
+        "field", F.explode("atoks").alias("t")
     )
     other = g.filter((F.col("kind") == "prefix") | (F.col("field") == "path")).select("field", F.col("term").alias("t"))
-    phr = cq.phrases.select(F.lit("content").alias("field"), F.explode(analyzed_terms(F.col("text"))).alias("t"))
+    phr = cq.phrases.select(
+        F.lit("content").alias("field"), F.explode(F.filter("rtoks", lambda t: ~is_stop_word(t))).alias("t")
+    )
     allt = exact.unionByName(other).unionByName(phr)
     buckets = allt.select(
         F.col("field").alias("k"), term_bucket(F.col("field"), F.col("t"), b).cast("long").alias("v")
@@ -76,7 +78,7 @@ def batch_facts(cq: CompiledQueries, index: IndexTables) -> tuple[int, int, dict
     stats = cq.prepared.agg(
         F.lit("#n").alias("k"), F.count(F.lit(1)).cast("long").alias("v")
     ).unionByName(
-        cq.prepared.agg(F.lit("#end").alias("k"), F.max(F.col("page") * F.col("per_page")).cast("long").alias("v"))
+        cq.prepared.agg(F.lit("#end").alias("k"), F.max(F.col("page").cast("long") * F.col("per_page").cast("long")).alias("v"))
     )
     n_queries, max_end, out = 0, 0, {}
     for r in buckets.unionByName(stats).collect():
@@ -127,8 +129,8 @@ def term_leaves(cq: CompiledQueries, index: IndexTables, n_queries: int, max_row
     keys = ["query_id", "n_children", "c", "t", "s", "n_subs", "n_terms", "field", "boost"]
     analysed = g.filter((F.col("kind") == "match") & (F.col("field") != "path")).select(
         *keys,
-        F.size(analyzed_terms(F.col("term"))).alias("n_leaves"),
-        F.explode(analyzed_terms(F.col("term"))).alias("lterm"),
+        F.size("atoks").alias("n_leaves"),
+        F.explode("atoks").alias("lterm"),
     )
     path = g.filter((F.col("kind") == "match") & (F.col("field") == "path")).select(
         *keys, F.lit(1).alias("n_leaves"), F.col("term").alias("lterm")
@@ -235,8 +237,8 @@ def phrase_child_scores(cq: CompiledQueries, index: IndexTables, n_queries: int,
         "n_children",
         "c",
         "boost",
-        F.size(analyzed_terms(F.col("text"))).alias("k"),
-        F.posexplode(raw_tokens(F.col("text"))).alias("off", "lterm"),
+        "k",
+        F.posexplode("rtoks").alias("off", "lterm"),
     ).filter(~is_stop_word(F.col("lterm")))
     toks = toks.withColumn("field", F.lit("content")).withColumn(
         "tb", term_bucket(F.col("field"), F.col("lterm"), index.term_buckets)

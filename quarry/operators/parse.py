@@ -38,7 +38,7 @@ from quarry.config import (
     DEFAULT_PER_PAGE,
     PREFIX_MIN_BYTES,
 )
-from quarry.functions.text import normalize_query, split_words, trim_ws
+from quarry.functions.text import analyzed_terms, is_stop_word, normalize_query, raw_tokens, split_words, trim_ws
 
 _QUOTED_RE = r'"([^"]*)"'
 
@@ -165,6 +165,10 @@ def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> Compil
         F.lit(BOOST_REGULAR_PHRASE).alias("boost"),
     )
     phrases = quoted.unionByName(implied)
+    # Query text is tokenised once here; later steps read these columns.
+    phrases = phrases.withColumn("rtoks", raw_tokens(F.col("text"))).withColumn(
+        "k", F.size(F.filter("rtoks", lambda t: ~is_stop_word(t)))
+    )
 
     single = live.filter(F.col("n_terms") == 1).select(
         "query_id",
@@ -212,6 +216,10 @@ def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> Compil
         F.col("n_terms").cast("int").alias("n_terms"),
     )
     groups = single.unionByName(multi)
+    groups = groups.withColumn(
+        "atoks",
+        F.when((F.col("kind") == "match") & (F.col("field") != "path"), analyzed_terms(F.col("term"))),
+    )
     return CompiledQueries(prepared=prepared, phrases=phrases, groups=groups)
 
 

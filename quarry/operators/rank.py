@@ -30,10 +30,15 @@ def top_rows(ranked: DataFrame, max_end: int) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(max_end))
 
 
-def page_rows(top: DataFrame, prepared: DataFrame) -> DataFrame:
-    """Keep each query's own page: offset = (page-1)*per_page."""
-    p = F.broadcast(prepared.select("query_id", "per_page", "page"))
-    lo = (F.col("page") - 1) * F.col("per_page")
+def page_rows(top: DataFrame, prepared: DataFrame, broadcast_ok: bool = True) -> DataFrame:
+    """Keep each query's own page: offset = (page-1)*per_page.
+
+    ``prepared`` has one row per query; it is broadcast when the caller has
+    checked the batch size.
+    """
+    p = prepared.select("query_id", "per_page", "page")
+    p = F.broadcast(p) if broadcast_ok else p
+    lo = (F.col("page").cast("long") - 1) * F.col("per_page").cast("long")
     return top.join(p, "query_id").filter((F.col("rank") > lo) & (F.col("rank") <= lo + F.col("per_page")))
 
 
@@ -41,7 +46,7 @@ def page_details(prepared: DataFrame, tot: DataFrame) -> DataFrame:
     """Current page, page size, total pages (at least 1), next/prev."""
     j = prepared.select("query_id", "per_page", "page").join(tot, "query_id", "left")
     total = F.coalesce(F.col("total_results"), F.lit(0)).cast("bigint")
-    offset = (F.col("page") - 1) * F.col("per_page")
+    offset = (F.col("page").cast("long") - 1) * F.col("per_page").cast("long")
     current = (F.floor(offset / F.col("per_page")) + 1).cast("int")
     pages = F.greatest(F.ceil(total / F.col("per_page")), F.lit(1)).cast("int")
     return j.select(

@@ -96,7 +96,7 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
     tot = R.totals(ranked)
     pages = R.page_details(cq.prepared, tot)
     top = R.top_rows(ranked, max(max_end, 1))
-    page = R.page_rows(top, cq.prepared)
+    page = R.page_rows(top, cq.prepared, n_queries <= config.broadcast_max_rows)
     docs = index.documents
     cached = [ranked, cq.prepared, cq.groups, cq.phrases, leaves]
     if index.doc_buckets > 0 and "db" in docs.columns:
