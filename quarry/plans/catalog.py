@@ -35,7 +35,7 @@ from quarry.sources import corpus as C
 # ---------------------------------------------------------------------------
 # Request parameters (fixed values shared with the SQL oracle)
 # ---------------------------------------------------------------------------
-# A query log of 20 searches: (query_id, query, per_page, page).
+# A query log of 21 searches: (query_id, query, per_page, page).
 BATCH_QUERIES = (
     (1, "license", 0, 0),
     (2, "worthless", 0, 0),
@@ -57,6 +57,7 @@ BATCH_QUERIES = (
     (18, "eau", 20, 1),
     (19, "md", 4, 3),
     (20, "reserved rights", 0, 0),
+    (21, "/corpus/src12/en/doc12.txt", 0, 0),
 )
 
 PAGE_QUERIES = (
