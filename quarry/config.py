@@ -87,8 +87,11 @@ class IndexConfig:
     doc_buckets: hash buckets of the documents table, so that fetching the
     page hits reads only their buckets.
     content_cap_bytes: bytes of each file that are indexed.
+    max_segments: when an update leaves more segments than this, all
+    segments after the first are merged into one (cost ~ the increments).
     """
 
     term_buckets: int = 16
     doc_buckets: int = 8
     content_cap_bytes: int = CONTENT_CAP_BYTES
+    max_segments: int = 8

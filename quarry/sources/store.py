@@ -237,7 +237,20 @@ class IndexStore:
         )
         self.timings["seg_documents"] = time.time() - t0
         written = self.spark.read.schema(DOCUMENTS_B).parquet(f"{base}/documents").select(*DOC_COLUMNS)
-        post = build_postings(written, cfg.term_buckets)
+        self._write_postings(base, build_postings(written, cfg.term_buckets))
+        self.timings["seg_postings"] = time.time() - t0
+        p_written = self.spark.read.schema(S.POSTINGS).parquet(f"{base}/postings")
+        ts = build_term_stats(p_written)
+        if ts_delta is not None:
+            ts = ts.unionByName(ts_delta).groupBy("field", "tb", "term").agg(F.sum("df").alias("df"))
+        self._write_term_stats(base, ts)
+        self.timings["seg_term_stats"] = time.time() - t0
+        tombstones.select("doc_id").distinct().write.mode("overwrite").parquet(f"{base}/tombstones")
+
+    @staticmethod
+    def _write_postings(base: str, post: DataFrame) -> None:
+        # Range partitioning splits a hot term over several tasks and files;
+        # each file is sorted by term for row-group statistics.
         (
             post.repartitionByRange("field", "tb", "term", "doc_id")
             .sortWithinPartitions("field", "tb", "term", "doc_id")
@@ -245,11 +258,9 @@ class IndexStore:
             .partitionBy("field", "tb")
             .parquet(f"{base}/postings")
         )
-        self.timings["seg_postings"] = time.time() - t0
-        p_written = self.spark.read.schema(S.POSTINGS).parquet(f"{base}/postings")
-        ts = build_term_stats(p_written)
-        if ts_delta is not None:
-            ts = ts.unionByName(ts_delta).groupBy("field", "tb", "term").agg(F.sum("df").alias("df"))
+
+    @staticmethod
+    def _write_term_stats(base: str, ts: DataFrame) -> None:
         (
             ts.repartitionByRange("field", "tb", "term")
             .sortWithinPartitions("field", "tb", "term")
@@ -257,8 +268,6 @@ class IndexStore:
             .partitionBy("field", "tb")
             .parquet(f"{base}/term_stats")
         )
-        self.timings["seg_term_stats"] = time.time() - t0
-        tombstones.select("doc_id").distinct().write.mode("overwrite").parquet(f"{base}/tombstones")
 
     def _db(self, id_col):
         return F.pmod(F.xxhash64(id_col), F.lit(self.config.doc_buckets)).cast("int")
@@ -378,10 +387,63 @@ class IndexStore:
             tombstones={**(v.tombstones if v else {}), seg: n_changed + n_deleted},
         )
         self._publish(nv)
+        if len(nv.segments) > self.config.max_segments:
+            self.merge_tail()
         self._ledger(run_id, PROGRESS_COMPLETE, n_added, n_changed, 1)
         self.timings["published"] = time.time() - t0
         return {"run_id": run_id, "changed": n_changed, "deleted": n_deleted, "n_docs": n_docs, "published": True}
 
+    def merge_tail(self) -> Version | None:
+        """Fold every segment after the first into one.
+
+        The base segment is left alone, so the cost is that of the
+        increments: their live documents and postings are copied without
+        re-tokenising, their term-statistics deltas are summed (negative
+        deltas still apply to the base), and their tombstones are united.
+        """
+        v = self.current()
+        if v is None or len(v.segments) <= 2:
+            return v
+        head, tail = v.segments[:1], v.segments[1:]
+        tv = Version(
+            number=v.number,
+            segments=tail,
+            term_buckets=v.term_buckets,
+            doc_buckets=v.doc_buckets,
+            tombstones=v.tombstones,
+        )
+        number = v.number + 1
+        seg = f"s{number:06d}"
+        base = self._p(f"segments/{seg}")
+        docs = self._live(tv, "documents", DOCUMENTS_B, "id")
+        docs.repartition("db").sortWithinPartitions("db", "id").write.mode("overwrite").partitionBy("db").parquet(
+            f"{base}/documents"
+        )
+        self._write_postings(base, self._live(tv, "postings", S.POSTINGS, "doc_id"))
+        parts = [self._seg_read(s2, "term_stats", S.TERM_STATS) for s2 in tail]
+        u = parts[0]
+        for p2 in parts[1:]:
+            u = u.unionByName(p2)
+        ts = u.groupBy("field", "tb", "term").agg(F.sum("df").alias("df")).filter(F.col("df") != 0)
+        self._write_term_stats(base, ts)
+        tombs = None
+        for s2 in tail:
+            t = self.spark.read.schema("doc_id string").parquet(self._p(f"segments/{s2}/tombstones"))
+            tombs = t if tombs is None else tombs.unionByName(t)
+        tombs.distinct().write.mode("overwrite").parquet(f"{base}/tombstones")
+        n_tomb = self.spark.read.parquet(f"{base}/tombstones").count()
+        nv = Version(
+            number=number,
+            segments=head + [seg],
+            n_docs=v.n_docs,
+            term_buckets=v.term_buckets,
+            doc_buckets=v.doc_buckets,
+            manifest=v.manifest,
+            tombstones={**{h: v.tombstones.get(h, 0) for h in head}, seg: n_tomb},
+        )
+        self._publish(nv)
+        return nv
+
     def compact(self) -> Version | None:
         """Rewrite the live rows of the current version as one segment."""
         v = self.current()

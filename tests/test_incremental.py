@@ -57,6 +57,24 @@ def test_incremental_equals_full(spark):
     assert _hits(spark, inc) == _hits(spark, full)
     # Manifest: every indexed document, none of the deleted files.
     assert inc.manifest().count() == full.manifest().count() == full.doc_count()
+    # A third run, then folding the increments: still equal to a fresh build.
+    final2 = final.filter(F.col("doc_id") % 11 != 0).withColumn(
+        "mod_time",
+        F.when(F.col("doc_id") % 4 == 1, F.to_timestamp(F.lit("2025-09-01 00:00:00"))).otherwise(F.col("mod_time")),
+    ).withColumn(
+        "content", F.when(F.col("doc_id") % 4 == 1, F.lit("rewritten apache license text")).otherwise(F.col("content"))
+    )
+    inc.update(final2, C.CORPUS_ROOT, run_ts=datetime(2025, 10, 1))
+    assert len(inc.current().segments) == 3
+    full2 = _store(spark)
+    full2.update(final2, C.CORPUS_ROOT, run_ts=datetime(2025, 10, 1))
+    b2 = _ts(full2)
+    assert _ts(inc) == b2
+    inc.merge_tail()
+    assert len(inc.current().segments) == 2
+    assert _ts(inc) == b2 and inc.doc_count() == full2.doc_count() == inc.documents().count()
+    assert _hits(spark, inc) == _hits(spark, full2)
     # After compaction the live content is unchanged.
     inc.compact()
-    assert _ts(inc) == b
+    assert len(inc.current().segments) == 1
+    assert _ts(inc) == b2 and _hits(spark, inc) == _hits(spark, full2)
