@@ -10,7 +10,9 @@ Layout under ``root`` (a shared folder on a cluster):
         term_stats/         (field, tb, term, df); df deltas of this run,
                             negative for postings the run tombstoned
         tombstones/         ids removed from *earlier* segments
-    manifest/vNNNNNN/       (path, last_indexed), rewritten per run
+    manifest/vNNNNNN/       (path, last_indexed): a base written by the first
+                            run and by rebasing
+    manifest/dNNNNNN/       per-run deltas (path, last_indexed, op put/del)
     ledger/                 append-only run ledger
 
 An update writes only the changed documents: a new segment holds their
@@ -33,7 +35,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
@@ -63,6 +65,7 @@ DOCUMENTS_B = T.StructType(
     ]
 )
 DOC_COLUMNS = [f.name for f in S.DOCUMENTS.fields]
+MANIFEST_DELTA = "path string, last_indexed timestamp, op string"
 
 # Tombstone sets up to this many ids are broadcast in the read-side anti join.
 TOMBSTONE_BROADCAST_ROWS = 5_000_000
@@ -76,6 +79,8 @@ class Version:
     term_buckets: int = 16
     doc_buckets: int = 8
     manifest: str | None = None
+    manifest_deltas: list = field(default_factory=list)  # delta dirs, oldest first
+    manifest_delta_rows: int = 0
     tombstones: dict = field(default_factory=dict)  # segment -> tombstone count
 
 
@@ -199,10 +204,37 @@ class IndexStore:
         return u.groupBy("field", "tb", "term").agg(F.sum("df").alias("df")).filter(F.col("df") > 0)
 
     def manifest(self, v: Version | None = None) -> DataFrame:
+        """Base manifest with the per-run deltas applied (latest op wins)."""
         v = v or self.current()
         if v is None or v.manifest is None:
             return self.spark.createDataFrame([], S.MANIFEST)
-        return self.spark.read.schema(S.MANIFEST).parquet(self._p(f"manifest/{v.manifest}"))
+        base = self.spark.read.schema(S.MANIFEST).parquet(self._p(f"manifest/{v.manifest}"))
+        if not v.manifest_deltas:
+            return base
+        d = None
+        for i, name in enumerate(v.manifest_deltas):
+            t = self.spark.read.schema(MANIFEST_DELTA).parquet(self._p(f"manifest/{name}")).withColumn("seq", F.lit(i))
+            d = t if d is None else d.unionByName(t)
+        # Groups are per path and hold one row per delta at most.
+        w = Window.partitionBy("path").orderBy(F.col("seq").desc())
+        latest = d.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
+        touched = latest.select("path")
+        if v.manifest_delta_rows <= TOMBSTONE_BROADCAST_ROWS:
+            touched = F.broadcast(touched)
+        puts = latest.filter(F.col("op") == "put").select("path", "last_indexed")
+        return base.join(touched, "path", "left_anti").unionByName(puts)
+
+    def rebase_manifest(self) -> Version | None:
+        """Write the folded manifest as a new base and drop the deltas."""
+        v = self.current()
+        if v is None or not v.manifest_deltas:
+            return v
+        name = f"v{v.number + 1:06d}"
+        self.manifest(v).write.mode("overwrite").parquet(self._p(f"manifest/{name}"))
+        nv = Version(**{**v.__dict__, "number": v.number + 1, "manifest": name, "manifest_deltas": [],
+                        "manifest_delta_rows": 0})
+        self._publish(nv)
+        return nv
 
     def open_index(self) -> IndexTables:
         v = self.current()
@@ -366,14 +398,22 @@ class IndexStore:
         self.timings["segment"] = time.time() - t0
         n_added = self.spark.read.parquet(self._p(f"segments/{seg}/documents")).count()
 
-        # S15 + S16: manifest drops deleted paths and stamps processed files.
+        # S15 + S16: deleted paths leave the manifest; processed files are
+        # stamped with the run time.  The first run writes a base; later runs
+        # write only a delta of this run's rows.
         processed = self.spark.read.parquet(self._p(f"segments/{seg}/documents")).select(F.col("id").alias("path"))
-        kept = manifest.join(deleted.select("path"), "path", "left_anti").join(processed, "path", "left_anti")
-        new_manifest = kept.unionByName(processed.withColumn(
-            "last_indexed", F.to_timestamp(F.lit(run_ts.strftime("%Y-%m-%d %H:%M:%S.%f")))
-        ))
-        mname = f"v{number:06d}"
-        new_manifest.write.mode("overwrite").parquet(self._p(f"manifest/{mname}"))
+        stamp = F.to_timestamp(F.lit(run_ts.strftime("%Y-%m-%d %H:%M:%S.%f")))
+        if v is None or v.manifest is None:
+            mname, mdeltas, mrows = f"v{number:06d}", [], 0
+            processed.withColumn("last_indexed", stamp).write.mode("overwrite").parquet(self._p(f"manifest/{mname}"))
+        else:
+            dname = f"d{number:06d}"
+            delta = processed.select("path", stamp.alias("last_indexed"), F.lit("put").alias("op")).unionByName(
+                deleted.select("path", F.lit(None).cast("timestamp").alias("last_indexed"), F.lit("del").alias("op"))
+            )
+            delta.write.mode("overwrite").parquet(self._p(f"manifest/{dname}"))
+            mname, mdeltas = v.manifest, v.manifest_deltas + [dname]
+            mrows = v.manifest_delta_rows + n_added + n_deleted
 
         segments = (v.segments if v else []) + [seg]
         n_docs = (v.n_docs if v else 0) - n_removed_live + n_added
@@ -384,11 +424,15 @@ class IndexStore:
             term_buckets=self.config.term_buckets,
             doc_buckets=self.config.doc_buckets,
             manifest=mname,
+            manifest_deltas=mdeltas,
+            manifest_delta_rows=mrows,
             tombstones={**(v.tombstones if v else {}), seg: n_changed + n_deleted},
         )
         self._publish(nv)
         if len(nv.segments) > self.config.max_segments:
             self.merge_tail()
+        if len(nv.manifest_deltas) > self.config.max_segments:
+            self.rebase_manifest()
         self._ledger(run_id, PROGRESS_COMPLETE, n_added, n_changed, 1)
         self.timings["published"] = time.time() - t0
         return {"run_id": run_id, "changed": n_changed, "deleted": n_deleted, "n_docs": n_docs, "published": True}
@@ -439,6 +483,8 @@ class IndexStore:
             term_buckets=v.term_buckets,
             doc_buckets=v.doc_buckets,
             manifest=v.manifest,
+            manifest_deltas=v.manifest_deltas,
+            manifest_delta_rows=v.manifest_delta_rows,
             tombstones={**{h: v.tombstones.get(h, 0) for h in head}, seg: n_tomb},
         )
         self._publish(nv)
@@ -461,6 +507,8 @@ class IndexStore:
             term_buckets=v.term_buckets,
             doc_buckets=v.doc_buckets,
             manifest=v.manifest,
+            manifest_deltas=v.manifest_deltas,
+            manifest_delta_rows=v.manifest_delta_rows,
             tombstones={seg: 0},
         )
         self._publish(nv)

@@ -74,6 +74,15 @@ def test_incremental_equals_full(spark):
     assert len(inc.current().segments) == 2
     assert _ts(inc) == b2 and inc.doc_count() == full2.doc_count() == inc.documents().count()
     assert _hits(spark, inc) == _hits(spark, full2)
+    # The manifest (base + run deltas) has the fresh build's paths (unchanged
+    # files keep their earlier indexing time); rebasing keeps every row.
+    man = lambda st: sorted((r.path, str(r.last_indexed)) for r in st.manifest().collect())
+    assert len(inc.current().manifest_deltas) == 2
+    before = man(inc)
+    assert [p for p, _ in before] == [p for p, _ in man(full2)]
+    assert {t for _, t in before} == {"2025-01-01 00:00:00", "2025-06-01 00:00:00", "2025-10-01 00:00:00"}
+    inc.rebase_manifest()
+    assert inc.current().manifest_deltas == [] and man(inc) == before
     # After compaction the live content is unchanged.
     inc.compact()
     assert len(inc.current().segments) == 1
