@@ -90,15 +90,18 @@ def match_all(cq, index: M.IndexTables) -> DataFrame:
 
 def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = SearchConfig()) -> SearchResult:
     checked, cq, matches, n_queries, max_end, leaves = match_queries(queries, index, config)
-    # Hits and page details both read the ranked matches: keep them once
-    # (spread over executors, spilled to disk when large).
-    ranked = R.rank_matches(matches, config.score_digits).persist(StorageLevel.MEMORY_AND_DISK)
-    tot = R.totals(ranked)
+    ranked = R.rank_matches(matches, config.score_digits)
+    # Hits need each query's top rows, page details its totals over all
+    # matches.  Both come out of one job (Spark reuses the shared match
+    # shuffle inside a single plan) and only that small result is kept:
+    # at most max_end rows plus one totals row per query.
+    both = R.top_and_totals(ranked, max(max_end, 1)).persist(StorageLevel.MEMORY_AND_DISK)
+    top = both.filter(F.col("doc_id").isNotNull()).drop("total_results", "max_score")
+    tot = both.filter(F.col("doc_id").isNull()).select("query_id", "total_results", "max_score")
     pages = R.page_details(cq.prepared, tot)
-    top = R.top_rows(ranked, max(max_end, 1))
     page = R.page_rows(top, cq.prepared, n_queries <= config.broadcast_max_rows)
     docs = index.documents
-    cached = [ranked, cq.prepared, cq.groups, cq.phrases, leaves]
+    cached = [both, cq.prepared, cq.groups, cq.phrases, leaves]
     if index.doc_buckets > 0 and "db" in docs.columns:
         # Documents are partitioned by an id-hash bucket: read only the
         # buckets of this batch's page rows (at most doc_buckets integers).
