@@ -17,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import SearchConfig
@@ -37,7 +37,9 @@ PUSHED_ID_LIMIT = 10_000
 class SearchResult:
     hits: DataFrame  # query_id, rank, id, path, name, score, size, mod_time, snippet
     pages: DataFrame  # query_id, total_results, max_score, current_page, ...
-    matches: DataFrame  # query_id, doc_id, score (all matches, unpaged)
+    # query_id, doc_id, score: all scored matches, unpaged (a blank query in
+    # match-all mode matches every document; those pairs are not listed)
+    matches: DataFrame
     rejected: DataFrame  # query_id, query, error
     cached: tuple = ()
 
@@ -63,29 +65,42 @@ def match_queries(queries: DataFrame, index: M.IndexTables, config: SearchConfig
         M.phrase_child_scores(cq, index, n_queries, config.broadcast_max_rows)
     )
     matches = M.score_matches(children)
-    if config.blank_matches_all:
-        every = match_all(cq, index)
-        if every is not None:
-            matches = matches.unionByName(every)
     return checked, cq, matches, n_queries, max_end, leaves
 
 
-def match_all(cq, index: M.IndexTables) -> DataFrame:
-    """Q5: every document for each blank query, constant score 1.0.
+def match_all(cq, index: M.IndexTables, max_end: int, max_rows: int):
+    """Q5: blank queries match every document with the constant score 1.0.
 
-    The blank query ids (at most the batch size) are exploded per document,
-    so no join pairs every query with every document.
+    Equal scores are ranked by id, so every blank query shares one ranking:
+    the first ``max_end`` documents by id (a distributed top-k: each task
+    keeps its own best ``max_end`` before the merge).  Each blank query asks
+    for the ranks of its own page (at most ``per_page`` of them), joined to
+    that ranking on the rank: no query x document pairs are formed.  Totals
+    are the document count.  Returns (page rows, totals) or None.
     """
-    ids = [int(r[0]) for r in cq.prepared.filter(F.col("q") == "").select("query_id").collect()]
-    if not ids:
-        return None
-    return index.documents.select(
-        F.explode(F.array(*[F.lit(i).cast("long") for i in ids])).alias("query_id"),
-        F.col("id").alias("doc_id"),
-        F.lit(0).alias("n_children"),
+    blank = cq.prepared.filter(F.col("q") == "").select("query_id", "per_page", "page")
+    lo = (F.col("page").cast("long") - 1) * F.col("per_page").cast("long")
+    wanted = blank.select(
+        "query_id", "per_page", "page",
+        F.explode(F.sequence(lo + 1, lo + F.col("per_page").cast("long"))).alias("rank"),
+    )
+    first = index.documents.select(F.col("id").alias("doc_id")).orderBy("doc_id").limit(max(max_end, 1))
+    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy("doc_id")).cast("long"))
+    page = wanted.join(M.bounded_broadcast(ranked, max_end, max_rows), "rank").select(
+        "query_id",
+        "doc_id",
         F.lit(1.0).alias("score"),
+        F.col("rank").cast("int").alias("rank"),
         F.lit(None).cast("struct<pos:int,term:string>").alias("loc"),
+        "per_page",
+        "page",
     )
+    tot = blank.select(
+        "query_id",
+        F.lit(index.n_docs).cast("bigint").alias("total_results"),
+        F.lit(1.0 if index.n_docs > 0 else None).cast("double").alias("max_score"),
+    )
+    return page, tot
 
 
 def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = SearchConfig()) -> SearchResult:
@@ -98,8 +113,12 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
     both = R.top_and_totals(ranked, max(max_end, 1)).persist(StorageLevel.MEMORY_AND_DISK)
     top = both.filter(F.col("doc_id").isNotNull()).drop("total_results", "max_score")
     tot = both.filter(F.col("doc_id").isNull()).select("query_id", "total_results", "max_score")
-    pages = R.page_details(cq.prepared, tot)
     page = R.page_rows(top, cq.prepared, n_queries <= config.broadcast_max_rows)
+    if config.blank_matches_all:
+        blank_page, blank_tot = match_all(cq, index, max_end, config.broadcast_max_rows)
+        page = page.unionByName(blank_page)
+        tot = tot.unionByName(blank_tot)
+    pages = R.page_details(cq.prepared, tot)
     docs = index.documents
     cached = [both, cq.prepared, cq.groups, cq.phrases, leaves]
     if index.doc_buckets > 0 and "db" in docs.columns:

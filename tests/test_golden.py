@@ -175,7 +175,7 @@ def test_match_all_mode(spark, tree):
     from quarry.config import SearchConfig
 
     root, store = tree
-    q = spark.createDataFrame([(1, "   ", 2, 1), (2, "markdown", 0, 0), (3, "", 0, 0)],
+    q = spark.createDataFrame([(1, "   ", 2, 1), (2, "markdown", 0, 0), (3, "", 0, 0), (4, " ", 2, 2)],
                               "query_id long, query string, per_page int, page int")
     res = search(q, store.open_index(), SearchConfig(blank_matches_all=True))
     hits = {}
@@ -184,11 +184,15 @@ def test_match_all_mode(spark, tree):
     pages = {r.query_id: r.total_results for r in res.pages.collect()}
     res.unpersist()
     n = store.doc_count()
-    assert pages[1] == n and pages[3] == n and pages[2] == 1
+    assert pages[1] == n and pages[3] == n and pages[4] == n and pages[2] == 1
     assert len(hits[1]) == 2 and all(s == 1.0 for _, s in hits[1])
-    assert [p for p, _ in hits[1]] == sorted(p for p, _ in hits[1])
+    every = sorted(r.id for r in store.documents().select("id").collect())
+    assert [p for p, _ in hits[1]] == every[:2]
+    # Page 2 of a blank query holds ranks 3-4 of the same id order.
+    assert [p for p, _ in hits[4]] == every[2:4]
+    assert len(hits[3]) == min(n, 20)
     assert hits[2][0][0].endswith("file3.md")
     # Without the mode, blank queries are rejected, not matched.
     res = search(q, store.open_index())
-    assert sorted(r.query_id for r in res.rejected.collect()) == [1, 3]
+    assert sorted(r.query_id for r in res.rejected.collect()) == [1, 3, 4]
     res.unpersist()
