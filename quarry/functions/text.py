@@ -2,7 +2,7 @@
 
 Everything here is a built-in Spark expression (JVM side, no Python per row).
 
-Tokeniser (the "standard" analyser): Unicode word segmentation after UAX #29,
+Tokeniser (T2, the "standard" analyser of ``name`` and ``content``): Unicode word segmentation after UAX #29,
 lower-cased, English stop words removed.  Word characters are letters, digits,
 combining marks and ``_``.  ``.``, ``'`` and ``’`` join letter-letter and
 digit-digit, ``:`` joins letter-letter, ``,`` and ``;`` join digit-digit;
@@ -87,11 +87,18 @@ def raw_tokens(col: Column) -> Column:
 
 
 def is_stop_word(col: Column) -> Column:
+    # A literal IN list (J5's stop-word anti join): 181 fixed words, so a
+    # hash set per task beats any join.
     return col.isin(*STOP_WORDS_EN)
 
 
 def analyzed_terms(col: Column) -> Column:
-    """ARRAY<STRING> of indexed terms of a text (stop words removed)."""
+    """ARRAY<STRING> of indexed terms of a text (stop words removed).
+
+    Q12: terms are lower-cased here and query words by the same expression,
+    so matching is case-insensitive; ``path`` is kept as it is (T3), so an
+    upper-case path never equals a lower-cased query.
+    """
     return F.filter(raw_tokens(col), lambda t: ~is_stop_word(t))
 
 

@@ -48,6 +48,6 @@ def assemble_documents(files: DataFrame, cap_bytes: int = CONTENT_CAP_BYTES) ->
         "path",
         "name",
         F.when(is_index_text(F.col("name")), F.coalesce(text, F.lit(""))).otherwise(F.lit("")).alias("content"),
-        F.col("size").cast("bigint").alias("size"),
+        F.col("size").cast("bigint").alias("size"),  # T5: numeric field, stored
         F.col("mod_time").cast("timestamp").alias("mod_time"),
     )

@@ -65,6 +65,7 @@ def drop_excluded_table(listing: DataFrame, excludes: DataFrame) -> DataFrame:
     excluded paths are then anti-joined.  Anti-joining the exploded rows
     directly would be wrong: the other ancestors of an excluded file survive.
     """
+    # An anti join (as for deletes S10/S11, hidden S14 and cleanup S15).
     ex = excludes.select(strip_trailing_slash(F.col("dir")).alias("dir")).distinct()
     anc = listing.select("path", F.explode(ancestor_dirs(F.col("path"))).alias("dir"))
     hit = anc.join(ex, "dir", "left_semi").select("path").distinct()

@@ -71,7 +71,13 @@ def remaining_terms(q):
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
-    """Q2 + Q3 + Q21 per query: q, phrases, remaining, branch, terms."""
+    """Q2 + Q3 + Q21 per query: q, phrases, remaining, branch, terms.
+
+    Q4: the query is an OR of one clause per quoted phrase plus the
+    remaining-terms clause (``branch``); when nothing was parsed the whole
+    string is the terms clause.  ``compile_queries`` explodes these into the
+    clause tables that the score tree ORs by aggregation.
+    """
     q = normalize_query(F.col("query"))
     p = queries.withColumn("q", q)
     p = p.withColumn("phrases", quoted_phrases(F.col("q"))).withColumn("remaining", remaining_terms(F.col("q")))

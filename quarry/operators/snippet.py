@@ -9,6 +9,8 @@ in the marked, lower-cased content (the same text the tokeniser saw).
 N2: no snippet unless content matched and the file type is snippet text.
 N4/N5: a window of ``context`` characters on each side, clamped to the text,
 trimmed, with '...' where it was cut.
+N6 (deliberate change): the text is the indexed ``documents.content`` of the
+version searched, not the file as it is now, so snippets agree with scores.
 """
 
 from __future__ import annotations

@@ -142,6 +142,7 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
     # The page rows are at most n_queries * 20; broadcast them and fetch
     # only their documents.
     fetched = M.bounded_broadcast(page, 20 * n_queries, config.broadcast_max_rows).join(docs, "doc_id")
+    # Q13: result projection (path, name, size, mod_time, score, id).
     hits = fetched.select(
         "query_id",
         F.col("rank").cast("int").alias("rank"),
