@@ -96,7 +96,7 @@ def analyzed_terms(col: Column) -> Column:
     """ARRAY<STRING> of indexed terms of a text (stop words removed).
 
     Q12: terms are lower-cased here and query words by the same expression,
-    so matching is case-insensitive; ``path`` is kept as it is (T3), so an
+    so matching is case-insensitive; ``path`` is kept as it is (T1), so an
     upper-case path never equals a lower-cased query.
     """
     return F.filter(raw_tokens(col), lambda t: ~is_stop_word(t))
