@@ -180,8 +180,11 @@ def _postings_for(index: IndexTables) -> DataFrame:
 def term_child_scores(leaves: DataFrame, index: IndexTables, expansion_rows: int, max_rows: int) -> DataFrame:
     """Scores of the single-term children and the ``and`` children per doc.
 
-    Output: query_id, doc_id, n_children, c, cscore, loc (struct of first
-    content position and term).
+    Output: query_id, doc_id, n_children, c, cscore, loc (first matched
+    content position).  A position holds one token, so the earliest position
+    also fixes the matched term; keeping it an int lets every aggregation of
+    the score tree be a hash aggregate (a string in the buffer would force
+    sort-based aggregation).
     """
     leaves = bounded_broadcast(leaves, expansion_rows, max_rows)
     hits = leaves.join(_postings_for(index), ["field", "tb", "lterm"]).select(
@@ -195,10 +198,7 @@ def term_child_scores(leaves: DataFrame, index: IndexTables, expansion_rows: int
         "n_terms",
         "n_leaves",
         _leaf(F.col("boost"), _idf(F.col("df"), index.n_docs), F.col("tf"), F.col("dl")).alias("leaf"),
-        F.when(
-            F.col("field") == "content",
-            F.struct(F.element_at("positions", 1).alias("pos"), F.col("lterm").alias("term")),
-        ).alias("loc"),
+        F.when(F.col("field") == "content", F.element_at("positions", 1)).alias("loc"),
     )
     hits = hits.repartition("query_id", "doc_id")
     grp = hits.groupBy("query_id", "doc_id", "n_children", "c", "t", "s", "n_subs", "n_terms", "n_leaves").agg(
@@ -255,7 +255,7 @@ def phrase_child_scores(cq: CompiledQueries, index: IndexTables, n_queries: int,
         "k",
         _leaf(F.col("boost"), _idf(F.col("df"), index.n_docs), F.col("tf"), F.col("dl")).alias("leaf"),
         F.transform("positions", lambda p: p - F.col("off")).alias("starts"),
-        F.struct(F.element_at("positions", 1).alias("pos"), F.col("lterm").alias("term")).alias("loc"),
+        F.element_at("positions", 1).alias("loc"),
     ).repartition("query_id", "doc_id")
     agg = hits.groupBy("query_id", "doc_id", "n_children", "c", "k").agg(
         F.sum("leaf").alias("cscore"),

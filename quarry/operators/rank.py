@@ -30,33 +30,6 @@ def top_rows(ranked: DataFrame, max_end: int) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(max_end))
 
 
-def top_and_totals(ranked: DataFrame, max_end: int) -> DataFrame:
-    """Top rows per query and one totals row per query, as one table.
-
-    Top rows have ``doc_id`` set; totals rows have ``doc_id`` null and carry
-    ``total_results`` and ``max_score``.
-    """
-    top = top_rows(ranked, max_end).select(
-        "query_id",
-        "doc_id",
-        "score",
-        "rank",
-        "loc",
-        F.lit(None).cast("bigint").alias("total_results"),
-        F.lit(None).cast("double").alias("max_score"),
-    )
-    tot = totals(ranked).select(
-        "query_id",
-        F.lit(None).cast("string").alias("doc_id"),
-        F.lit(None).cast("double").alias("score"),
-        F.lit(None).cast("int").alias("rank"),
-        F.lit(None).cast(ranked.schema["loc"].dataType).alias("loc"),
-        F.col("total_results").cast("bigint").alias("total_results"),
-        "max_score",
-    )
-    return top.unionByName(tot)
-
-
 def page_rows(top: DataFrame, prepared: DataFrame, broadcast_ok: bool = True) -> DataFrame:
     """Keep each query's own page: offset = (page-1)*per_page.
 

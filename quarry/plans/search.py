@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import SearchConfig
 from quarry.functions.format import iso_utc
+from quarry.functions.text import raw_tokens
 from quarry.operators import match as M
 from quarry.operators import rank as R
 from quarry.operators.parse import compile_queries, persist_compiled
@@ -91,7 +92,7 @@ def match_all(cq, index: M.IndexTables, max_end: int, max_rows: int):
         "doc_id",
         F.lit(1.0).alias("score"),
         F.col("rank").cast("int").alias("rank"),
-        F.lit(None).cast("struct<pos:int,term:string>").alias("loc"),
+        F.lit(None).cast("int").alias("loc"),
         "per_page",
         "page",
     )
@@ -105,22 +106,22 @@ def match_all(cq, index: M.IndexTables, max_end: int, max_rows: int):
 
 def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = SearchConfig()) -> SearchResult:
     checked, cq, matches, n_queries, max_end, leaves = match_queries(queries, index, config)
-    ranked = R.rank_matches(matches, config.score_digits)
     # Hits need each query's top rows, page details its totals over all
-    # matches.  Both come out of one job (Spark reuses the shared match
-    # shuffle inside a single plan) and only that small result is kept:
-    # at most max_end rows plus one totals row per query.
-    both = R.top_and_totals(ranked, max(max_end, 1)).persist(StorageLevel.MEMORY_AND_DISK)
-    top = both.filter(F.col("doc_id").isNotNull()).drop("total_results", "max_score")
-    tot = both.filter(F.col("doc_id").isNull()).select("query_id", "total_results", "max_score")
+    # matches: both read the ranked matches, so they are computed once and
+    # kept (spread over executors, spilled to disk when large).  Recomputing
+    # instead would read and shuffle the postings twice, as Spark does not
+    # reuse the match shuffle between the two branches.
+    ranked = R.rank_matches(matches, config.score_digits).persist(StorageLevel.MEMORY_AND_DISK)
+    tot = R.totals(ranked)
+    top = R.top_rows(ranked, max(max_end, 1))
     page = R.page_rows(top, cq.prepared, n_queries <= config.broadcast_max_rows)
     if config.blank_matches_all:
         blank_page, blank_tot = match_all(cq, index, max_end, config.broadcast_max_rows)
-        page = page.unionByName(blank_page)
+        page = page.select(*blank_page.columns).unionByName(blank_page)
         tot = tot.unionByName(blank_tot)
     pages = R.page_details(cq.prepared, tot)
     docs = index.documents
-    cached = [both, cq.prepared, cq.groups, cq.phrases, leaves]
+    cached = [ranked, cq.prepared, cq.groups, cq.phrases, leaves]
     if index.doc_buckets > 0 and "db" in docs.columns:
         # Documents are partitioned by an id-hash bucket: read only the
         # buckets of this batch's page rows (at most doc_buckets integers).
@@ -142,6 +143,11 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
     # The page rows are at most n_queries * 20; broadcast them and fetch
     # only their documents.
     fetched = M.bounded_broadcast(page, 20 * n_queries, config.broadcast_max_rows).join(docs, "doc_id")
+    # The matched term is the token at the earliest matched position of
+    # the indexed text (tokenised again for page hits only).
+    fetched = fetched.withColumn(
+        "loc_term", F.try_element_at(raw_tokens(F.coalesce(F.col("content"), F.lit(""))), F.col("loc") + 1)
+    )
     # Q13: result projection (path, name, size, mod_time, score, id).
     hits = fetched.select(
         "query_id",
@@ -152,7 +158,7 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
         "score",
         "size",
         iso_utc(F.col("mod_time")).alias("mod_time"),
-        snippet(F.col("content"), F.col("name"), F.col("loc.term"), config.snippet_context).alias("snippet"),
+        snippet(F.col("content"), F.col("name"), F.col("loc_term"), config.snippet_context).alias("snippet"),
     )
     rejected = checked.filter(F.col("error").isNotNull()).select("query_id", "query", "error")
     return SearchResult(
