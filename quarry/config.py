@@ -73,6 +73,10 @@ class SearchConfig:
     broadcast_max_rows: int = 2_000_000
     score_digits: int = 6
     snippet_context: int = SNIPPET_CONTEXT
+    # Up to this page end a per-query row_number with a per-task limit
+    # ranks the hits; deeper pages use an exact global numbering over range
+    # partitions, so a broad query is never gathered into one task.
+    deep_page_rows: int = 10_000
     # Q5: with ``blank_matches_all`` a blank query is valid and matches every
     # document with a constant score (ranked by path).  Off by default, as
     # validation rejects blank queries before they reach the index.

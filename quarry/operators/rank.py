@@ -30,6 +30,32 @@ def top_rows(ranked: DataFrame, max_end: int) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(max_end))
 
 
+def top_rows_deep(ranked: DataFrame, max_end: int, tot: DataFrame, max_rows: int, n_queries: int) -> DataFrame:
+    """R4 for deep pages, exact, without gathering one query into one task.
+
+    ``row_number`` per query needs all rows of a query in one task once the
+    page end is large (the per-task limit no longer prunes).  Here the rank
+    is a global row number over (query, score desc, id), computed from range
+    partitions, minus the number of rows of all earlier queries (a running
+    sum over the per-query totals ``tot``).
+    """
+    from quarry.operators.progress import global_row_number, running_sum
+
+    order = [F.col("query_id").asc(), F.col("score").desc(), F.col("doc_id").asc()]
+    numbered = global_row_number(ranked, order, "_g")
+    starts = running_sum(tot.select("query_id", "total_results"), "query_id", "total_results", "_cum").select(
+        "query_id", (F.col("_cum") - F.col("total_results")).alias("_start")
+    )
+    starts = F.broadcast(starts) if n_queries <= max_rows else starts
+    rank = (F.col("_g") - F.col("_start")).cast("int")
+    return (
+        numbered.join(starts, "query_id")
+        .withColumn("rank", rank)
+        .filter(F.col("rank") <= F.lit(max_end))
+        .drop("_g", "_start")
+    )
+
+
 def page_rows(top: DataFrame, prepared: DataFrame, broadcast_ok: bool = True) -> DataFrame:
     """Keep each query's own page: offset = (page-1)*per_page.
 

@@ -113,7 +113,10 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
     # reuse the match shuffle between the two branches.
     ranked = R.rank_matches(matches, config.score_digits).persist(StorageLevel.MEMORY_AND_DISK)
     tot = R.totals(ranked)
-    top = R.top_rows(ranked, max(max_end, 1))
+    if max_end <= config.deep_page_rows:
+        top = R.top_rows(ranked, max(max_end, 1))
+    else:
+        top = R.top_rows_deep(ranked, max_end, tot, config.broadcast_max_rows, n_queries)
     page = R.page_rows(top, cq.prepared, n_queries <= config.broadcast_max_rows)
     if config.blank_matches_all:
         blank_page, blank_tot = match_all(cq, index, max_end, config.broadcast_max_rows)

@@ -162,3 +162,32 @@ def test_search_matches_bruteforce(spark):
         for d in want:
             assert have[d] == pytest.approx(want[d], abs=2e-6), (q, d)
     assert nonempty >= 8
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test tables missing")
+def test_deep_page_ranking_equals_window_ranking(spark):
+    """The global-numbering path for deep pages gives the same pages."""
+    from quarry.config import SearchConfig
+
+    docs_df = assemble_documents(L.visible_files(C.files_listing(spark, SF), C.CORPUS_ROOT))
+    idx = build_index(docs_df)
+    qs = [(i * 3 + p, q, 5, p + 1) for i, q in enumerate(QUERIES) for p in range(3)]
+    qdf = spark.createDataFrame(qs, "query_id long, query string, per_page int, page int")
+
+    def run(cfg):
+        res = search(qdf, idx, cfg)
+        hits = sorted((r.query_id, r.rank, r.id, r.score) for r in res.hits.collect())
+        pages = sorted(tuple(r) for r in res.pages.collect())
+        res.unpersist()
+        return hits, pages
+
+    window, deep = run(SearchConfig()), run(SearchConfig(deep_page_rows=0))
+    assert deep == window
+    assert len(window[0]) > 20
+    # Ranks of each page are contiguous from (page - 1) * per_page + 1.
+    by_q = {}
+    for qid, rank, _, _ in window[0]:
+        by_q.setdefault(qid, []).append(rank)
+    for qid, ranks in by_q.items():
+        lo = (qid % 3) * 5
+        assert ranks == list(range(lo + 1, lo + 1 + len(ranks)))
