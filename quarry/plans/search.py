@@ -26,6 +26,7 @@ from quarry.functions.text import raw_tokens
 from quarry.operators import match as M
 from quarry.operators import rank as R
 from quarry.operators.parse import compile_queries, persist_compiled
+from quarry.operators.progress import global_row_number
 from quarry.operators.snippet import snippet
 from quarry.operators.validate import validate_queries
 
@@ -69,7 +70,7 @@ def match_queries(queries: DataFrame, index: M.IndexTables, config: SearchConfig
     return checked, cq, matches, n_queries, max_end, leaves
 
 
-def match_all(cq, index: M.IndexTables, max_end: int, max_rows: int):
+def match_all(cq, index: M.IndexTables, max_end: int, max_rows: int, deep_rows: int):
     """Q5: blank queries match every document with the constant score 1.0.
 
     Equal scores are ranked by id, so every blank query shares one ranking:
@@ -85,8 +86,14 @@ def match_all(cq, index: M.IndexTables, max_end: int, max_rows: int):
         "query_id", "per_page", "page",
         F.explode(F.sequence(lo + 1, lo + F.col("per_page").cast("long"))).alias("rank"),
     )
-    first = index.documents.select(F.col("id").alias("doc_id")).orderBy("doc_id").limit(max(max_end, 1))
-    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy("doc_id")).cast("long"))
+    ids = index.documents.select(F.col("id").alias("doc_id"))
+    if max_end <= deep_rows:
+        first = ids.orderBy("doc_id").limit(max(max_end, 1))
+        ranked = first.withColumn("rank", F.row_number().over(Window.orderBy("doc_id")).cast("long"))
+    else:
+        # Deep pages: number the documents over range partitions instead of
+        # one window task.
+        ranked = global_row_number(ids, [F.col("doc_id").asc()], "rank").filter(F.col("rank") <= F.lit(max_end))
     page = wanted.join(M.bounded_broadcast(ranked, max_end, max_rows), "rank").select(
         "query_id",
         "doc_id",
@@ -119,7 +126,7 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
         top = R.top_rows_deep(ranked, max_end, tot, config.broadcast_max_rows, n_queries)
     page = R.page_rows(top, cq.prepared, n_queries <= config.broadcast_max_rows)
     if config.blank_matches_all:
-        blank_page, blank_tot = match_all(cq, index, max_end, config.broadcast_max_rows)
+        blank_page, blank_tot = match_all(cq, index, max_end, config.broadcast_max_rows, config.deep_page_rows)
         page = page.select(*blank_page.columns).unionByName(blank_page)
         tot = tot.unionByName(blank_tot)
     pages = R.page_details(cq.prepared, tot)

@@ -191,6 +191,13 @@ def test_match_all_mode(spark, tree):
     # Page 2 of a blank query holds ranks 3-4 of the same id order.
     assert [p for p, _ in hits[4]] == every[2:4]
     assert len(hits[3]) == min(n, 20)
+    # The deep-page path (global numbering) returns the same pages.
+    res = search(q, store.open_index(), SearchConfig(blank_matches_all=True, deep_page_rows=0))
+    deep = {}
+    for r in res.hits.orderBy("query_id", "rank").collect():
+        deep.setdefault(r.query_id, []).append((r.path, r.score))
+    res.unpersist()
+    assert deep == hits
     assert hits[2][0][0].endswith("file3.md")
     # Without the mode, blank queries are rejected, not matched.
     res = search(q, store.open_index())
