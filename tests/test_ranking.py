@@ -50,3 +50,8 @@ def test_hot_query_is_split_over_range_partitions(spark):
     )
     # The 2000 rows of the hot query land in several tasks, not one.
     assert len(per_part) >= 2 and max(r["count"] for r in per_part) < 2000
+
+
+def test_deep_ranking_of_no_matches(spark):
+    empty = _skewed(spark).filter(F.lit(False))
+    assert R.top_rows_deep(empty, 50, R.totals(empty), 1000, 1).count() == 0
