@@ -86,28 +86,27 @@ def raw_tokens(col: Column) -> Column:
     return F.transform(F.regexp_extract_all(marked, F.lit(WORD_RE), 0), unmark)
 
 
-_STOP_LITERALS: dict = {}
+_CONSTANT_COLUMNS: dict = {}
 
 
-def _stop_literals() -> list:
-    """The stop words as literal columns, made once per JVM gateway.
+def constant_columns(name: str, build):
+    """Constant column expressions made once per JVM gateway.
 
-    Building 181 literals costs a few JVM round-trips each; plans call this
-    several times per search, so the columns are kept.
+    Every literal costs a few JVM round-trips to build; plans use the same
+    constants several times per search, so the built columns are kept.
     """
     from pyspark import SparkContext
 
-    key = id(SparkContext._gateway)
-    if key not in _STOP_LITERALS:
-        _STOP_LITERALS.clear()
-        _STOP_LITERALS[key] = [F.lit(w) for w in STOP_WORDS_EN]
-    return _STOP_LITERALS[key]
+    key = (id(SparkContext._gateway), name)
+    if key not in _CONSTANT_COLUMNS:
+        _CONSTANT_COLUMNS[key] = build()
+    return _CONSTANT_COLUMNS[key]
 
 
 def is_stop_word(col: Column) -> Column:
     # A literal IN list (J5's stop-word anti join): 181 fixed words, so a
     # hash set per task beats any join.
-    return col.isin(*_stop_literals())
+    return col.isin(*constant_columns("stop_words", lambda: [F.lit(w) for w in STOP_WORDS_EN]))
 
 
 def analyzed_terms(col: Column) -> Column:

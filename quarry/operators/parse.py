@@ -38,7 +38,15 @@ from quarry.config import (
     DEFAULT_PER_PAGE,
     PREFIX_MIN_BYTES,
 )
-from quarry.functions.text import analyzed_terms, is_stop_word, normalize_query, raw_tokens, split_words, trim_ws
+from quarry.functions.text import (
+    analyzed_terms,
+    constant_columns,
+    is_stop_word,
+    normalize_query,
+    raw_tokens,
+    split_words,
+    trim_ws,
+)
 
 _QUOTED_RE = r'"([^"]*)"'
 
@@ -103,13 +111,16 @@ def _sub_clauses():
         ("prefix", "name", BOOST_PREFIX, True),
         ("prefix", "content", BOOST_PREFIX, True),
     ]
-    return F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("kind"), F.lit(f).alias("field"), F.lit(b).alias("boost"), F.lit(px).alias("px")
-            )
-            for k, f, b, px in rows
-        ]
+    return constant_columns(
+        "sub_clauses",
+        lambda: F.array(
+            *[
+                F.struct(
+                    F.lit(k).alias("kind"), F.lit(f).alias("field"), F.lit(b).alias("boost"), F.lit(px).alias("px")
+                )
+                for k, f, b, px in rows
+            ]
+        ),
     )
 
 
