@@ -36,15 +36,14 @@ def local_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediates.
 
-    Uses ``spark.checkpoint.dir`` as the cluster sets it; only when nothing
-    set it (local tests) a scratch folder is created.  The SparkContext's
-    checkpoint folder is pointed at the same place.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where nothing set
+    it (local tests) a scratch folder is made; the setting itself is static, so
+    that folder is kept as the checkpoint folder of the SparkContext.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d

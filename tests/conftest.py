@@ -13,6 +13,7 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[4]")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quarry-test-ckpt-"))
         .appName("quarry-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
@@ -23,10 +24,7 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="quarry-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+    s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir"))
     yield s
     s.stop()
 
