@@ -45,6 +45,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def id_key(name: str) -> Column:
+    """An id as text that is never null, to join and group by."""
+    return F.coalesce(F.concat(F.lit("#"), F.col(name).cast("string")), F.lit("null"))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % folds
