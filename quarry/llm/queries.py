@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, quality_rules, simhash, token_counts
+from quarry.llm import exact_dedup, license_scan, quality_rules, simhash, token_counts
 from quarry.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.label_digest(license_scan.scan_licenses(documents(spark, sf_dir)))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -41,6 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
     "op5_quality_rules": op5_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
