@@ -9,9 +9,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, license_scan, quality_rules, simhash, token_counts
-from quarry.llm.common import documents
+from quarry.llm import exact_dedup, license_scan, lm_score, quality_rules, simhash, token_counts
+from quarry.llm.common import documents, fold
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +33,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = fold(F.col("doc_id"), 7) != 2
+    scored = lm_score.lm_scores(documents(spark, sf_dir), train, vocabulary("piece_bpe_32k.model"))
+    return scored.withColumn("held_out", ~F.col("train")).drop("train")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -47,6 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op5_quality_rules": op5_quality_rules,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
     "op10_exact_dedup": op10_exact_dedup,
