@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, license_scan, lm_score, packing, quality_rules, simhash, token_counts
+from quarry.llm import exact_dedup, license_scan, lm_score, mixing, packing, quality_rules, simhash, token_counts
 from quarry.llm.common import documents, fold
 
 
@@ -51,6 +51,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(documents(spark, sf_dir))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lm_scoring": op6_lm_scoring,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
+    "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
