@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, license_scan, lm_score, mixing, packing, quality_rules, simhash, token_counts, warc
+from quarry.llm import exact_dedup, license_scan, lm_score, mixing, packing, quality_rules, simhash, token_counts, toxicity, warc
 from quarry.llm.common import documents, fold
 
 
@@ -37,6 +37,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    scored = toxicity.toxicity(documents(spark, sf_dir), labels, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_token_counts": op7_token_counts,
