@@ -219,14 +219,14 @@ class Boosted:
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: knots (raw score, share of 1) of a rising function."""
-    order = np.argsort(raw, kind="stable")
+    values, at = np.unique(raw, return_inverse=True)
     blocks: list[list[float]] = []  # sum of labels, weight, first and last raw score
-    for r, label in zip(raw[order], y[order], strict=True):
-        blocks.append([float(label), 1.0, r, r])
-        while len(blocks) > 1 and (blocks[-1][2] == blocks[-2][3] or blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]):
-            s, w, _, last = blocks.pop()
-            blocks[-1][0] += s
-            blocks[-1][1] += w
+    for value, total, n in zip(values, np.bincount(at, y), np.bincount(at), strict=True):
+        blocks.append([float(total), float(n), value, value])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            total, n, _, last = blocks.pop()
+            blocks[-1][0] += total
+            blocks[-1][1] += n
             blocks[-1][3] = last
     knots = [(x, s / w) for s, w, a, b in blocks for x in ((a,) if a == b else (a, b))]
     return np.array([k[0] for k in knots]), np.array([k[1] for k in knots])
