@@ -9,9 +9,11 @@ words stand in three-word windows that are found twice or more in it.
 Every other document is compared with the reference of its language by the
 Jensen-Shannon distance (base 2, so 0 to 1) of two histograms: character
 classes, and common words (the words of ``COMMON_WORDS``, and all other words
-as one bin).  References are sums over all documents of the language that pass
-the base rules, from every row of the table; languages outside
-``COMMON_WORDS`` share the sums over all documents.  A document is rejected
+as one bin).  A language's reference comes from every row of the table: the
+documents that pass the base rules are summed, and then, so that a share of
+odd documents does not bend it, those of them that lie nearer to this sum than
+half of them do are summed again.  Languages outside ``COMMON_WORDS`` share the
+sums over all documents.  A document is rejected
 when a distance is above its limit.  Limits widen with 1/sqrt(length), as the
 distance of a small sample does; below a minimum length, and where a
 reference rests on too few documents, a histogram is not judged.
@@ -23,7 +25,7 @@ table gives an empty result; extra columns stay as they are with ``filter_qualit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import WS, materialize
@@ -163,13 +165,14 @@ def measure(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
     return step.select(*docs.columns, q.alias("_q"))
 
 
-def references(measured: DataFrame) -> DataFrame:
-    """Summed histograms: a row for each judged language, and one for all others.
+def _sums(measured: DataFrame, classes: Column, words: Column) -> DataFrame:
+    """Summed histograms of the documents that the conditions choose.
 
-    At most ``len(COMMON_WORDS) + 1`` rows.
+    One row for each judged language and one for all others: at most
+    ``len(COMMON_WORDS) + 1`` rows.
     """
-    sums = [F.sum(F.get("_q.classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
-    sums += [F.sum(F.get("_q.words", F.lit(i))).alias(f"w{i}") for i in range(BINS + 1)]
+    sums = [F.sum(F.when(classes, F.get("_q.classes", F.lit(i)))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
+    sums += [F.sum(F.when(words, F.get("_q.words", F.lit(i)))).alias(f"w{i}") for i in range(BINS + 1)]
     passed = measured.filter("NOT _q.base_failed")
     by_lang = passed.groupBy(F.col("_q.lang").alias("lang")).agg(F.count(F.lit(1)).alias("n"), *sums)
     # Documents of other languages are compared with all documents.
@@ -184,6 +187,33 @@ def references(measured: DataFrame) -> DataFrame:
     )
 
 
+#: Distances are counted in steps of 1 / STEPS to find their middle.
+STEPS = 1000
+
+
+def _step(distance: str) -> Column:
+    return F.floor(F.col(distance) * STEPS).cast("int")
+
+
+def _middle(far: DataFrame, distance: str, out: str) -> DataFrame:
+    """(lang, out): the step by which half of the language's documents are reached; exact."""
+    counts = far.filter(F.col(distance).isNotNull()).groupBy(F.col("_q.lang").alias("lang"), _step(distance).alias("step"))
+    counts = counts.agg(F.count(F.lit(1)).alias("n"))  # at most STEPS + 1 rows for each language
+    reached = Window.partitionBy("lang").orderBy("step")
+    whole = Window.partitionBy("lang")
+    counts = counts.withColumns({"reached": F.sum("n").over(reached), "all": F.sum("n").over(whole)})
+    return counts.filter(F.col("reached") * 2 >= F.col("all")).groupBy("lang").agg(F.min("step").alias(out))
+
+
+def references(measured: DataFrame) -> DataFrame:
+    """The reference histograms; at most ``len(COMMON_WORDS) + 1`` rows."""
+    far = materialize(distances(measured.select("_q"), _sums(measured, F.lit(True), F.lit(True))), "distances")
+    middle = _middle(far, "_class_distance", "_c_step").join(_middle(far, "_word_distance", "_w_step"), "lang", "full")
+    # One row for each language.
+    near = far.join(F.broadcast(middle), F.col("_q.lang") == F.col("lang"), "left")
+    return _sums(near, _step("_class_distance") <= F.col("_c_step"), _step("_word_distance") <= F.col("_w_step"))
+
+
 def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -198,8 +228,8 @@ def _distance(p: Column, p_sum: Column, q: Column, q_sum: Column) -> Column:
     return F.sqrt(F.greatest(_total(terms) / 2, F.lit(0.0)))
 
 
-def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
-    """Adds to ``_q``-rows: class_distance, word_distance (null where not judged) and kept."""
+def distances(measured: DataFrame, refs: DataFrame) -> DataFrame:
+    """Adds _class_distance and _word_distance to rows with ``_q``; null where not judged."""
     sums = refs.withColumns({"_r_chars": _total(F.col("_r_classes")), "_r_total": _total(F.col("_r_words"))})
     both = measured.join(F.broadcast(sums), F.col("_q.lang") == F.col("_r_lang"), "left")
     enough = ~F.col("_q.base_failed") & (F.col("_r_n") >= MIN_REFERENCE_DOCS)
@@ -208,14 +238,26 @@ def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
         enough & (n_chars >= MIN_CLASS_CHARS) & (F.col("_r_chars") > 0),
         _distance(F.col("_q.classes"), n_chars, F.col("_r_classes"), F.col("_r_chars")),
     )
+    word_sum = _total(F.transform("_q.words", lambda x: x.cast("double")))
     by_word = F.when(
         enough & F.col("_q.words").isNotNull() & (n_words >= MIN_COMMON_WORDS) & (F.col("_r_total") > 0),
-        _distance(F.col("_q.words"), _total(F.transform("_q.words", lambda x: x.cast("double"))), F.col("_r_words"), F.col("_r_total")),
+        _distance(F.col("_q.words"), word_sum, F.col("_r_words"), F.col("_r_total")),
+    )
+    return both.withColumns({"_class_distance": by_class, "_word_distance": by_word}).drop(*sums.columns)
+
+
+def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
+    """Adds the distances and _kept to rows with ``_q``."""
+
+    def too_far(distance: str, length: Column, limit: tuple[float, float]) -> Column:
+        return F.coalesce(F.col(distance) > limit[0] + limit[1] / F.sqrt(length), F.lit(False))
+
+    return distances(measured, refs).withColumn(
+        "_kept",
+        ~F.col("_q.base_failed")
+        & ~too_far("_class_distance", F.col("_q.n_chars"), CLASS_LIMIT)
+        & ~too_far("_word_distance", F.col("_q.n_words"), WORD_LIMIT),
     )
-    both = both.withColumns({"_class_distance": by_class, "_word_distance": by_word})
-    too_far = lambda d, n, limit: F.coalesce(F.col(d) > limit[0] + limit[1] / F.sqrt(n), F.lit(False))
-    kept = ~F.col("_q.base_failed") & ~too_far("_class_distance", n_chars, CLASS_LIMIT) & ~too_far("_word_distance", n_words, WORD_LIMIT)
-    return both.withColumn("_kept", kept).drop("_r_lang", "_r_n", "_r_classes", "_r_words", "_r_chars", "_r_total")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:

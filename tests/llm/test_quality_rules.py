@@ -4,6 +4,8 @@ import re
 import unicodedata
 from collections import Counter
 
+import pytest
+
 from quarry.llm import quality_rules as Q
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,29 +92,42 @@ def test_counts_distances_and_verdicts(make_docs):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want
     hist = {i: histograms(t, lang) for i, t, lang, _ in rows}
-    passed = [(i, lang) for i, _, lang, _ in rows if not base[i][-1]]
+    passed = [(i, lang if lang in Q.COMMON_WORDS else "") for i, _, lang, _ in rows if not base[i][-1]]
     add = lambda xs: [sum(c) for c in zip(*xs, strict=True)]
-    for i, t, lang, _ in rows:
-        if base[i][-1]:
-            assert not got[i].kept and got[i].class_distance is None
-            continue
-        known = lang in Q.COMMON_WORDS
-        peers = [j for j, other in passed if other == lang or not known]
-        want = None
-        if len(t) >= Q.MIN_CLASS_CHARS and len(peers) >= Q.MIN_REFERENCE_DOCS:
-            want = distance(hist[i][0], add(hist[j][0] for j in peers))
-            assert abs(got[i].class_distance - want) < 1e-9
-        else:
-            assert got[i].class_distance is None
-        word = None
-        if known and base[i][0] >= Q.MIN_COMMON_WORDS and len(peers) >= Q.MIN_REFERENCE_DOCS:
-            word = distance(hist[i][1], add(hist[j][1] for j in peers))
-            assert abs(got[i].word_distance - word) < 1e-9
-        else:
-            assert got[i].word_distance is None
+    judged = {  # which histogram is judged for which document
+        0: [(i, lang) for i, lang in passed if sum(hist[i][0]) >= Q.MIN_CLASS_CHARS],
+        1: [(i, lang) for i, lang in passed if hist[i][1] and base[i][0] >= Q.MIN_COMMON_WORDS],
+    }
+
+    def reference(k, lang, chosen):
+        peers = [j for j, other in chosen if (other == lang or not lang) and hist[j][k]]
+        return add(hist[j][k] for j in peers) if peers else None
+
+    def far(k, chosen):
+        out = {}
+        for i, lang in judged[k]:
+            if sum(other == lang or not lang for _, other in passed) >= Q.MIN_REFERENCE_DOCS:
+                ref = reference(k, lang, chosen)
+                out[i] = distance(hist[i][k], ref)
+        return out
+
+    want = {}
+    for k in (0, 1):
+        first = far(k, passed)
+        near = []
+        for lang in {x for _, x in passed}:
+            steps = sorted(int(first[i] * Q.STEPS) for i, other in judged[k] if other == lang and i in first)
+            near += [(i, lang) for i, other in judged[k] if other == lang and i in first and int(first[i] * Q.STEPS) <= steps[(len(steps) - 1) // 2]]
+        want[k] = far(k, near)
+    for i, t, *_ in rows:
+        r = got[i]
+        for k, d in ((0, r.class_distance), (1, r.word_distance)):
+            assert d == (pytest.approx(want[k][i], abs=1e-9) if i in want[k] else None)
         limit = lambda x, n: x[0] + x[1] / math.sqrt(n)
-        assert got[i].kept == (
-            (want is None or want <= limit(Q.CLASS_LIMIT, len(t))) and (word is None or word <= limit(Q.WORD_LIMIT, base[i][0]))
+        assert r.kept == (
+            not base[i][-1]
+            and want[0].get(i, 0) <= limit(Q.CLASS_LIMIT, max(len(t), 1))
+            and want[1].get(i, 0) <= limit(Q.WORD_LIMIT, max(base[i][0], 1))
         )
     assert not any(got[i].kept for i in (300, 301, 302, 303)) and got[304].kept
     assert all(got[i].kept for i, *_ in rows[:120] if not base[i][-1])
