@@ -167,9 +167,10 @@ def close_gaps(rounded: DataFrame, cap: int = CAP) -> DataFrame:
     gaps = rounded.groupBy("source").agg(
         F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("taken")
     ).select(F.col("source").alias("s"), (F.col("t") - F.col("taken")).alias("gap"))
-    may = rounded.join(gaps, F.col("source").eqNullSafe(F.col("s"))).filter("size > 0 AND abs(gap) >= 0.5")
+    # Candidates first, so that only they, not all rows, meet the gaps of their sources.
     kind = Window.partitionBy("source", F.length(F.bin("size"))).orderBy(F.xxhash64("doc_id"), "doc_id", "row_id")
-    few = may.withColumn("rank", F.row_number().over(kind)).filter(F.col("rank") <= CANDIDATES)
+    few = rounded.filter("size > 0").withColumn("rank", F.row_number().over(kind)).filter(F.col("rank") <= CANDIDATES)
+    few = few.join(gaps, F.col("source").eqNullSafe(F.col("s"))).filter("abs(gap) >= 0.5")
 
     def nearest(rows: pd.DataFrame) -> pd.DataFrame:
         """Up to MOVES times, the one or two changes that leave the smallest gap."""
