@@ -24,6 +24,7 @@ pieces; an empty table gives an empty result; extra columns do no harm.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, prefix_sum, row_slices
+from quarry.llm.token_counts import byte_symbols
 
 LENGTH = 4096
 END_ID = 2
@@ -41,7 +43,11 @@ DIMENSIONS = 4
 BITS = 12
 SEED = 20_240_501
 #: Words whose ids a worker keeps; a full cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+
+#: Letters that lower-case and compose to themselves, then ASCII marks without
+#: the apostrophe: two pre-tokens whatever stands around them.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def projection(seed: int = SEED) -> np.ndarray:
@@ -103,8 +109,21 @@ class WordTokenizer:
             raise ValueError("ids of this vocabulary need more than 16 bits")
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.symbols = byte_symbols()
         self.cache: dict[bytes, bytes] = {}
 
+    def word_ids(self, word: str) -> list[int]:
+        """Ids of a word; plain words go to the merging model without the steps that would not change them."""
+        plain = _PLAIN.fullmatch(word)
+        if not plain:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        letters, marks = plain.groups()
+        letters = letters.lower()
+        if not letters.isascii():
+            letters = "".join(map(self.symbols.__getitem__, letters.encode("utf-8")))
+        model = self.tokenizer.model
+        return [t.id for part in (letters, marks) if part for t in model.tokenize(part)]
+
     def encode(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
         words = [(t or "").encode("utf-8").split() for t in texts]  # ASCII white space
         cache = self.cache
@@ -112,12 +131,8 @@ class WordTokenizer:
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             new = {w for ws in words for w in ws}
-        if new:
-            new = list(new)
-            for w, e in zip(
-                new, self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True
-            ):
-                cache[w] = np.array(e.ids, "<u2").tobytes()
+        for w in new:
+            cache[w] = np.array(self.word_ids(w.decode("utf-8")), "<u2").tobytes()
         end = np.array([end_id], "<u2").tobytes()
         return [b"".join(map(cache.__getitem__, ws)) + end for ws in words]
 
