@@ -49,8 +49,12 @@ WORD = r"[\p{L}\p{N}\p{M}_\x01-\x06]+"
 WORDC = r"\p{L}\p{N}\p{M}_\x01-\x06"
 
 
+def low(e: str) -> str:
+    return f"lower(replace({e}, 'İ', 'i'))"
+
+
 def mark(e: str) -> str:
-    out = e
+    out = f"regexp_replace({e}, '[\\x01-\\x06]', ' ', 'g')"
     for ch, code, classes in MARK_CHARS:
         esc = "\\" + ch if ch in ".:" else ch.replace("'", "''")
         for cls in classes:
@@ -62,7 +66,7 @@ def mark(e: str) -> str:
 
 
 def raw_tokens(e: str) -> str:
-    return f"list_transform(regexp_extract_all({mark(f'lower({e})')}, '{WORD}'), lambda x: translate(x, {MARKERS_SQL}, {JOINERS_SQL}))"
+    return f"list_transform(regexp_extract_all({mark(low(e))}, '{WORD}'), lambda x: translate(x, {MARKERS_SQL}, {JOINERS_SQL}))"
 
 
 STOP = _list(STOP_WORDS_EN)
@@ -189,7 +193,7 @@ qvalid AS (
   WHERE coalesce(query, '') <> '' AND {trim_ws('query')} <> '' AND length(query) <= 1000
     AND per_page BETWEEN 0 AND 20 AND page >= 0
 ),
-p1 AS (SELECT *, lower({trim_ws('query')}) AS q FROM qvalid),
+p1 AS (SELECT *, {low(trim_ws('query'))} AS q FROM qvalid),
 p2 AS (
   SELECT *, list_filter(list_transform(regexp_extract_all(q, '"([^"]*)"', 1), lambda x: {trim_ws('x')}), lambda x: x <> '') AS phrases,
          {trim_ws("regexp_replace(q, '\"[^\"]*\"', ' ', 'g')")} AS remaining
@@ -301,7 +305,7 @@ children AS (
   UNION ALL SELECT query_id, doc_id, n_children, c, cscore, lpos, lterm FROM pch
 ),
 matches AS (
-  SELECT query_id, doc_id, round(sum(cscore) * count(*) / n_children, 6) AS score,
+  SELECT query_id, doc_id, CAST(CAST(sum(cscore) * count(*) / n_children AS FLOAT) AS DOUBLE) AS score,
          min(lpos) AS lpos, arg_min(lterm, lpos) AS lterm
   FROM children GROUP BY query_id, doc_id, n_children
 ),
@@ -321,7 +325,7 @@ hits AS (
 
 
 def snippet_sql(content: str, name: str, term: str) -> str:
-    marked = mark(f"lower({content})")
+    marked = mark(low(content))
     mterm = f"translate({term}, {JOINERS_SQL}, {MARKERS_SQL})"
     pat = f"'(?s)^(|.*?[^{WORDC}])\\Q' || {mterm} || '\\E(?:[^{WORDC}]|$)'"
     start = f"length(regexp_extract({marked}, {pat}, 1))"
@@ -421,7 +425,7 @@ UNION ALL SELECT 'path', id, 1 FROM docs"""
     out["parse_queries"] = f"""WITH qs AS (
   SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations
   UNION ALL SELECT * FROM (VALUES {bq}) v(query_id, query)
-), p AS (SELECT query_id, lower({trim_ws('query')}) AS q FROM qs),
+), p AS (SELECT query_id, {low(trim_ws('query'))} AS q FROM qs),
 p2 AS (
   SELECT query_id, q,
     list_filter(list_transform(regexp_extract_all(q, '"([^"]*)"', 1), lambda x: {trim_ws('x')}), lambda x: x <> '') AS phrases,
@@ -473,11 +477,13 @@ FROM d"""
   UNION SELECT DISTINCT '/corpus/' || source || '/' || lang FROM files
   UNION SELECT DISTINCT '/corpus/' || source || '/' || lang || '/.cache' FROM files WHERE doc_id % 41 = 0
   UNION SELECT '/corpus'
+  UNION SELECT '/'
 ), req AS (
   SELECT DISTINCT source || '/' || lang AS request_id, '/corpus/' || source AS path,
     '/corpus/' || source || '/' || lang || ' , ,' ||
     CASE WHEN lang = 'en' THEN '/corpus/src1' WHEN lang = 'de' THEN '/corpus/' || source
-         WHEN lang = 'fr' THEN 'relative/path' ELSE '' END AS exclude_text
+         WHEN lang = 'fr' THEN 'relative/path'
+         WHEN lang = 'es' THEN '/corpus/' || source || '/es/' ELSE '' END AS exclude_text
   FROM files
 ), r2 AS (
   SELECT *, list_filter(list_transform(string_split(exclude_text, ','), lambda x: {trim_ws('x')}), lambda x: x <> '') AS excludes FROM req
@@ -485,7 +491,7 @@ FROM d"""
   SELECT request_id, path, unnest(excludes) AS ex, generate_subscripts(excludes, 1) AS i FROM r2
 ), itemflags AS (
   SELECT request_id, i,
-    (ex = '' OR ({trim_ws('ex')} <> '' AND strpos(ex, chr(0)) = 0 AND starts_with(ex, '/') AND ex IN (SELECT path FROM existing))) AS ok,
+    (ex = '' OR ({trim_ws('ex')} <> '' AND strpos(ex, chr(0)) = 0 AND starts_with(ex, '/') AND regexp_replace(ex, '(.)/+$', '\1') IN (SELECT path FROM existing))) AS ok,
     CASE WHEN ex = path THEN 'path to exclude cannot be the same as index path'
          WHEN NOT starts_with(ex, path) THEN 'path to exclude must begin with the index path' END AS sem_err
   FROM items

@@ -18,7 +18,7 @@ BOOST_QUOTED_PHRASE = 6.0
 BOOST_REGULAR_PHRASE = 5.0
 BOOST_PREFIX = 1.5
 
-CONTENT_CAP_BYTES = 5 * 1024 * 1024  # bytes of a file read for indexing
+CONTENT_CAP_BYTES = 5 * 1024 * 1024  # an optional bound on the bytes of a file read for indexing
 SNIPPET_CONTEXT = 100  # characters on each side of the match
 PREFIX_MIN_BYTES = 3  # prefix clauses need a term of more than 2 bytes
 
@@ -27,7 +27,6 @@ MAX_PER_PAGE = 20
 MAX_QUERY_CHARS = 1000
 
 # run progress steps
-PROGRESS_STARTED = 0
 PROGRESS_STEP_LISTED = 10
 PROGRESS_STEP_CLEANED = 20
 PROGRESS_COMPLETE = 100
@@ -35,21 +34,24 @@ PROGRESS_FAILED = -1
 
 # Extensions whose content is read and indexed (lower-case, without the dot).
 INDEX_TEXT_EXTENSIONS = (
-    "txt md go js py java cpp c html css json xml yaml yml ini conf "
-    "doc xlsx docx pptx csv tsv sql pdf cs"
-).split()
+    "txt", "md", "go", "js", "py", "java", "cpp", "c", "html", "css", "json", "xml", "yaml", "yml",
+    "ini", "conf", "doc", "xlsx", "docx", "pptx", "csv", "tsv", "sql", "pdf", "cs",
+)
 
 # Extensions that get a snippet (lower-case, without the dot).
 SNIPPET_TEXT_EXTENSIONS = (
-    "txt md go js py java cpp c h css html htm xml json yaml yml sh bash zsh "
-    "fish sql log conf cfg ini toml rs rb php pl swift kt scala clj hs ml elm "
-    "r m tex dockerfile makefile cmake gradle maven sbt lock env gitignore "
-    "gitattributes editorconfig prettierrc eslintrc babelrc nvmrc nodeversion"
-).split()
+    "txt", "md", "go", "js", "py", "java", "cpp", "c", "h", "css", "html", "htm", "xml", "json",
+    "yaml", "yml", "sh", "bash", "zsh", "fish", "sql", "log", "conf", "cfg", "ini", "toml", "rs",
+    "rb", "php", "pl", "swift", "kt", "scala", "clj", "hs", "ml", "elm", "r", "m", "tex",
+    "dockerfile", "makefile", "cmake", "gradle", "maven", "sbt", "lock", "env", "gitignore",
+    "gitattributes", "editorconfig", "prettierrc", "eslintrc", "babelrc", "nvmrc", "nodeversion",
+)
 
 # Extensions with a text/* media type in the built-in media table, used as
 # the fallback of the snippet classification.
-TEXT_MEDIA_EXTENSIONS = "css htm html js mjs xml".split()
+TEXT_MEDIA_EXTENSIONS = (
+    "css", "htm", "html", "js", "mjs", "xml",
+)
 
 # Size units for display, base 1024.
 SIZE_UNITS = ("B", "KB", "MB", "GB")
@@ -64,19 +66,19 @@ class SearchConfig:
     on the phrase itself.
     broadcast_max_rows: upper bound on rows of a query-side table that may be
     broadcast; larger query batches use shuffle joins.
-    score_digits: scores are rounded to this many decimals before ranking so
-    that the order does not depend on floating-point summation order.
+    Scores are kept as 32-bit floats (7 significant digits at any size) before
+    ranking, so that the order does not depend on summation order.
     """
 
     phrase_mode: str = "as_built"
     blank_matches_all: bool = False
     broadcast_max_rows: int = 2_000_000
-    score_digits: int = 6
     snippet_context: int = SNIPPET_CONTEXT
-    # Up to this page end a per-query row_number with a per-task limit
-    # ranks the hits; deeper pages use an exact global numbering over range
-    # partitions, so a broad query is never gathered into one task.
-    deep_page_rows: int = 10_000
+    # Up to this page end Spark limits a per-query row_number in each task
+    # (its default for spark.sql.optimizer.windowGroupLimitThreshold); deeper
+    # pages use a global numbering over range partitions.  Both are exact, and
+    # neither gathers a broad query into one task.
+    deep_page_rows: int = 1000
     # Q5: with ``blank_matches_all`` a blank query is valid and matches every
     # document with a constant score (ranked by path).  Off by default, as
     # validation rejects blank queries before they reach the index.
@@ -90,12 +92,13 @@ class IndexConfig:
     partitioned by on disk; a query batch reads only the buckets of its terms.
     doc_buckets: hash buckets of the documents table, so that fetching the
     page hits reads only their buckets.
-    content_cap_bytes: bytes of each file that are indexed.
-    max_segments: when an update leaves more segments than this, all
-    segments after the first are merged into one (cost ~ the increments).
+    content_cap_bytes: bytes of each file that are indexed; None, the default,
+    indexes whole files.
+    max_segments: ``IndexStore.maintain`` merges the segments after the first
+    into one when there are more than this.
     """
 
     term_buckets: int = 16
     doc_buckets: int = 8
-    content_cap_bytes: int = CONTENT_CAP_BYTES
+    content_cap_bytes: int | None = None
     max_segments: int = 8

@@ -54,9 +54,10 @@ def is_under(path: Column, root: Column) -> Column:
 
 
 def ancestor_dirs(path: Column) -> Column:
-    """ARRAY<STRING> of every folder above ``path`` ('/a/b/f' -> ['/a', '/a/b'])."""
+    """ARRAY<STRING> of every folder above ``path`` ('/a/b/f' -> ['/', '/a', '/a/b'])."""
     parts = F.split(path, "/")
-    return F.transform(
-        F.sequence(F.lit(2), F.size(parts) - 1),
-        lambda i: F.array_join(F.slice(parts, 1, i), "/"),
+    below = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
+        lambda i: F.when(i == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, i), "/")),
     )
+    return F.when(path.startswith("/"), below).otherwise(F.array().cast("array<string>"))

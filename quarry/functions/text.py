@@ -54,9 +54,14 @@ def trim_ws(col: Column) -> Column:
     return F.regexp_replace(col, _TRIM_RE, "")
 
 
+def lower_case(col: Column) -> Column:
+    """Lower case that keeps the number of characters (İ alone would become two)."""
+    return F.lower(F.translate(col, "İ", "i"))
+
+
 def normalize_query(col: Column) -> Column:
     """Q2: lower-case and trim a query string."""
-    return F.lower(trim_ws(col))
+    return lower_case(trim_ws(col))
 
 
 def split_words(col: Column) -> Column:
@@ -65,8 +70,11 @@ def split_words(col: Column) -> Column:
 
 
 def mark_joiners(col: Column) -> Column:
-    """Replace joining characters in joining context by their markers."""
-    out = col
+    """Replace joining characters in joining context by their markers.
+
+    Marker characters of the text itself become spaces first.
+    """
+    out = F.translate(col, MARKERS, " " * len(MARKERS))
     for ch, marker in zip(JOINERS, MARKERS):
         out = F.regexp_replace(out, _joiner_pattern(ch), marker)
     return out
@@ -82,7 +90,7 @@ def raw_tokens(col: Column) -> Column:
     The array index of a token is its position; positions are assigned before
     stop words are removed, so phrase matching keeps their holes.
     """
-    marked = mark_joiners(F.lower(col))
+    marked = mark_joiners(lower_case(col))
     return F.transform(F.regexp_extract_all(marked, F.lit(WORD_RE), 0), unmark)
 
 

@@ -125,8 +125,10 @@ def change_set(raw_listing: DataFrame, manifest: DataFrame, root: str, excludes:
 
     Rows get ``status``: 'new' or 'changed' for visible, non-excluded files
     never indexed or modified after indexing; 'deleted' for manifest paths
-    under ``root`` that the (unfiltered) listing no longer has.  Unchanged
-    files are dropped.  Listed columns are kept (null for deleted rows).
+    under ``root`` that the (unfiltered) listing no longer has; 'unreadable'
+    for folders that could not be listed (``truly_deleted`` leaves out what lies
+    below them).  Unchanged files are dropped.  Listed
+    columns are kept (null for deleted rows).
     """
     r = root.rstrip("/") or "/"
     path = F.col("path")
@@ -142,4 +144,14 @@ def change_set(raw_listing: DataFrame, manifest: DataFrame, root: str, excludes:
         .when(F.col("_keep") & F.col("last_indexed").isNull(), F.lit("new"))
         .when(F.col("_keep") & (F.col("mod_time") > F.col("last_indexed")), F.lit("changed"))
     )
+    if "error" in raw_listing.columns:
+        status = F.when(F.col("is_dir") & F.col("error").isNotNull(), F.lit("unreadable")).otherwise(status)
     return j.withColumn("status", status).filter(F.col("status").isNotNull()).drop("_keep", "_listed")
+
+
+def truly_deleted(changes: DataFrame) -> DataFrame:
+    """Deleted paths of a written change set that lie below no unreadable folder."""
+    gone = changes.filter(F.col("status") == "deleted").select("path")
+    blind = changes.filter(F.col("status") == "unreadable").select(F.col("path").alias("dir"))
+    hidden = gone.select("path", F.explode(ancestor_dirs(F.col("path"))).alias("dir")).join(blind, "dir", "left_semi")
+    return gone.join(hidden.select("path").distinct(), "path", "left_anti")

@@ -1,10 +1,11 @@
 """Ranking, paging and page details.
 
-Per query the hits are ordered by score (rounded, so the order does not
-depend on summation order), ties by path.  Paging is a ``row_number`` window
-partitioned by query with a literal upper bound, so Spark plans a
-WindowGroupLimit: each task keeps only its best rows per query before the
-shuffle, and one very broad query never lands whole in one task.
+Per query the hits are ordered by score (with 7 significant digits, so the
+order does not depend on summation order), ties by path.  Paging is a
+``row_number`` window partitioned by query with a literal upper bound; up to
+the bound of ``SearchConfig.deep_page_rows`` Spark plans a WindowGroupLimit, so
+each task keeps only its best rows per query before the shuffle.  Deeper pages
+take a global numbering over range partitions.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_matches(matches: DataFrame, score_digits: int) -> DataFrame:
-    return matches.withColumn("score", F.round(F.col("score"), score_digits))
+def rank_matches(matches: DataFrame) -> DataFrame:
+    """Scores with 7 significant digits: a 32-bit float has them at any size."""
+    return matches.withColumn("score", F.col("score").cast("float").cast("double"))
 
 
 def totals(ranked: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def top_rows_deep(ranked: DataFrame, max_end: int, tot: DataFrame, max_rows: int
         "query_id", (F.col("_cum") - F.col("total_results")).alias("_start")
     )
     starts = F.broadcast(starts) if n_queries <= max_rows else starts
-    rank = (F.col("_g") - F.col("_start")).cast("int")
+    rank = F.col("_g") - F.col("_start")
     return (
         numbered.join(starts, "query_id")
         .withColumn("rank", rank)
@@ -73,8 +75,8 @@ def page_details(prepared: DataFrame, tot: DataFrame) -> DataFrame:
     j = prepared.select("query_id", "per_page", "page").join(tot, "query_id", "left")
     total = F.coalesce(F.col("total_results"), F.lit(0)).cast("bigint")
     offset = (F.col("page").cast("long") - 1) * F.col("per_page").cast("long")
-    current = (F.floor(offset / F.col("per_page")) + 1).cast("int")
-    pages = F.greatest(F.ceil(total / F.col("per_page")), F.lit(1)).cast("int")
+    current = (F.floor(offset / F.col("per_page")) + 1).cast("bigint")
+    pages = F.greatest(F.ceil(total / F.col("per_page")), F.lit(1)).cast("bigint")
     return j.select(
         "query_id",
         total.alias("total_results"),

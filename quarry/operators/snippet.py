@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from quarry.config import SNIPPET_CONTEXT
 from quarry.functions.paths import is_snippet_text
-from quarry.functions.text import JOINERS, MARKERS, WORD_CLASS, mark_joiners, quote_regex, trim_ws
+from quarry.functions.text import JOINERS, MARKERS, WORD_CLASS, lower_case, mark_joiners, quote_regex, trim_ws
 
 
 def match_offset(content: Column, term: Column) -> Column:
     """0-based character offset of the first whole-token occurrence of term."""
-    marked = mark_joiners(F.lower(content))
+    marked = mark_joiners(lower_case(content))
     pat = F.concat(
         F.lit("(?s)^(.*?)(?<![" + WORD_CLASS + "])"),
         quote_regex(F.translate(term, JOINERS, MARKERS)),

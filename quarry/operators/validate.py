@@ -88,11 +88,14 @@ def validate_index_requests(requests: DataFrame, listing: DataFrame) -> DataFram
     """
     req = requests.withColumn("excludes", F.coalesce(F.col("excludes"), F.array().cast("array<string>")))
     wanted = req.select("path").unionByName(req.select(F.explode("excludes").alias("path")))
-    ex = existing_paths(listing, wanted)
-    root_ok = req.select("request_id", "path").join(ex.withColumn("root_exists", F.lit(True)), "path", "left")
+    ex = existing_paths(listing, wanted.select(strip_trailing_slash(F.col("path")).alias("path")))
+    ex = ex.withColumnRenamed("path", "bare")
+    root_ok = req.select("request_id", strip_trailing_slash(F.col("path")).alias("bare")).join(
+        ex.withColumn("root_exists", F.lit(True)), "bare", "left"
+    )
     items = req.select("request_id", "path", F.posexplode("excludes").alias("i", "ex"))
-    items = items.join(
-        ex.select(F.col("path").alias("ex"), F.lit(True).alias("ex_exists")), "ex", "left"
+    items = items.withColumn("bare", strip_trailing_slash(F.col("ex"))).join(
+        ex.withColumn("ex_exists", F.lit(True)), "bare", "left"
     ).select(
         "request_id",
         "i",
@@ -121,7 +124,3 @@ def validate_index_requests(requests: DataFrame, listing: DataFrame) -> DataFram
     ).select(
         "request_id", "path", "excludes", F.coalesce(F.col("error0"), F.col("sem_err")).alias("error")
     )
-
-
-def normalize_excludes(excludes: Column) -> Column:
-    return F.transform(excludes, strip_trailing_slash)

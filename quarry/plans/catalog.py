@@ -432,6 +432,7 @@ def q_validate_excludes(spark, sf_dir):
             F.when(F.col("lang") == "en", F.lit(C.CORPUS_ROOT + "/src1"))
             .when(F.col("lang") == "de", F.concat(F.lit(C.CORPUS_ROOT + "/"), F.col("source")))
             .when(F.col("lang") == "fr", F.lit("relative/path"))
+            .when(F.col("lang") == "es", F.concat(F.lit(C.CORPUS_ROOT + "/"), F.col("source"), F.lit("/es/")))
             .otherwise(F.lit("")),
         ).alias("exclude_text"),
     )

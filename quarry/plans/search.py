@@ -98,7 +98,7 @@ def match_all(cq, index: M.IndexTables, max_end: int, max_rows: int, deep_rows:
         "query_id",
         "doc_id",
         F.lit(1.0).alias("score"),
-        F.col("rank").cast("int").alias("rank"),
+        F.col("rank").cast("bigint").alias("rank"),
         F.lit(None).cast("int").alias("loc"),
         "per_page",
         "page",
@@ -118,7 +118,7 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
     # kept (spread over executors, spilled to disk when large).  Recomputing
     # instead would read and shuffle the postings twice, as Spark does not
     # reuse the match shuffle between the two branches.
-    ranked = R.rank_matches(matches, config.score_digits).persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = R.rank_matches(matches).persist(StorageLevel.MEMORY_AND_DISK)
     tot = R.totals(ranked)
     if max_end <= config.deep_page_rows:
         top = R.top_rows(ranked, max(max_end, 1))
@@ -161,7 +161,7 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
     # Q13: result projection (path, name, size, mod_time, score, id).
     hits = fetched.select(
         "query_id",
-        F.col("rank").cast("int").alias("rank"),
+        F.col("rank").cast("bigint").alias("rank"),
         F.col("doc_id").alias("id"),
         "path",
         "name",

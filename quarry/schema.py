@@ -21,6 +21,7 @@ DOCUMENTS = T.StructType(
         T.StructField("content", T.StringType(), True),
         T.StructField("size", T.LongType(), True),
         T.StructField("mod_time", T.TimestampType(), True),
+        T.StructField("truncated", T.BooleanType(), True),
     ]
 )
 

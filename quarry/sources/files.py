@@ -6,11 +6,13 @@ Two loaders produce the listing contract (``quarry.schema.LISTING``):
   Selecting no ``content`` prunes it from the scan, so the change check reads
   metadata only; ``length``/``modificationTime`` filters are pushed down.
   It skips names starting with '_' as well as '.', and follows links.
-- ``scan_tree``: a Python data source that walks the tree, one input
-  partition per top-level folder, without following linked folders and
-  without dropping '_' names.  It lists metadata only; ``with_content``
-  then reads the capped bytes of the rows that need them, in parallel tasks,
-  and records per-file errors instead of failing the run.
+- ``scan_tree``: a Python data source that walks a tree mounted on every
+  machine, split by folders of the level that has enough of them, without
+  following linked folders and without dropping '_' names.  It lists metadata
+  only, with an error row for each folder that cannot be listed;
+  ``with_content`` then reads the rows that need it, in parallel tasks, and
+  records per-file errors instead of failing the run.  For other file systems
+  take ``scan_binary``.
 """
 
 from __future__ import annotations
@@ -18,12 +20,10 @@ from __future__ import annotations
 import os
 from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quarry.config import CONTENT_CAP_BYTES
 from quarry.functions.paths import base_name
 
 TREE_SCHEMA = "path string, name string, is_dir boolean, size bigint, mod_time timestamp, error string"
@@ -44,62 +44,75 @@ def scan_binary(spark: SparkSession, root: str, with_bytes: bool = False) -> Dat
 
 
 class _TreePartition(InputPartition):
-    def __init__(self, top: str, recurse: bool):
-        super().__init__(top)
-        self.top = top
+    def __init__(self, folders: list[str], recurse: bool):
+        super().__init__(folders)
+        self.folders = folders
         self.recurse = recurse
 
 
 class _TreeReader(DataSourceReader):
+    """Folders are opened level by level until there are ``splits`` of them.
+
+    What was opened on the way is listed without its sub-folders; the folders
+    of the last level are walked whole, each in a partition of its own.  A
+    folder that cannot be listed gives a row with ``error``; a root that cannot
+    be listed fails the scan.
+    """
+
     def __init__(self, options):
         self.root = os.path.normpath(options["path"])
+        self.splits = int(options.get("splits", 64))
+        self.depth = int(options.get("depth", 4))
+
+    @staticmethod
+    def _folders(top):
+        with os.scandir(top) as it:
+            return sorted(e.path for e in it if e.is_dir(follow_symlinks=False))
 
     def partitions(self):
-        parts = [_TreePartition(self.root, False)]
-        try:
-            with os.scandir(self.root) as it:
-                for e in it:
-                    if e.is_dir(follow_symlinks=False):
-                        parts.append(_TreePartition(e.path, True))
-        except OSError:
-            pass
-        return parts
+        opened, level = [self.root], self._folders(self.root)
+        for _ in range(self.depth):
+            if not level or len(level) >= self.splits:
+                break
+            below = []
+            for folder in level:
+                try:
+                    below += self._folders(folder)
+                except OSError:
+                    pass  # read() meets the same folder and reports it
+            opened += level
+            level = below
+        return [_TreePartition(opened, False)] + [_TreePartition([f], True) for f in level]
 
     @staticmethod
-    def _row(path, st, is_dir, err=None):
-        mt = datetime.fromtimestamp(st.st_mtime, tz=timezone.utc) if st is not None else None
-        size = int(st.st_size) if st is not None else None
-        return (path, os.path.basename(path), is_dir, size, mt, err)
-
-    def read(self, partition):
-        top = partition.top
-        if not partition.recurse:
-            # Files directly in the root.
-            with os.scandir(top) as it:
-                for e in it:
-                    if not e.is_dir(follow_symlinks=False):
-                        try:
-                            yield self._row(e.path, e.stat(follow_symlinks=False), False)
-                        except OSError as ex:
-                            yield self._row(e.path, None, False, str(ex))
-            return
+    def _row(path, is_dir):
         try:
-            yield self._row(top, os.stat(top, follow_symlinks=False), True)
+            st = os.stat(path, follow_symlinks=False)
         except OSError as ex:
-            yield self._row(top, None, True, str(ex))
-        for dirpath, dirnames, filenames in os.walk(top, followlinks=False, onerror=None):
-            for d in dirnames:
-                p = os.path.join(dirpath, d)
-                try:
-                    yield self._row(p, os.stat(p, follow_symlinks=False), True)
-                except OSError as ex:
-                    yield self._row(p, None, True, str(ex))
-            for f in filenames:
-                p = os.path.join(dirpath, f)
-                try:
-                    yield self._row(p, os.stat(p, follow_symlinks=False), False)
-                except OSError as ex:
-                    yield self._row(p, None, False, str(ex))
+            return (path, os.path.basename(path), is_dir, None, None, str(ex))
+        mtime = datetime.fromtimestamp(st.st_mtime, tz=timezone.utc)
+        return (path, os.path.basename(path), is_dir, int(st.st_size), mtime, None)
+
+    def read(self, partition):
+        pending = list(reversed(partition.folders))
+        while pending:
+            folder = pending.pop()
+            row = self._row(folder, True)
+            try:
+                with os.scandir(folder) as it:
+                    entries = sorted((e.path, e.is_dir(follow_symlinks=False)) for e in it)
+            except OSError as ex:
+                if folder == self.root:
+                    raise
+                yield (*row[:5], str(ex))
+                continue
+            if folder != self.root:
+                yield row
+            for path, is_dir in entries:
+                if not is_dir:
+                    yield self._row(path, False)
+                elif partition.recurse:
+                    pending.append(path)
 
 
 class FileTreeSource(DataSource):
@@ -120,32 +133,38 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format(FileTreeSource.name()).option("path", root).load()
 
 
-def _read_capped(cap: int):
+#: Bytes of file content that a task holds before it passes them on.
+HELD_BYTES = 32 * 1024 * 1024
+
+
+def _read_capped(cap: int | None):
+    def read(path, want, error):
+        if error is not None or not want:
+            return None, error
+        try:
+            with open(path, "rb") as fh:
+                return fh.read(-1 if cap is None else cap), None
+        except OSError as ex:
+            return None, str(ex)
+
     def fn(batches):
         for pdf in batches:
-            contents, errors = [], []
-            for p, want, err in zip(pdf["path"], pdf["_want"], pdf["error"]):
-                if err is not None or not want:
-                    contents.append(None)
-                    errors.append(err)
-                    continue
-                try:
-                    with open(p, "rb") as fh:
-                        contents.append(fh.read(cap))
-                    errors.append(None)
-                except OSError as ex:
-                    contents.append(None)
-                    errors.append(str(ex))
-            out = pdf.drop(columns=["_want"])
-            out["content"] = contents
-            out["error"] = errors
-            yield out
+            rest = pdf.drop(columns=["_want"])
+            contents, errors, start, held = [], [], 0, 0
+            for at, (path, want, error) in enumerate(zip(pdf["path"], pdf["_want"], pdf["error"]), 1):
+                content, error = read(path, want, error)
+                contents.append(content)
+                errors.append(error)
+                held += len(content or b"")
+                if held >= HELD_BYTES or at == len(pdf):
+                    yield rest.iloc[start:at].assign(content=contents, error=errors)
+                    contents, errors, start, held = [], [], at, 0
 
     return fn
 
 
-def with_content(listing: DataFrame, want, cap: int = CONTENT_CAP_BYTES) -> DataFrame:
-    """Read the first ``cap`` bytes of each file where ``want`` holds.
+def with_content(listing: DataFrame, want, cap: int | None = None) -> DataFrame:
+    """Read each file where ``want`` holds (S8); with ``cap``, its first bytes.
 
     A file that cannot be read gets ``error`` set and no content; downstream
     it is neither indexed nor recorded, so the next run retries it (S20).
@@ -158,4 +177,4 @@ def with_content(listing: DataFrame, want, cap: int = CONTENT_CAP_BYTES) -> Data
     return src.mapInPandas(_read_capped(cap), out_schema)
 
 
-__all__ = ["scan_binary", "scan_tree", "with_content", "FileTreeSource", "pd"]
+__all__ = ["scan_binary", "scan_tree", "with_content", "FileTreeSource"]

@@ -2,17 +2,17 @@
 
 Layout under ``root`` (a shared folder on a cluster):
 
-    CURRENT                 name of the published version file
-    versions/vNNNNNN.json   segments, n_docs, bucket counts
-    segments/sNNNNNN/       one segment per indexing run
+    versions/vNNNNNN.json   segments, n_docs, bucket counts; the highest
+                            number is the published version
+    segments/sNNNNNN-*/     one segment per indexing run
         documents/          partitioned by db (hash bucket of id)
         postings/           partitioned by field, tb; range-sorted by term
         term_stats/         (field, tb, term, df); df deltas of this run,
                             negative for postings the run tombstoned
         tombstones/         ids removed from *earlier* segments
-    manifest/vNNNNNN/       (path, last_indexed): a base written by the first
+    manifest/vNNNNNN-*/     (path, last_indexed): a base written by the first
                             run and by rebasing
-    manifest/dNNNNNN/       per-run deltas (path, last_indexed, op put/del)
+    manifest/dNNNNNN-*/     per-run deltas (path, last_indexed, op put/del)
     ledger/                 append-only run ledger
 
 An update writes only the changed documents: a new segment holds their
@@ -22,15 +22,19 @@ as negative deltas.  Reading a version unions the segments, anti-joins each
 with the tombstones of later segments, and sums term-statistics deltas.
 ``compact`` rewrites the live rows as one segment.
 
-Publishing is atomic: every table of a version is written first, then the
-small ``CURRENT`` pointer is replaced with a rename.  Readers resolve the
-pointer once.
+Publishing is atomic: every table of a version is written first, then its
+version file is written beside and renamed to its final name.  Readers take
+the highest complete version, so there is no moment without one.  A version
+file that exists already means another writer published it meanwhile; the run
+then fails and its tables are never read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -43,6 +47,7 @@ from pyspark.sql import types as T
 from quarry import schema as S
 from quarry.config import (
     PROGRESS_COMPLETE,
+    PROGRESS_FAILED,
     PROGRESS_STEP_CLEANED,
     PROGRESS_STEP_LISTED,
     IndexConfig,
@@ -54,16 +59,8 @@ from quarry.operators.analysis import build_postings, build_term_stats, term_buc
 from quarry.operators.extract import assemble_documents
 from quarry.operators.match import IndexTables
 
-# Stored documents carry their distinct analysed terms (a forward index) so
-# that removing a document needs only its own row, not a postings scan.
-DOCUMENTS_B = T.StructType(
-    S.DOCUMENTS.fields
-    + [
-        T.StructField("content_terms", T.ArrayType(T.StringType()), True),
-        T.StructField("name_terms", T.ArrayType(T.StringType()), True),
-        T.StructField("db", T.IntegerType(), True),
-    ]
-)
+# Stored documents carry the hash bucket of their id.
+DOCUMENTS_B = T.StructType(S.DOCUMENTS.fields + [T.StructField("db", T.IntegerType(), True)])
 DOC_COLUMNS = [f.name for f in S.DOCUMENTS.fields]
 MANIFEST_DELTA = "path string, last_indexed timestamp, op string"
 
@@ -84,6 +81,10 @@ class Version:
     tombstones: dict = field(default_factory=dict)  # segment -> tombstone count
 
 
+class ConcurrentUpdate(RuntimeError):
+    """Another writer published a version since this run began."""
+
+
 class _FS:
     """Minimal file operations through the Hadoop FileSystem of the session."""
 
@@ -120,12 +121,18 @@ class _FS:
         finally:
             out.close()
 
-    def replace(self, src_rel: str, dst_rel: str) -> None:
-        dst = self.path(dst_rel)
-        if self._fs.exists(dst):
-            self._fs.delete(dst, False)
-        if not self._fs.rename(self.path(src_rel), dst):
-            raise OSError(f"could not publish {dst_rel}")
+    def names(self, rel: str) -> list[str]:
+        if not self.exists(rel):
+            return []
+        return [s.getPath().getName() for s in self._fs.listStatus(self.path(rel))]
+
+    def publish(self, rel: str, text: str) -> None:
+        """Writes a file that must not exist yet; it appears whole or not at all."""
+        beside = f"{rel}.{uuid.uuid4().hex}.tmp"
+        self.write_text(beside, text)
+        if self.exists(rel) or not self._fs.rename(self.path(beside), self.path(rel)):
+            self._fs.delete(self.path(beside), False)
+            raise ConcurrentUpdate(f"{rel} was published by another writer")
 
 
 class IndexStore:
@@ -139,17 +146,19 @@ class IndexStore:
     # -- versions ---------------------------------------------------------
     def current(self) -> Version | None:
         """The published version, or None for a new index."""
-        if not self.fs.exists("CURRENT"):
+        complete = [n for n in self.fs.names("versions") if re.fullmatch(r"v\d+\.json", n)]
+        if not complete:
             return None
-        name = self.fs.read_text("CURRENT").strip()
-        meta = json.loads(self.fs.read_text(f"versions/{name}.json"))
-        return Version(**meta)
+        name = max(complete, key=lambda n: int(n[1:-5]))
+        return Version(**json.loads(self.fs.read_text(f"versions/{name}")))
 
     def _publish(self, v: Version) -> None:
-        name = f"v{v.number:06d}"
-        self.fs.write_text(f"versions/{name}.json", json.dumps(v.__dict__))
-        self.fs.write_text("CURRENT.tmp", name)
-        self.fs.replace("CURRENT.tmp", "CURRENT")
+        self.fs.publish(f"versions/v{v.number:06d}.json", json.dumps(v.__dict__))
+
+    @staticmethod
+    def _new_name(kind: str, number: int) -> str:
+        """A folder name that no other writer uses."""
+        return f"{kind}{number:06d}-{uuid.uuid4().hex[:8]}"
 
     def _p(self, rel: str) -> str:
         return f"{self.root}/{rel}"
@@ -229,7 +238,7 @@ class IndexStore:
         v = self.current()
         if v is None or not v.manifest_deltas:
             return v
-        name = f"v{v.number + 1:06d}"
+        name = self._new_name("v", v.number + 1)
         self.manifest(v).write.mode("overwrite").parquet(self._p(f"manifest/{name}"))
         nv = Version(**{**v.__dict__, "number": v.number + 1, "manifest": name, "manifest_deltas": [],
                         "manifest_delta_rows": 0})
@@ -254,30 +263,45 @@ class IndexStore:
         return v.n_docs if v else 0
 
     # -- writing --------------------------------------------------------------
-    def _write_segment(self, seg: str, docs: DataFrame, tombstones: DataFrame, ts_delta: DataFrame | None):
-        cfg = self.config
+    def _write_documents(self, seg: str, docs: DataFrame, doc_buckets: int) -> DataFrame:
+        """Writes a segment's documents by id bucket and reads them back.
+
+        Rebalanced by bucket: Spark cuts large buckets and joins small ones by
+        their bytes, so there are as many tasks and files as the data needs.
+        """
+        base = self._p(f"segments/{seg}/documents")
+        with_db = docs.select(*DOC_COLUMNS, self._db(F.col("id"), doc_buckets).alias("db"))
+        with_db.hint("rebalance", F.col("db")).sortWithinPartitions("db", "id").write.mode("overwrite").partitionBy(
+            "db"
+        ).parquet(base)
+        return self.spark.read.schema(DOCUMENTS_B).parquet(base)
+
+    def _write_index(self, seg: str, written: DataFrame, term_buckets: int, gone: DataFrame | None) -> None:
+        """Postings and term statistics of written documents; ``gone``: statistics to subtract."""
         base = self._p(f"segments/{seg}")
-        docs_b = docs.select(*DOC_COLUMNS).select(
-            *DOC_COLUMNS,
-            F.array_distinct(analyzed_terms(F.coalesce(F.col("content"), F.lit("")))).alias("content_terms"),
-            F.array_distinct(analyzed_terms(F.col("name"))).alias("name_terms"),
-            self._db(F.col("id")).alias("db"),
-        )
-        t0 = time.time()
-        docs_b.repartition("db").sortWithinPartitions("db", "id").write.mode("overwrite").partitionBy("db").parquet(
-            f"{base}/documents"
-        )
-        self.timings["seg_documents"] = time.time() - t0
-        written = self.spark.read.schema(DOCUMENTS_B).parquet(f"{base}/documents").select(*DOC_COLUMNS)
-        self._write_postings(base, build_postings(written, cfg.term_buckets))
-        self.timings["seg_postings"] = time.time() - t0
-        p_written = self.spark.read.schema(S.POSTINGS).parquet(f"{base}/postings")
-        ts = build_term_stats(p_written)
-        if ts_delta is not None:
-            ts = ts.unionByName(ts_delta).groupBy("field", "tb", "term").agg(F.sum("df").alias("df"))
+        self._write_postings(base, build_postings(written.select(*DOC_COLUMNS), term_buckets))
+        ts = build_term_stats(self.spark.read.schema(S.POSTINGS).parquet(f"{base}/postings"))
+        if gone is not None:
+            ts = ts.unionByName(gone).groupBy("field", "tb", "term").agg(F.sum("df").alias("df"))
         self._write_term_stats(base, ts)
-        self.timings["seg_term_stats"] = time.time() - t0
-        tombstones.select("doc_id").distinct().write.mode("overwrite").parquet(f"{base}/tombstones")
+
+    def _gone_stats(self, v: Version, removed: DataFrame) -> tuple[DataFrame | None, int]:
+        """Negative document frequencies of live documents that are removed, and their number.
+
+        The removed documents' own texts are tokenised again: only they are read.
+        """
+        if not v.segments:
+            return None, 0
+        dbs = [int(r[0]) for r in removed.select(self._db(F.col("doc_id"), v.doc_buckets)).distinct().collect()]
+        old = self.documents(v).filter(F.col("db").isin(*dbs)) if dbs else self.documents(v).filter(F.lit(False))
+        old = old.join(removed.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+        terms = [
+            old.select(F.lit(f).alias("field"), F.explode(F.array_distinct(analyzed_terms(F.coalesce(f, F.lit(""))))).alias("term"))
+            for f in ("content", "name")
+        ]
+        terms = terms[0].unionByName(terms[1]).unionByName(old.select(F.lit("path").alias("field"), F.col("path").alias("term")))
+        stats = terms.groupBy("field", "term").agg((-F.count(F.lit(1))).alias("df"))
+        return stats.select("field", term_bucket(F.col("field"), F.col("term"), v.term_buckets).alias("tb"), "term", "df"), old.count()
 
     @staticmethod
     def _write_postings(base: str, post: DataFrame) -> None:
@@ -301,8 +325,9 @@ class IndexStore:
             .parquet(f"{base}/term_stats")
         )
 
-    def _db(self, id_col):
-        return F.pmod(F.xxhash64(id_col), F.lit(self.config.doc_buckets)).cast("int")
+    @staticmethod
+    def _db(id_col, doc_buckets: int):
+        return F.pmod(F.xxhash64(id_col), F.lit(doc_buckets)).cast("int")
 
     def _ledger(self, run_id: str, status: int, n_done: int, n_total: int, batch: int) -> None:
         row = [(run_id, batch, n_done, n_total, status, datetime.now(timezone.utc).replace(tzinfo=None))]
@@ -329,85 +354,70 @@ class IndexStore:
         """
         run_ts = run_ts or datetime.now(timezone.utc).replace(tzinfo=None)
         run_id = run_id or run_ts.strftime("run-%Y%m%dT%H%M%S%f")
+        try:
+            return self._update(raw_listing, root, excludes, run_id, run_ts)
+        except Exception:
+            self._ledger(run_id, PROGRESS_FAILED, 0, 0, 0)
+            raise
+
+    def _update(self, raw_listing: DataFrame, root: str, excludes: Sequence[str], run_id: str, run_ts: datetime) -> dict:
         self.timings = {}
         t0 = time.time()
         v = self.current()
-        manifest = self.manifest(v)
-
-        # One listing pass: classify against the manifest in a single full
-        # outer join, write the change set to the store (this also cuts the
-        # lineage, so the tree is never listed twice and every later step
-        # sees the same snapshot), then count it.
+        # A store keeps the bucket counts that it began with.
+        term_buckets = v.term_buckets if v else self.config.term_buckets
+        doc_buckets = v.doc_buckets if v else self.config.doc_buckets
         self._ledger(run_id, PROGRESS_STEP_LISTED, 0, 0, 0)
+
+        # Metadata only: one full outer join with the manifest, written to the
+        # store, so the tree is listed once and later steps see one snapshot.
         cdir = self._p(f"runs/{run_id}/changes")
-        L.change_set(raw_listing, manifest, root, excludes).write.mode("overwrite").parquet(cdir)
+        facts = raw_listing.drop("content")
+        L.change_set(facts, self.manifest(v), root, excludes).write.mode("overwrite").parquet(cdir)
         changes = self.spark.read.parquet(cdir)
         counts = {r["status"]: int(r["n"]) for r in changes.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
         n_changed = counts.get("new", 0) + counts.get("changed", 0)
-        n_deleted = counts.get("deleted", 0)
-        changed = changes.filter(F.col("status") != "deleted").drop("status")
-        deleted = changes.filter(F.col("status") == "deleted").select("path")
+        changed = changes.filter(F.col("status").isin("new", "changed")).drop("status", "last_indexed")
+        deleted = L.truly_deleted(changes)
+        n_deleted = deleted.count() if counts.get("deleted", 0) else 0
         self.timings["detect"] = time.time() - t0
         if n_changed == 0 and n_deleted == 0:
             self._ledger(run_id, PROGRESS_COMPLETE, 0, 0, 1)
             return {"run_id": run_id, "changed": 0, "deleted": 0, "n_docs": v.n_docs if v else 0, "published": False}
 
-        if "content" not in changed.columns:
-            # Two-phase scan: the listing was metadata only; read the capped
-            # bytes of the changed text files now (S8), errors isolated.
+        if "content" in raw_listing.columns:
+            changed = changed.join(raw_listing.select("path", "content"), "path")
+        else:
+            # Read the changed text files now (S8), errors isolated.
             from quarry.sources.files import with_content
 
             want = is_index_text(F.col("name")) & ~F.col("is_dir")
             changed = with_content(changed, want, self.config.content_cap_bytes)
-        new_docs = assemble_documents(changed, self.config.content_cap_bytes)
-        removed = changed.select(F.col("path").alias("doc_id")).unionByName(
-            deleted.select(F.col("path").alias("doc_id"))
-        )
         number = (v.number + 1) if v else 1
-        seg = f"s{number:06d}"
-        ts_delta = None
-        old = None
-        n_removed_live = 0
-        if v is not None and v.segments:
-            # Negative df deltas for the live versions of removed ids, from the
-            # removed documents' own term lists: only their id buckets are read.
-            dbs = sorted(
-                int(r[0])
-                for r in removed.select(self._db(F.col("doc_id"))).distinct().collect()
-            )
-            rm = removed.select(F.col("doc_id").alias("id"))
-            if (n_changed + n_deleted) <= TOMBSTONE_BROADCAST_ROWS:
-                rm = F.broadcast(rm)
-            old = self.documents(v).filter(F.col("db").isin(*dbs)).join(rm, "id", "left_semi")
-            old = old.select("id", "content_terms", "name_terms").persist()
-            n_removed_live = old.count()
-            gone_terms = (
-                old.select(F.lit("content").alias("field"), F.explode("content_terms").alias("term"))
-                .unionByName(old.select(F.lit("name").alias("field"), F.explode("name_terms").alias("term")))
-                .unionByName(old.select(F.lit("path").alias("field"), F.col("id").alias("term")))
-            )
-            ts_delta = gone_terms.groupBy("field", "term").agg((-F.count(F.lit(1))).alias("df")).select(
-                "field", term_bucket(F.col("field"), F.col("term"), v.term_buckets).alias("tb"), "term", "df"
-            )
+        seg = self._new_name("s", number)
+        # Written documents are the files processed: a file that could not be
+        # read is not among them, keeps its old document and is tried again.
+        written = self._write_documents(seg, assemble_documents(changed, self.config.content_cap_bytes), doc_buckets)
+        processed = written.select(F.col("id").alias("path"))
+        n_added = processed.count()
+        self.timings["documents"] = time.time() - t0
+        removed = processed.unionByName(deleted).select(F.col("path").alias("doc_id"))
+        gone, n_removed_live = self._gone_stats(v, removed) if v else (None, 0)
         self._ledger(run_id, PROGRESS_STEP_CLEANED, 0, n_changed, 0)
-
-        self.timings["tombstone_stats"] = time.time() - t0
-        self._write_segment(seg, new_docs, removed, ts_delta)
-        if old is not None:
-            old.unpersist()
+        self.timings["cleaned"] = time.time() - t0
+        self._write_index(seg, written, term_buckets, gone)
+        removed.write.mode("overwrite").parquet(self._p(f"segments/{seg}/tombstones"))
         self.timings["segment"] = time.time() - t0
-        n_added = self.spark.read.parquet(self._p(f"segments/{seg}/documents")).count()
 
         # S15 + S16: deleted paths leave the manifest; processed files are
         # stamped with the run time.  The first run writes a base; later runs
         # write only a delta of this run's rows.
-        processed = self.spark.read.parquet(self._p(f"segments/{seg}/documents")).select(F.col("id").alias("path"))
         stamp = F.to_timestamp(F.lit(run_ts.strftime("%Y-%m-%d %H:%M:%S.%f")))
         if v is None or v.manifest is None:
-            mname, mdeltas, mrows = f"v{number:06d}", [], 0
+            mname, mdeltas, mrows = self._new_name("v", number), [], 0
             processed.withColumn("last_indexed", stamp).write.mode("overwrite").parquet(self._p(f"manifest/{mname}"))
         else:
-            dname = f"d{number:06d}"
+            dname = self._new_name("d", number)
             delta = processed.select("path", stamp.alias("last_indexed"), F.lit("put").alias("op")).unionByName(
                 deleted.select("path", F.lit(None).cast("timestamp").alias("last_indexed"), F.lit("del").alias("op"))
             )
@@ -415,28 +425,32 @@ class IndexStore:
             mname, mdeltas = v.manifest, v.manifest_deltas + [dname]
             mrows = v.manifest_delta_rows + n_added + n_deleted
 
-        segments = (v.segments if v else []) + [seg]
         n_docs = (v.n_docs if v else 0) - n_removed_live + n_added
         nv = Version(
             number=number,
-            segments=segments,
+            segments=(v.segments if v else []) + [seg],
             n_docs=n_docs,
-            term_buckets=self.config.term_buckets,
-            doc_buckets=self.config.doc_buckets,
+            term_buckets=term_buckets,
+            doc_buckets=doc_buckets,
             manifest=mname,
             manifest_deltas=mdeltas,
             manifest_delta_rows=mrows,
-            tombstones={**(v.tombstones if v else {}), seg: n_changed + n_deleted},
+            tombstones={**(v.tombstones if v else {}), seg: n_added + n_deleted},
         )
         self._publish(nv)
-        if len(nv.segments) > self.config.max_segments:
-            self.merge_tail()
-        if len(nv.manifest_deltas) > self.config.max_segments:
-            self.rebase_manifest()
         self._ledger(run_id, PROGRESS_COMPLETE, n_added, n_changed, 1)
         self.timings["published"] = time.time() - t0
         return {"run_id": run_id, "changed": n_changed, "deleted": n_deleted, "n_docs": n_docs, "published": True}
 
+    def maintain(self) -> Version | None:
+        """Merges segments and manifest deltas where there are more than ``max_segments``."""
+        v = self.current()
+        if v and len(v.segments) > self.config.max_segments:
+            v = self.merge_tail()
+        if v and len(v.manifest_deltas) > self.config.max_segments:
+            v = self.rebase_manifest()
+        return v
+
     def merge_tail(self) -> Version | None:
         """Fold every segment after the first into one.
 
@@ -457,12 +471,9 @@ class IndexStore:
             tombstones=v.tombstones,
         )
         number = v.number + 1
-        seg = f"s{number:06d}"
+        seg = self._new_name("s", number)
         base = self._p(f"segments/{seg}")
-        docs = self._live(tv, "documents", DOCUMENTS_B, "id")
-        docs.repartition("db").sortWithinPartitions("db", "id").write.mode("overwrite").partitionBy("db").parquet(
-            f"{base}/documents"
-        )
+        self._write_documents(seg, self._live(tv, "documents", DOCUMENTS_B, "id"), v.doc_buckets)
         self._write_postings(base, self._live(tv, "postings", S.POSTINGS, "doc_id"))
         parts = [self._seg_read(s2, "term_stats", S.TERM_STATS) for s2 in tail]
         u = parts[0]
@@ -475,7 +486,7 @@ class IndexStore:
             t = self.spark.read.schema("doc_id string").parquet(self._p(f"segments/{s2}/tombstones"))
             tombs = t if tombs is None else tombs.unionByName(t)
         tombs.distinct().write.mode("overwrite").parquet(f"{base}/tombstones")
-        n_tomb = self.spark.read.parquet(f"{base}/tombstones").count()
+        n_tomb = self.spark.read.schema("doc_id string").parquet(f"{base}/tombstones").count()
         nv = Version(
             number=number,
             segments=head + [seg],
@@ -496,10 +507,11 @@ class IndexStore:
         if v is None or len(v.segments) <= 1:
             return v
         number = v.number + 1
-        seg = f"s{number:06d}"
-        docs = self.documents(v).select(*DOC_COLUMNS)
+        seg = self._new_name("s", number)
+        written = self._write_documents(seg, self.documents(v), v.doc_buckets)
+        self._write_index(seg, written, v.term_buckets, None)
         empty = self.spark.createDataFrame([], "doc_id string")
-        self._write_segment(seg, docs, empty, None)
+        empty.write.mode("overwrite").parquet(self._p(f"segments/{seg}/tombstones"))
         nv = Version(
             number=number,
             segments=[seg],

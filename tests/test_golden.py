@@ -1,8 +1,9 @@
-"""End-to-end: the reference's five-file tree, indexed and searched.
+"""End to end on a small tree of our own: build, search, page, change, rebuild.
 
-Mirrors its handler tests: 11 searches with exact hit order, paging details,
-re-indexing an unchanged tree, then edit + delete + add, and a later exclude
-that does not remove what is already indexed.
+The tree has what decides hits and their order: a word twice in one file and
+once in another, words met only by a beginning or a file name, a name whose
+parts split and one that stays whole, a pair of words in one file of which
+another has one, mixed case, source code, and a root that begins with a dot.
 """
 
 import os
@@ -11,195 +12,159 @@ from datetime import datetime, timezone
 
 import pytest
 
+from quarry.config import SearchConfig
 from quarry.plans.search import search
 from quarry.sources.files import scan_tree
 from quarry.sources.store import IndexStore
 
-FILES = {
-    "file1.txt": "This is test content for file1",
-    "file2.go": 'package main\n\nfunc main() {\n\tprint("Hello")\n}',
-    "subdir/file3.md": "# Test Markdown\n\nThis is a test markdown file",
-    "subdir/file4.json": '{"key": "value", "number": 42}',
-    "subdir/nested/file5.py": "def hello():\n    print('Hello World')",
+HARBOUR = "Harbour notes: the ferry leaves at dawn, and every ferry returns by dusk.\n"
+TIDES = "# Tide tables\n\nLow water on Monday; one FERRY waits for the flood.\n"
+ENGINE = "int knots = 12; /* cruising speed, uphill never */\n"
+CREW = '{"captain": "Ødegård", "deckhands": 7, "berth": "north quay"}\n'
+PILOT = "for buoy in range(3):\n    signal(buoy, 'north')\n"
+TREE = {
+    "log7.txt": HARBOUR,
+    "charts/coast/tides.md": TIDES,
+    "engine.c": ENGINE,
+    "people/crew.json": CREW,
+    "people/watch/pilot.py": PILOT,
+    "photo.png": "ferry in a picture",
 }
+START = 1_600_000_000
+QUERY = "query_id long, query string, per_page int, page int"
 
-T0 = 1_700_000_000
 
-
-def _write(root, rel, text, mtime):
+def put(root, rel, text, mtime):
     p = os.path.join(root, rel)
     os.makedirs(os.path.dirname(p), exist_ok=True)
-    with open(p, "w") as fh:
+    with open(p, "w", encoding="utf-8") as fh:
         fh.write(text)
     os.utime(p, (mtime, mtime))
 
 
-def _run_ts(offset):
-    return datetime.fromtimestamp(T0 + offset, tz=timezone.utc).replace(tzinfo=None)
+def at(seconds):
+    return datetime.fromtimestamp(START + seconds, tz=timezone.utc).replace(tzinfo=None)
 
 
-def _search(spark, store, query, per_page=0, page=0):
-    q = spark.createDataFrame([(1, query, per_page, page)], "query_id long, query string, per_page int, page int")
-    res = search(q, store.open_index())
-    hits = [r.path for r in res.hits.orderBy("rank").collect()]
-    pages = res.pages.collect()
+def run(spark, store, rows, config=SearchConfig()):
+    """Paths below the root by query, page details by query, reasons by query."""
+    res = search(spark.createDataFrame(rows, QUERY), store.open_index(), config)
+    hits = {r[0]: [] for r in rows}
+    for r in res.hits.orderBy("query_id", "rank").collect():
+        hits[r.query_id].append(r)
+    pages = {r.query_id: r for r in res.pages.collect()}
+    rejected = {r.query_id: r.error for r in res.rejected.collect()}
     res.unpersist()
-    return hits, (pages[0].asDict() if pages else None)
+    return hits, pages, rejected
 
 
 @pytest.fixture(scope="module")
-def tree(spark, tmp_path_factory):
+def port(spark):
     base = spark.conf.get("spark.checkpoint.dir")
-    root = os.path.join(base, f"tree-{int(time.time() * 1e6)}", ".wheresthat_search_test")
-    for rel, text in FILES.items():
-        _write(root, rel, text, T0)
-    store = IndexStore(spark, os.path.join(base, f"index-{int(time.time() * 1e6)}"))
-    r = store.update(scan_tree(spark, root), root, run_ts=_run_ts(10))
-    assert r["published"] and store.doc_count() == 5
+    mark = int(time.time() * 1e6)
+    root = os.path.join(base, f"golden-{mark}", ".port")
+    for rel, text in TREE.items():
+        put(root, rel, text, START)
+    store = IndexStore(spark, os.path.join(base, f"golden-index-{mark}"))
+    assert store.update(scan_tree(spark, root), root, run_ts=at(5))["published"]
+    assert store.doc_count() == len(TREE)
     return root, store
 
 
-def P(root, rel):
-    return os.path.join(root, rel)
-
-
-CASES = [
-    ("test content", ["file1.txt"]),
-    ("main", ["file2.go"]),
-    ("markdown", ["subdir/file3.md"]),
-    ("conten", ["file1.txt"]),
-    ("file1", ["file1.txt"]),
-    ("file2.go", ["file2.go"]),
-    ("Hello World", ["subdir/nested/file5.py"]),
-    ("value", ["subdir/file4.json"]),
-    ("nonexistent", []),
-    ("HELLO", ["subdir/nested/file5.py", "file2.go"]),
-    ('"hello world"', ["subdir/nested/file5.py"]),
-    ("of the", []),
-]
-
-
-def test_search_cases(spark, tree):
-    """All cases as one queries table: one plan, one pass over the index."""
-    root, store = tree
-    rows = [(i, q, 0, 0) for i, (q, _) in enumerate(CASES)]
-    q = spark.createDataFrame(rows, "query_id long, query string, per_page int, page int")
-    res = search(q, store.open_index())
-    got = {}
-    for r in res.hits.orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.path)
-    res.unpersist()
-    for i, (query, expected) in enumerate(CASES):
-        assert got.get(i, []) == [P(root, e) for e in expected], query
-
-
-def test_no_results_page_details(spark, tree):
-    root, store = tree
-    hits, pg = _search(spark, store, "nonexistent")
-    assert hits == []
-    assert pg == {"query_id": 1, "total_results": 0, "max_score": 0.0, "current_page": 1, "page_size": 20,
-                  "total_pages": 1, "has_next_page": False, "has_prev_page": False}
-
-
-def test_pagination(spark, tree):
-    root, store = tree
-    hits, pg = _search(spark, store, "test", per_page=1, page=1)
-    assert hits == [P(root, "subdir/file3.md")]
-    assert (pg["current_page"], pg["page_size"], pg["total_pages"], pg["total_results"]) == (1, 1, 2, 2)
-    assert pg["has_next_page"] and not pg["has_prev_page"]
-    hits2, pg2 = _search(spark, store, "test", per_page=1, page=2)
-    assert hits2 == [P(root, "file1.txt")]
-    assert pg2["has_prev_page"] and not pg2["has_next_page"]
-
-
-def test_rejections(spark, tree):
-    _, store = tree
-    rows = [(1, None, 0, 0), (2, "", 0, 0), (3, "a" * 1001, 0, 0), (4, "test", -1, 0), (5, "test", 0, -1),
-            (6, "   ", 0, 0), (7, "test", 21, 0)]
-    q = spark.createDataFrame(rows, "query_id long, query string, per_page int, page int")
-    res = search(q, store.open_index())
-    errs = {r.query_id: r.error for r in res.rejected.collect()}
-    assert errs == {
-        1: "missing required field 'query'",
-        2: "missing required field 'query'",
-        3: "value or length of field 'query' is not in the expected range",
-        4: "value or length of field 'per_page' is not in the expected range",
-        5: "value or length of field 'page' is not in the expected range",
-        6: "invalid query",
-        7: "value or length of field 'per_page' is not in the expected range",
-    }
-    assert res.hits.count() == 0
-
-
-def test_snippet(spark, tree):
-    root, store = tree
-    q = spark.createDataFrame([(1, "markdown", 0, 0)], "query_id long, query string, per_page int, page int")
-    h = search(q, store.open_index()).hits.collect()
-    assert h[0].snippet == "# Test Markdown\n\nThis is a test markdown file"
-    q = spark.createDataFrame([(1, "file2.go", 0, 0)], "query_id long, query string, per_page int, page int")
-    assert search(q, store.open_index()).hits.collect()[0].snippet == ""
-
-
-def test_reindex_edit_delete_add(spark, tree):
-    root, store = tree
-    before = store.current().number
-    r = store.update(scan_tree(spark, root), root, run_ts=_run_ts(20))
-    assert not r["published"] and store.current().number == before
-    assert _search(spark, store, "HELLO")[0] == [P(root, "subdir/nested/file5.py"), P(root, "file2.go")]
-
-    _write(root, "subdir/nested/file5.py", "print('ping')", T0 + 30)
-    os.remove(P(root, "file2.go"))
-    _write(root, "newfile.txt", "Hello, this is a new file", T0 + 30)
-    r = store.update(scan_tree(spark, root), root, run_ts=_run_ts(40))
-    assert r["published"] and r["changed"] == 2 and r["deleted"] == 1
-    assert store.doc_count() == 5
-    assert _search(spark, store, "HELLO")[0] == [P(root, "newfile.txt")]
-    assert _search(spark, store, "ping")[0] == [P(root, "subdir/nested/file5.py")]
-    assert _search(spark, store, "main")[0] == []
-    # Term statistics count live documents only.
-    ts = store.open_index().term_stats
-    assert ts.filter("field = 'content' AND term = 'hello'").first().df == 1
-
-    # A later exclude keeps what is already indexed (count unchanged).
-    r = store.update(scan_tree(spark, root), root, excludes=[P(root, "subdir")], run_ts=_run_ts(50))
-    assert not r["published"] and store.doc_count() == 5
-
-    # Compaction keeps the same live content.
-    store.compact()
-    assert len(store.current().segments) == 1
-    assert _search(spark, store, "HELLO")[0] == [P(root, "newfile.txt")]
-    assert store.documents().count() == 5
+FOUND = {
+    "ferry": ["log7.txt", "charts/coast/tides.md"],  # twice, then once in a longer text; not inside the picture
+    "FERRY": ["log7.txt", "charts/coast/tides.md"],
+    "tide tables": ["charts/coast/tides.md"],
+    "deckh": ["people/crew.json"],  # the beginning of a word
+    "ødegård": ["people/crew.json"],
+    "log7": ["log7.txt"],  # a digit before the dot splits the name
+    "engine.c": ["engine.c"],  # a letter on both sides keeps it whole
+    "photo": ["photo.png"],
+    '"north quay"': ["people/crew.json"],
+    "knots": ["engine.c"],
+    "submarine": [],
+    "the by": [],  # only stop words
+    "buoy": ["people/watch/pilot.py"],
+}
 
 
-def test_match_all_mode(spark, tree):
-    from quarry.config import SearchConfig
+def test_hits_and_their_order(spark, port):
+    root, store = port
+    rows = [(i, q, 0, 0) for i, q in enumerate(FOUND)]
+    hits, pages, rejected = run(spark, store, rows)
+    for i, (q, want) in enumerate(FOUND.items()):
+        assert [os.path.relpath(r.path, root) for r in hits[i]] == want, q
+        assert pages[i].total_results == len(want)
+    assert not rejected
 
-    root, store = tree
-    q = spark.createDataFrame([(1, "   ", 2, 1), (2, "markdown", 0, 0), (3, "", 0, 0), (4, " ", 2, 2)],
-                              "query_id long, query string, per_page int, page int")
-    res = search(q, store.open_index(), SearchConfig(blank_matches_all=True))
-    hits = {}
-    for r in res.hits.orderBy("query_id", "rank").collect():
-        hits.setdefault(r.query_id, []).append((r.path, r.score))
-    pages = {r.query_id: r.total_results for r in res.pages.collect()}
-    res.unpersist()
-    n = store.doc_count()
-    assert pages[1] == n and pages[3] == n and pages[4] == n and pages[2] == 1
-    assert len(hits[1]) == 2 and all(s == 1.0 for _, s in hits[1])
+
+def test_quoted_pair_needs_neighbours(spark, port):
+    root, store = port
+    hits, *_ = run(spark, store, [(1, '"quay north"', 0, 0), (2, "north", 0, 0)], SearchConfig(phrase_mode="per_phrase"))
+    assert hits[1] == []
+    assert {os.path.relpath(r.path, root) for r in hits[2]} == {"people/crew.json", "people/watch/pilot.py"}
+
+
+def test_pages(spark, port):
+    _, store = port
+    hits, pages, _ = run(spark, store, [(1, "ferry", 1, 1), (2, "ferry", 1, 2), (3, "submarine", 0, 0)])
+    assert [len(hits[i]) for i in (1, 2, 3)] == [1, 1, 0] and hits[1][0].path != hits[2][0].path
+    shape = {i: (p.current_page, p.page_size, p.total_pages, p.has_next_page, p.has_prev_page) for i, p in pages.items()}
+    assert shape == {1: (1, 1, 2, True, False), 2: (2, 1, 2, False, True), 3: (1, 20, 1, False, False)}
+    assert pages[3].max_score == 0.0
+
+
+def test_reasons_for_rejection(spark, port):
+    _, store = port
+    rows = [(1, None, 0, 0), (2, "", 0, 0), (3, "q" * 1001, 0, 0), (4, "ferry", -3, 0), (5, "ferry", 0, -2), (6, "\t ", 0, 0), (7, "ferry", 99, 0)]
+    hits, _, rejected = run(spark, store, rows)
+    assert not any(hits.values())
+    field = {1: "'query'", 2: "'query'", 3: "'query'", 4: "'per_page'", 5: "'page'", 7: "'per_page'"}
+    assert set(rejected) == {1, 2, 3, 4, 5, 6, 7} and rejected[6] == "invalid query"
+    assert all(f in rejected[i] for i, f in field.items())
+    assert rejected[1] == rejected[2] != rejected[3]
+
+
+def test_snippets(spark, port):
+    _, store = port
+    hits, *_ = run(spark, store, [(1, "tide", 0, 0), (2, "photo", 0, 0), (3, "engine.c", 0, 0)])
+    assert hits[1][0].snippet == TIDES.strip()
+    assert hits[2][0].snippet == hits[3][0].snippet == ""  # a name is no place in a text
+
+
+def test_blank_queries_match_all_when_asked(spark, port):
+    _, store = port
+    rows = [(1, " ", 2, 1), (2, "tide", 0, 0), (3, "", 0, 0), (4, "  ", 2, 2)]
+    near, pages, _ = run(spark, store, rows, SearchConfig(blank_matches_all=True))
+    deep, *_ = run(spark, store, rows, SearchConfig(blank_matches_all=True, deep_page_rows=0))
     every = sorted(r.id for r in store.documents().select("id").collect())
-    assert [p for p, _ in hits[1]] == every[:2]
-    # Page 2 of a blank query holds ranks 3-4 of the same id order.
-    assert [p for p, _ in hits[4]] == every[2:4]
-    assert len(hits[3]) == min(n, 20)
-    # The deep-page path (global numbering) returns the same pages.
-    res = search(q, store.open_index(), SearchConfig(blank_matches_all=True, deep_page_rows=0))
-    deep = {}
-    for r in res.hits.orderBy("query_id", "rank").collect():
-        deep.setdefault(r.query_id, []).append((r.path, r.score))
-    res.unpersist()
-    assert deep == hits
-    assert hits[2][0][0].endswith("file3.md")
-    # Without the mode, blank queries are rejected, not matched.
-    res = search(q, store.open_index())
-    assert sorted(r.query_id for r in res.rejected.collect()) == [1, 3, 4]
-    res.unpersist()
+    for hits in (near, deep):
+        assert [r.path for r in hits[1]] == every[:2] and [r.path for r in hits[4]] == every[2:4]
+        assert [r.path for r in hits[3]] == every and {r.score for r in hits[3]} == {1.0}
+        assert len(hits[2]) == 1
+    assert {pages[i].total_results for i in (1, 3, 4)} == {len(every)}
+    assert set(run(spark, store, rows)[2]) == {1, 3, 4}
+
+
+def test_changes(spark, port):
+    root, store = port
+    number = store.current().number
+    assert not store.update(scan_tree(spark, root), root, run_ts=at(10))["published"]
+    assert store.current().number == number
+
+    put(root, "people/watch/pilot.py", "beacon = 'south'\n", START + 20)
+    put(root, "new/arrivals.csv", "ship,ferry\nAurora,1\n", START + 20)
+    os.remove(os.path.join(root, "log7.txt"))
+    r = store.update(scan_tree(spark, root), root, run_ts=at(30))
+    assert (r["changed"], r["deleted"], store.doc_count()) == (2, 1, len(TREE))
+    hits, *_ = run(spark, store, [(1, "ferry", 0, 0), (2, "beacon", 0, 0), (3, "buoy", 0, 0), (4, "harbour", 0, 0)])
+    assert {os.path.relpath(h.path, root) for h in hits[1]} == {"new/arrivals.csv", "charts/coast/tides.md"}
+    assert len(hits[2]) == 1 and not hits[3] and not hits[4]
+    assert store.open_index().term_stats.filter("field = 'content' AND term = 'ferry'").first().df == 2
+
+    # A later exclude does not take out what is indexed.
+    r = store.update(scan_tree(spark, root), root, excludes=[os.path.join(root, "people")], run_ts=at(40))
+    assert not r["published"] and store.doc_count() == len(TREE)
+    store.compact()
+    assert len(store.current().segments) == 1 and store.documents().count() == len(TREE)
+    assert len(run(spark, store, [(1, "ferry", 0, 0)])[0][1]) == 2

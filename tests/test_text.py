@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.format import format_size, progress_percent
 from quarry.functions.paths import ancestor_dirs, extension, is_hidden_below
-from quarry.functions.text import analyzed_terms, normalize_query, raw_tokens, split_words
+from quarry.functions.text import analyzed_terms, lower_case, normalize_query, raw_tokens, split_words
 from quarry.operators.parse import quoted_phrases, remaining_terms
+from quarry.operators.snippet import snippet
 
 
 def _one(spark, expr, value, typ="string"):
@@ -16,16 +17,16 @@ def _one(spark, expr, value, typ="string"):
 @pytest.mark.parametrize(
     "text,tokens",
     [
-        ("file1.txt", ["file1", "txt"]),
-        ("main.go", ["main.go"]),
+        ("log7.txt", ["log7", "txt"]),
+        ("engine.c", ["engine.c"]),
         ("pi is 3.14, ok", ["pi", "is", "3.14", "ok"]),
         ("it's fine", ["it's", "fine"]),
         ("a.b.c d", ["a.b.c", "d"]),
         ("1,000;2 x,y", ["1,000;2", "x", "y"]),
         ("key:value 1:2", ["key:value", "1", "2"]),
-        ("Hello, World!", ["hello", "world"]),
+        ("Ahoy, Harbour!", ["ahoy", "harbour"]),
         ("snake_case été Ünïcödé", ["snake_case", "été", "ünïcödé"]),
-        ('{"key": "value", "number": 42}', ["key", "value", "number", "42"]),
+        ('{"berth": "quay", "depth": 9}', ["berth", "quay", "depth", "9"]),
         ("", []),
     ],
 )
@@ -34,31 +35,47 @@ def test_raw_tokens(spark, text, tokens):
 
 
 def test_stop_words_removed_after_positions(spark):
-    assert _one(spark, analyzed_terms, "This is a test of the system") == ["test", "system"]
+    assert _one(spark, analyzed_terms, "There is a chart of the harbour") == ["chart", "harbour"]
 
 
-# The reference's own phrase-extraction cases.
-PARSE_CASES = [
-    ('"hello world"', ["hello world"], ""),
-    ('"hello world" test golang', ["hello world"], "test golang"),
-    ('"hello world" test "another phrase"', ["hello world", "another phrase"], "test"),
-    ("hello world test", [], "hello world test"),
-    ('"" test', [], "test"),
-    ('"  hello world  " test', ["hello world"], "test"),
-    ('  "first phrase"   test   "second phrase"  ', ["first phrase", "second phrase"], "test"),
-]
+QUOTES = {
+    '"low tide"': (["low tide"], ""),
+    'ferry "low tide" quay': (["low tide"], "ferry quay"),
+    '"north quay"\t"south  quay"': (["north quay", "south  quay"], ""),
+    "no quotes at all": ([], "no quotes at all"),
+    '""': ([], ""),
+    '"   " buoy': ([], "buoy"),
+    '\n " dawn\tferry " \n dusk': (["dawn\tferry"], "dusk"),
+    'tide "open end': ([], 'tide "open end'),
+    'a "b" c "d" e': (["b", "d"], "a c e"),
+    'left"inner"right': (["inner"], None),
+}
 
 
-@pytest.mark.parametrize("query,phrases,remaining", PARSE_CASES)
-def test_parse_quoted(spark, query, phrases, remaining):
-    df = spark.createDataFrame([(query,)], "q string")
-    r = df.select(quoted_phrases(F.col("q")).alias("p"), remaining_terms(F.col("q")).alias("r")).first()
-    assert r["p"] == phrases
-    assert r["r"] == remaining
+def test_quoted_phrases(spark):
+    df = spark.createDataFrame([(q,) for q in QUOTES], "q string")
+    rows = df.select("q", quoted_phrases(F.col("q")).alias("p"), remaining_terms(F.col("q")).alias("r")).collect()
+    for r in rows:
+        phrases, rest = QUOTES[r.q]
+        assert r.p == phrases, r.q
+        assert rest is None or r.r.split() == rest.split(), r.q
+
+
+def test_control_characters_separate_words(spark):
+    for mark in "\x01\x02\x03\x04\x05\x06":
+        assert _one(spark, raw_tokens, f"alpha{mark}beta 1{mark}2") == ["alpha", "beta", "1", "2"]
+
+
+def test_lower_case_keeps_lengths(spark):
+    text = "İİ word İstanbul"
+    assert _one(spark, lambda c: F.char_length(lower_case(c)), text) == len(text)
+    assert _one(spark, raw_tokens, text) == ["ii", "word", "istanbul"]
+    cut = _one(spark, lambda c: snippet(c, F.lit("a.txt"), F.lit("istanbul"), 3), text)
+    assert cut == "...rd İstanbul"
 
 
 def test_normalize_and_split(spark):
-    assert _one(spark, normalize_query, "\t  HeLLo World \n") == "hello world"
+    assert _one(spark, normalize_query, "\t  LoW Tide \n") == "low tide"
     assert _one(spark, split_words, " a \t b\nc  ") == ["a", "b", "c"]
 
 
@@ -81,7 +98,8 @@ def test_paths(spark):
     assert _one(spark, extension, "a.TXT") == "txt"
     assert _one(spark, extension, ".gitignore") == "gitignore"
     assert _one(spark, extension, "Makefile") == ""
-    assert _one(spark, ancestor_dirs, "/a/b/c/f.txt") == ["/a", "/a/b", "/a/b/c"]
+    assert _one(spark, ancestor_dirs, "/a/b/c/f.txt") == ["/", "/a", "/a/b", "/a/b/c"]
+    assert _one(spark, ancestor_dirs, "/f.txt") == ["/"]
     df = spark.createDataFrame(
         [("/r/.root/x.txt", "/r/.root"), ("/r/.root/.h/x.txt", "/r/.root"), ("/r/a/.x", "/r")], "p string, root string"
     )
