@@ -40,6 +40,8 @@ from quarry.llm.common import materialize, row_slices
 
 #: Distinct words in the broadcast table.
 HEAD = 150_000
+#: Bins of word counts for each power of two.
+COUNT_BINS = 8
 #: Added to each piece's count.
 ALPHA = 0.1
 #: Distinct words that a task holds before it passes on its counts.
@@ -184,6 +186,22 @@ def score_words(words: DataFrame, log_p: list[float], path: str) -> DataFrame:
     return words.select("word", "n", "c").mapInArrow(score, "word binary, n long, c long, lattice double")
 
 
+def frequent_words(words: DataFrame, head: int) -> DataFrame:
+    """The most frequent words, at most ``head``: whole bins of similar counts, from the top.
+
+    Bins of counts find the limit, so that no task has to rank the words.
+    """
+    size = F.floor(F.log2("n") * COUNT_BINS).cast("int")
+    bins = words.groupBy(size.alias("bin")).agg(F.count(F.lit(1)).alias("words")).collect()  # 64 * COUNT_BINS at most
+    least, taken = None, 0
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        taken += r["words"]
+        if taken > head:
+            break
+        least = r["bin"]
+    return words.filter(size >= least) if least is not None else words.limit(0)
+
+
 def lm_scores(
     docs: DataFrame, train_row: Column, path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD
 ) -> DataFrame:
@@ -204,9 +222,7 @@ def lm_scores(
     words = materialize(
         score_words(counted, log_p, path).withColumn("base", F.log10((F.col("c") + 1) / F.lit(float(base_total)))), "words"
     )
-    top = words.orderBy(F.col("n").desc(), "word").limit(head)
-    top = materialize(top, "frequent-words")  # at most ``head`` rows
-    table = {bytes(r["word"]): (r["c"] > 0, r["base"], r["lattice"]) for r in top.collect()}
+    table = {bytes(r["word"]): (r["c"] > 0, r["base"], r["lattice"]) for r in frequent_words(words, head).collect()}
     frequent = spark.sparkContext.broadcast(table)
     end = (documents > 0, math.log10((documents + 1) / base_total), end_log_p / math.log(10))
 

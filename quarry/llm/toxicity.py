@@ -246,7 +246,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, rows: i
     """(doc_id, text, toxic, half) of at most ``rows`` labelled documents; ``allowed`` is over doc_id."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(allowed)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # Hashes are spread evenly: a bound on them leaves about twice the rows wanted, whatever the
+    # number of labels, and only those are ranked.
+    share = min(1.0, 2 * rows / max(known.count(), 1))
+    low = known.filter(F.xxhash64("doc_id") <= F.lit(int((share - 0.5) * (2**64 - 1))).cast("long")) if share < 1 else known
+    chosen = low.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     half = F.pmod(F.xxhash64(F.concat(F.lit("half"), F.col("doc_id").cast("string"))), F.lit(2)).cast("int")
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     return materialize(found.withColumn("half", half), "labelled-sample")
