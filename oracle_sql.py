@@ -491,7 +491,7 @@ FROM d"""
   SELECT request_id, path, unnest(excludes) AS ex, generate_subscripts(excludes, 1) AS i FROM r2
 ), itemflags AS (
   SELECT request_id, i,
-    (ex = '' OR ({trim_ws('ex')} <> '' AND strpos(ex, chr(0)) = 0 AND starts_with(ex, '/') AND regexp_replace(ex, '(.)/+$', '\1') IN (SELECT path FROM existing))) AS ok,
+    (ex = '' OR ({trim_ws('ex')} <> '' AND strpos(ex, chr(0)) = 0 AND starts_with(ex, '/') AND regexp_replace(ex, '(.)/+$', '\\1') IN (SELECT path FROM existing))) AS ok,
     CASE WHEN ex = path THEN 'path to exclude cannot be the same as index path'
          WHEN NOT starts_with(ex, path) THEN 'path to exclude must begin with the index path' END AS sem_err
   FROM items
