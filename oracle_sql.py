@@ -102,6 +102,20 @@ FILES = f"""files AS (
                || {_list(C.FILE_EXTENSIONS)}[doc_id % 6 + 1] AS name FROM documents) d
 )"""
 
+TEXTS = """texts AS (
+  SELECT '/corpus/' || source || '/' || lang || '/' || name AS path, name, CAST(strlen(text) AS BIGINT) AS size,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS BIGINT)) AS mod_time, text AS content, doc_id
+  FROM (SELECT *, 'doc' || CAST(doc_id AS VARCHAR) || ['.txt', '.md', '.py', '.csv'][doc_id % 4 + 1] AS name FROM documents) d
+)"""
+
+# What a store holds at the end of its three runs.
+EDITED = """edited AS (
+  SELECT path, name, CASE WHEN doc_id % 5 = 0 THEN size + 33 ELSE size END AS size,
+         CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2030-01-01 00:00:00' ELSE mod_time END AS mod_time,
+         CASE WHEN doc_id % 5 = 0 THEN content || ' revised under the apache license' ELSE content END AS content, doc_id
+  FROM texts
+)"""
+
 VISIBLE = f"""visible AS (
   SELECT * FROM files
   WHERE NOT is_dir AND starts_with(path, '{C.CORPUS_ROOT}/')
@@ -341,7 +355,7 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-CORPUS_SEARCH_PREFIX = (FILES, VISIBLE, docs_from("visible"), INDEX)
+CORPUS_SEARCH_PREFIX = (TEXTS, docs_from("texts"), INDEX)
 
 HITS_COLS = "SELECT query_id, rank, path, name, score, size, mod_time FROM hits"
 MATCH_COLS = "SELECT query_id, doc_id AS path, score FROM matches"
@@ -400,7 +414,7 @@ FROM files f LEFT JOIN manifest m ON m.path = f.path AND m.path <> '' WHERE f.pa
   '{{"last_indexed":"' || strftime(last_indexed, '%Y-%m-%dT%H:%M:%S') ||
   CASE WHEN {frac} = '' THEN '' ELSE '.' || {frac} END || 'Z"}}' AS value
 FROM manifest"""
-    out["run_progress"] = _with(FILES, VISIBLE, docs_from("visible")) + """, ledger AS (
+    out["run_progress"] = _with(TEXTS, docs_from("texts")) + """, ledger AS (
   SELECT regexp_extract(id, '^(.*)/[^/]*$', 1) AS batch, count(*) AS n_done FROM docs GROUP BY 1
 ), run AS (
   SELECT batch, n_done, sum(n_done) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_done,
@@ -410,14 +424,15 @@ SELECT batch, CAST(n_done AS BIGINT) AS n_done, CAST(cum_done AS BIGINT) AS cum_
   CAST(CASE WHEN cum_done = 0 OR n_total = 0 THEN 20 WHEN cum_done >= n_total THEN 100
        ELSE trunc(20.0 + (cum_done::DOUBLE / n_total::DOUBLE) * 80.0) END AS BIGINT) AS progress
 FROM run"""
-    out["doc_count"] = _with(FILES, VISIBLE, docs_from("visible")) + "SELECT CAST(count(*) AS BIGINT) AS n_docs FROM docs"
+    out["doc_count"] = _with(TEXTS, docs_from("texts")) + "SELECT CAST(count(*) AS BIGINT) AS n_docs FROM docs"
     cap = K.CONTENT_CAP_TEST_BYTES
-    out["content_cap"] = _with(FILES, VISIBLE) + f"""SELECT path, CAST(least(strlen(content), {cap}) AS BIGINT) AS capped_bytes,
+    out["content_cap"] = _with(FILES, VISIBLE) + f"""SELECT path, CAST(CASE WHEN strlen(content) <= {cap} THEN strlen(content)
+    ELSE (SELECT max(strlen(content[:i])) FROM range({cap} // 4, {cap} + 1) t(i) WHERE strlen(content[:i]) <= {cap}) END AS BIGINT) AS capped_bytes,
   size > {cap} AS truncated FROM visible WHERE {is_index_text('name')}"""
-    idx = (FILES, VISIBLE, docs_from("visible"), INDEX)
+    idx = CORPUS_SEARCH_PREFIX
     out["term_frequencies"] = _with(*idx) + """SELECT field, term, doc_id, CAST(tf AS BIGINT) AS tf,
   array_to_string(list_transform(positions, lambda x: CAST(x AS VARCHAR)), ',') AS positions FROM postings"""
-    out["field_lengths"] = _with(FILES, VISIBLE, docs_from("visible")) + f"""SELECT 'content' AS field, id AS doc_id, CAST(len({analyzed('content')}) AS BIGINT) AS len FROM docs
+    out["field_lengths"] = _with(TEXTS, docs_from("texts")) + f"""SELECT 'content' AS field, id AS doc_id, CAST(len({analyzed('content')}) AS BIGINT) AS len FROM docs
 UNION ALL SELECT 'name', id, CAST(len({analyzed('name')}) AS BIGINT) FROM docs
 UNION ALL SELECT 'path', id, 1 FROM docs"""
     out["doc_frequencies"] = _with(*idx) + "SELECT field, term, CAST(df AS BIGINT) AS df FROM term_stats"
@@ -452,6 +467,31 @@ SELECT query_id, q, array_to_string(phrases, '|') AS phrases, CAST(len(phrases)
   p.page > 1 AS has_prev_page
 FROM prep p LEFT JOIN tot t USING (query_id)"""
     out["snippets"] = batch + f"SELECT query_id, rank, path, {snippet_sql('content', 'name', 'lterm')} AS snippet FROM hits"
+    out["search_deep_pages"] = _with(*CORPUS_SEARCH_PREFIX, queries_values(K.DEEP_QUERIES), search_ctes()) + HITS_COLS
+    blank = [q for q in K.BLANK_QUERIES if not q[1].strip()]
+    other = [q for q in K.BLANK_QUERIES if q[1].strip()]
+    pages = ", ".join(f"({i}, {per}, {page})" for i, _, per, page in blank)
+    out["search_match_all"] = _with(*CORPUS_SEARCH_PREFIX, queries_values(other), search_ctes()) + f"""{HITS_COLS}
+UNION ALL
+SELECT b.query_id, d.rank, d.path, d.name, 1.0, d.size, {iso('d.mod_time')}
+FROM (VALUES {pages}) b(query_id, per_page, page)
+JOIN (SELECT *, row_number() OVER (ORDER BY id) AS rank FROM docs) d
+  ON d.rank > (b.page - 1) * b.per_page AND d.rank <= b.page * b.per_page"""
+    done = (TEXTS, EDITED, docs_from("edited"), INDEX)
+    out["store_documents"] = _with(TEXTS, EDITED) + f"""SELECT path AS id, name, size, {iso('mod_time')} AS mod_time,
+  CAST(length(content) AS BIGINT) AS n_chars, false AS truncated FROM edited"""
+    out["store_manifest"] = _with(TEXTS) + """SELECT path,
+  CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN '2031-01-01T00:00:00Z' ELSE '2029-01-01T00:00:00Z' END AS last_indexed FROM texts"""
+    out["store_term_stats"] = _with(*done) + "SELECT field, term, CAST(df AS BIGINT) AS df FROM term_stats"
+    out["store_search"] = _with(*done, queries_values(K.STORE_QUERIES), search_ctes()) + MATCH_COLS
+    out["store_ledger"] = _with(TEXTS) + """SELECT run_id, CAST(100 AS BIGINT) AS status, CAST(n_done AS BIGINT) AS n_done,
+  CAST(n_total AS BIGINT) AS n_total, CAST(3 AS BIGINT) AS n_records FROM (
+  SELECT 'run1' AS run_id, count(*) FILTER (doc_id % 3 <> 0) + count(*) FILTER (doc_id % 50 = 0) AS n_done, n_done AS n_total FROM texts
+  UNION ALL SELECT 'run2', count(*) FILTER (doc_id % 3 = 0 OR doc_id % 5 = 0) AS n, n FROM texts
+  UNION ALL SELECT 'run3', 0, 0) r"""
+    out["store_compacted"] = _with(*done) + (
+        "SELECT field, term, doc_id, CAST(tf AS BIGINT) AS tf, CAST(dl AS BIGINT) AS dl FROM postings"
+    )
     out["search_pages"] = _with(PAGES_FILES, docs_from("pfiles"), INDEX, queries_values(K.PAGE_QUERIES), search_ctes()) + HITS_COLS
     out["search_conversations"] = (
         _with(CONV_FILES, docs_from("cfiles"), INDEX, queries_values(K.CONVERSATION_QUERIES), search_ctes()) + HITS_COLS

@@ -7,7 +7,9 @@ exclude lists are request parameters, as a user would send them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,22 +17,22 @@ from pyspark.sql import functions as F
 from quarry.config import (
     PROGRESS_COMPLETE,
     PROGRESS_STEP_CLEANED,
-    IndexConfig,
     SearchConfig,
 )
 from quarry.functions.format import format_size, iso_utc
 from quarry.functions.paths import base_name, is_index_text
 from quarry.functions.text import normalize_query, split_words
 from quarry.operators import listing as L
-from quarry.operators.analysis import build_doc_stats, build_postings, build_term_stats
+from quarry.operators.analysis import build_doc_stats
 from quarry.operators.extract import assemble_documents
 from quarry.operators.manifest import manifest_to_kv
 from quarry.operators.parse import parse_queries
 from quarry.operators.progress import ledger_progress
 from quarry.operators.validate import parse_exclude_text, validate_index_requests, validate_queries
-from quarry.plans.index import build_index
 from quarry.plans.search import search
+from quarry.session import ensure_checkpoint_dir, materialize
 from quarry.sources import corpus as C
+from quarry.sources.store import IndexStore
 
 # ---------------------------------------------------------------------------
 # Request parameters (fixed values shared with the SQL oracle)
@@ -80,6 +82,13 @@ CONVERSATION_QUERIES = (
     (6, "0.txt", 0, 0),
 )
 
+STORE_QUERIES = ((1, "license", 0, 0), (2, "revis", 0, 0), (3, "apache license", 0, 0), (4, "gone", 0, 0))
+
+# Every file name begins with "doc".
+DEEP_QUERIES = ((1, "doc", 20, 1), (2, "doc", 20, 50), (3, "doc", 20, 51), (4, "doc", 20, 501))
+
+BLANK_QUERIES = ((1, "   ", 20, 2), (2, "", 7, 3), (3, "license", 5, 1), (4, "\t", 20, 60))
+
 SINGLE_TERM = "license"
 SINGLE_PREFIX = "licen"
 SINGLE_FILENAME = "doc42.txt"
@@ -104,11 +113,49 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble_documents(L.visible_files(_files(spark, sf_dir), C.CORPUS_ROOT))
+    _utc(spark)
+    return assemble_documents(C.texts_listing(spark, sf_dir))
+
+
+#: Index stores built in this process: one for each application, input and tree.
+_STORES: dict = {}
+RUN_TIMES = (datetime(2029, 1, 1), datetime(2031, 1, 1), datetime(2032, 1, 1))
+
+
+def _store(spark: SparkSession, sf_dir: str, tree: str) -> IndexStore:
+    """The index store of a tree, built in the shared folder by its first user."""
+    _utc(spark)
+    key = (spark.sparkContext.applicationId, sf_dir, tree)
+    if key not in _STORES or _STORES[key].current() is None:
+        store = IndexStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry/store-{tree}-{uuid.uuid4().hex}")
+        if tree == "edited":
+            for i, (listing, at) in enumerate(zip(C.edited_listings(spark, sf_dir), RUN_TIMES, strict=True), 1):
+                store.update(listing.drop("doc_id"), C.CORPUS_ROOT, run_id=f"run{i}", run_ts=at)
+        else:
+            listing, root = {
+                "corpus": (C.texts_listing, C.CORPUS_ROOT),
+                "pages": (C.pages_listing, C.PAGES_ROOT),
+                "conversations": (C.conversations_listing, C.CONVERSATIONS_ROOT),
+            }[tree]
+            store.update(listing(spark, sf_dir), root, run_id="run1", run_ts=RUN_TIMES[0])
+        _STORES[key] = store
+    return _STORES[key]
+
+
+def _search(spark: SparkSession, sf_dir: str, rows, pick, tree: str = "corpus", config: SearchConfig = SearchConfig()):
+    """Searches a built index; the rows that ``pick`` takes are written, then the search's caches released."""
+    found = search(_queries_df(spark, rows), _store(spark, sf_dir, tree).open_index(), config)
+    out = materialize(pick(found), "hits")
+    found.unpersist()
+    return out
 
 
-def _index(docs: DataFrame):
-    return build_index(docs, IndexConfig())
+def _matches(found) -> DataFrame:
+    return found.matches.select("query_id", F.col("doc_id").alias("path"), "score")
+
+
+def _hits(found) -> DataFrame:
+    return _hits_out(found.hits)
 
 
 def _hits_out(hits: DataFrame) -> DataFrame:
@@ -123,11 +170,6 @@ def _hits_out(hits: DataFrame) -> DataFrame:
     )
 
 
-def _search_one(spark: SparkSession, sf_dir: str, query: str, per_page: int = 0, page: int = 0):
-    docs = _corpus_docs(spark, sf_dir)
-    return search(_queries_df(spark, [(1, query, per_page, page)]), _index(docs), SearchConfig())
-
-
 # ---------------------------------------------------------------------------
 # Listing and incremental-index operators
 # ---------------------------------------------------------------------------
@@ -241,28 +283,70 @@ def q_run_progress(spark, sf_dir):
 
 
 def q_doc_count(spark, sf_dir):
-    """Number of documents in the index."""
-    return _corpus_docs(spark, sf_dir).agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"))
+    """Number of documents in the built index."""
+    return _store(spark, sf_dir, "corpus").documents().agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"))
+
+
+def q_store_documents(spark, sf_dir):
+    """S10 + S11 + S15: documents of a store after a build, edits and additions, and a run that only deletes."""
+    d = _store(spark, sf_dir, "edited").documents()
+    return d.select("id", "name", "size", iso_utc(F.col("mod_time")).alias("mod_time"),
+                    F.char_length("content").cast("bigint").alias("n_chars"), "truncated")
+
+
+def q_store_manifest(spark, sf_dir):
+    """That store's manifest, each path with the run that processed it."""
+    m = _store(spark, sf_dir, "edited").manifest()
+    return m.select("path", iso_utc(F.col("last_indexed")).alias("last_indexed"))
+
+
+def q_store_term_stats(spark, sf_dir):
+    """T4: that store's document frequencies, summed over its segments."""
+    ts = _store(spark, sf_dir, "edited").term_stats()
+    return ts.select("field", "term", F.col("df").cast("bigint").alias("df"))
+
+
+def q_store_search(spark, sf_dir):
+    """Q7 + Q9 + Q10 on that store: scores see live documents only."""
+    return _search(spark, sf_dir, STORE_QUERIES, _matches, "edited")
+
+
+def q_store_ledger(spark, sf_dir):
+    """What that store's runs recorded."""
+    ledger = _store(spark, sf_dir, "edited").ledger()
+    return ledger.groupBy("run_id").agg(
+        F.max("status").cast("bigint").alias("status"), F.max("n_done").cast("bigint").alias("n_done"),
+        F.max("n_total").cast("bigint").alias("n_total"), F.count(F.lit(1)).alias("n_records"),
+    )
+
+
+def q_store_compacted(spark, sf_dir):
+    """Term frequencies of postings after compaction of a store of its own."""
+    _utc(spark)
+    first, second, last = C.edited_listings(spark, sf_dir)
+    store = IndexStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry/store-compact-{uuid.uuid4().hex}")
+    store.update(first.drop("doc_id"), C.CORPUS_ROOT, run_ts=RUN_TIMES[0])
+    store.update(last.drop("doc_id"), C.CORPUS_ROOT, run_ts=RUN_TIMES[1])
+    store.compact()
+    return store.postings().select("field", "term", "doc_id", F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"))
 
 
 def q_content_cap(spark, sf_dir):
     """S8 with a small cap: bytes kept per indexed text file."""
     f = L.visible_files(_files(spark, sf_dir), C.CORPUS_ROOT)
     f = f.filter(is_index_text(F.col("name")))
-    capped = F.substring(F.encode("content", "UTF-8"), 1, CONTENT_CAP_TEST_BYTES)
-    return f.select(
-        "path",
-        F.octet_length(capped).cast("bigint").alias("capped_bytes"),
-        (F.col("size") > CONTENT_CAP_TEST_BYTES).alias("truncated"),
-    )
+    d = assemble_documents(f, CONTENT_CAP_TEST_BYTES)
+    # A cut inside a character leaves U+FFFD, so bytes are counted without it.
+    whole = F.regexp_replace("content", "\uFFFD$", "")
+    return d.select("path", F.octet_length(whole).cast("bigint").alias("capped_bytes"), "truncated")
 
 
 # ---------------------------------------------------------------------------
 # Index tables
 # ---------------------------------------------------------------------------
 def q_term_frequencies(spark, sf_dir):
-    """Postings of all fields with tf and positions."""
-    p = build_postings(_corpus_docs(spark, sf_dir), IndexConfig().term_buckets)
+    """Postings of all fields with tf and positions, from the built index."""
+    p = _store(spark, sf_dir, "corpus").postings()
     return p.select(
         "field", "term", "doc_id",
         F.col("tf").cast("bigint").alias("tf"),
@@ -277,9 +361,9 @@ def q_field_lengths(spark, sf_dir):
 
 
 def q_doc_frequencies(spark, sf_dir):
-    """T4: document frequency per term."""
-    p = build_postings(_corpus_docs(spark, sf_dir), IndexConfig().term_buckets)
-    return build_term_stats(p).select("field", "term", F.col("df").cast("bigint").alias("df"))
+    """T4: document frequency per term, from the built index."""
+    ts = _store(spark, sf_dir, "corpus").term_stats()
+    return ts.select("field", "term", F.col("df").cast("bigint").alias("df"))
 
 
 # ---------------------------------------------------------------------------
@@ -306,63 +390,52 @@ def q_parse_queries(spark, sf_dir):
 
 def q_search_term(spark, sf_dir):
     """Q7 + R2: every match of one word, with its score."""
-    r = _search_one(spark, sf_dir, SINGLE_TERM)
-    return r.matches.select("query_id", F.col("doc_id").alias("path"), "score")
+    return _search(spark, sf_dir, [(1, SINGLE_TERM, 0, 0)], _matches)
 
 
 def q_search_prefix(spark, sf_dir):
     """Q9 + J3: every match of a word prefix."""
-    r = _search_one(spark, sf_dir, SINGLE_PREFIX)
-    return r.matches.select("query_id", F.col("doc_id").alias("path"), "score")
+    return _search(spark, sf_dir, [(1, SINGLE_PREFIX, 0, 0)], _matches)
 
 
 def q_search_filename(spark, sf_dir):
     """Q8: a file name that analyses to several tokens."""
-    r = _search_one(spark, sf_dir, SINGLE_FILENAME)
-    return r.matches.select("query_id", F.col("doc_id").alias("path"), "score")
+    return _search(spark, sf_dir, [(1, SINGLE_FILENAME, 0, 0)], _matches)
 
 
 def q_search_phrase(spark, sf_dir):
     """Q10 + Q11: implied phrase or all words."""
-    r = _search_one(spark, sf_dir, SINGLE_PHRASE)
-    return r.matches.select("query_id", F.col("doc_id").alias("path"), "score")
+    return _search(spark, sf_dir, [(1, SINGLE_PHRASE, 0, 0)], _matches)
 
 
 def q_search_quoted(spark, sf_dir):
     """Q6 + J2: quoted phrase."""
-    r = _search_one(spark, sf_dir, SINGLE_QUOTED)
-    return r.matches.select("query_id", F.col("doc_id").alias("path"), "score")
+    return _search(spark, sf_dir, [(1, SINGLE_QUOTED, 0, 0)], _matches)
 
 
 def q_search_and(spark, sf_dir):
     """Q11: two words, both required unless the phrase matches."""
-    r = _search_one(spark, sf_dir, SINGLE_AND)
-    return r.matches.select("query_id", F.col("doc_id").alias("path"), "score")
+    return _search(spark, sf_dir, [(1, SINGLE_AND, 0, 0)], _matches)
 
 
 def q_search_ranked_topk(spark, sf_dir):
     """R3 + R4: best 10 for one word."""
-    return _hits_out(_search_one(spark, sf_dir, SINGLE_TERM, 10, 1).hits)
+    return _search(spark, sf_dir, [(1, SINGLE_TERM, 10, 1)], _hits)
 
 
 def q_search_page(spark, sf_dir):
     """Second page of 5 for a prefix."""
-    return _hits_out(_search_one(spark, sf_dir, SINGLE_PREFIX, 5, 2).hits)
-
-
-def _batch(spark, sf_dir):
-    docs = _corpus_docs(spark, sf_dir)
-    return search(_queries_df(spark, BATCH_QUERIES), _index(docs), SearchConfig())
+    return _search(spark, sf_dir, [(1, SINGLE_PREFIX, 5, 2)], _hits)
 
 
 def q_search_batch(spark, sf_dir):
     """J1-J3 + R4: 20 queries in one plan, each with its own page."""
-    return _hits_out(_batch(spark, sf_dir).hits)
+    return _search(spark, sf_dir, BATCH_QUERIES, _hits)
 
 
 def q_page_details(spark, sf_dir):
     """R5 + R6: totals and page details of the batch."""
-    p = _batch(spark, sf_dir).pages
+    p = _search(spark, sf_dir, BATCH_QUERIES, lambda found: found.pages)
     return p.select(
         "query_id",
         "total_results",
@@ -377,22 +450,27 @@ def q_page_details(spark, sf_dir):
 
 def q_snippets(spark, sf_dir):
     """Snippets of the batch's page hits."""
-    h = _batch(spark, sf_dir).hits
-    return h.select("query_id", F.col("rank").cast("bigint").alias("rank"), "path", "snippet")
+    return _search(spark, sf_dir, BATCH_QUERIES, lambda found: found.hits.select("query_id", "rank", "path", "snippet"))
+
+
+def q_search_deep_pages(spark, sf_dir):
+    """Pages of one broad prefix that end at ranks 20, 1000, 1020 and 10020."""
+    return _search(spark, sf_dir, DEEP_QUERIES, _hits)
+
+
+def q_search_match_all(spark, sf_dir):
+    """Q1 + Q5: blank queries match every document, beside one that does not."""
+    return _search(spark, sf_dir, BLANK_QUERIES, _hits, config=SearchConfig(blank_matches_all=True))
 
 
 def q_search_pages(spark, sf_dir):
     """The search stack over raw HTML pages."""
-    _utc(spark)
-    docs = assemble_documents(C.pages_listing(spark, sf_dir))
-    return _hits_out(search(_queries_df(spark, PAGE_QUERIES), _index(docs), SearchConfig()).hits)
+    return _search(spark, sf_dir, PAGE_QUERIES, _hits, "pages")
 
 
 def q_search_conversations(spark, sf_dir):
     """The search stack over chat turns."""
-    _utc(spark)
-    docs = assemble_documents(C.conversations_listing(spark, sf_dir))
-    return _hits_out(search(_queries_df(spark, CONVERSATION_QUERIES), _index(docs), SearchConfig()).hits)
+    return _search(spark, sf_dir, CONVERSATION_QUERIES, _hits, "conversations")
 
 
 def q_validate_queries(spark, sf_dir):
@@ -461,6 +539,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "manifest_json": q_manifest_json,
     "run_progress": q_run_progress,
     "doc_count": q_doc_count,
+    "store_documents": q_store_documents,
+    "store_manifest": q_store_manifest,
+    "store_term_stats": q_store_term_stats,
+    "store_search": q_store_search,
+    "store_ledger": q_store_ledger,
+    "store_compacted": q_store_compacted,
     "content_cap": q_content_cap,
     "term_frequencies": q_term_frequencies,
     "field_lengths": q_field_lengths,
@@ -477,6 +561,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_batch": q_search_batch,
     "page_details": q_page_details,
     "snippets": q_snippets,
+    "search_deep_pages": q_search_deep_pages,
+    "search_match_all": q_search_match_all,
     "search_pages": q_search_pages,
     "search_conversations": q_search_conversations,
     "validate_queries": q_validate_queries,

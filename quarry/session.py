@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "quarry") -> SparkSession:
@@ -33,6 +34,13 @@ def local_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to a new folder of the shared folder and reads it back."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediates.
 

@@ -26,6 +26,9 @@ CONVERSATIONS_ROOT = "/conversations"
 
 # Fixed values of the corpus view.
 FILE_EXTENSIONS = (".txt", ".md", ".py", ".csv", ".rs", ".png")
+TEXT_EXTENSIONS = (".txt", ".md", ".py", ".csv")
+EDITED_AT = 1893456000  # 2030-01-01 00:00:00 UTC, seconds
+EDIT_TEXT = " revised under the apache license"
 HIDDEN_FILE_MOD = 37
 HIDDEN_DIR_MOD = 41
 EPOCH_2024 = 1704067200  # 2024-01-01 00:00:00 UTC, seconds
@@ -70,6 +73,52 @@ def files_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ``documents`` row as a visible file of an indexed type.
+
+    ``/corpus/<source>/<lang>/doc<doc_id><ext>`` with the indexed extensions
+    of ``FILE_EXTENSIONS`` in turn: the view that the index and search rows read.
+    """
+    d = read_table(spark, sf_dir, "documents")
+    exts = F.array(*[F.lit(e) for e in TEXT_EXTENSIONS])
+    ext = F.element_at(exts, (F.col("doc_id") % len(TEXT_EXTENSIONS) + 1).cast("int"))
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), ext)
+    return d.select(
+        F.concat(F.lit(CORPUS_ROOT + "/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), name).alias("path"),
+        name.alias("name"),
+        F.lit(False).alias("is_dir"),
+        F.octet_length("text").cast("bigint").alias("size"),
+        _mod_time(F.col("doc_id")).alias("mod_time"),
+        F.col("text").alias("content"),
+        "doc_id",
+    )
+
+
+def edited_listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tree of ``texts_listing`` at three times.
+
+    First without every third document, and with a file ``/corpus/gone/<id>.txt``
+    for every fiftieth; then whole, with every fifth document edited; last
+    without the gone files.
+    """
+    now = texts_listing(spark, sf_dir)
+    gone = now.filter(F.col("doc_id") % 50 == 0).withColumns(
+        {
+            "name": F.concat(F.col("doc_id").cast("string"), F.lit(".txt")),
+            "path": F.concat(F.lit(CORPUS_ROOT + "/gone/"), F.col("doc_id").cast("string"), F.lit(".txt")),
+        }
+    )
+    edited = F.col("doc_id") % 5 == 0
+    last = now.withColumns(
+        {
+            "mod_time": F.when(edited, F.timestamp_seconds(F.lit(EDITED_AT))).otherwise(F.col("mod_time")),
+            "content": F.when(edited, F.concat("content", F.lit(EDIT_TEXT))).otherwise(F.col("content")),
+            "size": F.when(edited, F.col("size") + len(EDIT_TEXT)).otherwise(F.col("size")),
+        }
+    )
+    return now.filter(F.col("doc_id") % 3 != 0).unionByName(gone), last.unionByName(gone), last
+
+
 def pages_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing of ``pages``: ``/pages/<page_id>.html`` holding the raw HTML."""
     p = read_table(spark, sf_dir, "pages")
