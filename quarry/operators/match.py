@@ -34,6 +34,8 @@ from quarry.operators.parse import CompiledQueries
 
 # A query of at most 1000 characters yields at most 500 words, each with at
 # most 5 single-term clauses; this bounds the exact-term leaves per query.
+# Phrase tokens have no such bound (a query may quote many phrases, each clause
+# holding the whole query): they are counted before one is broadcast.
 LEAVES_PER_QUERY_BOUND = 2500
 
 
@@ -52,59 +54,92 @@ def bounded_broadcast(df: DataFrame, bound_rows: int, max_rows: int) -> DataFram
     return F.broadcast(df) if bound_rows <= max_rows else df
 
 
-def batch_facts(cq: CompiledQueries, index: IndexTables) -> tuple[int, int, dict[str, list[int]]]:
-    """One small job: (number of queries, deepest page end, buckets).
+# Up to this many terms and prefixes of a batch go into the scan filter.
+SCAN_TERMS = 300
+
+
+@dataclass
+class BatchFacts:
+    n_queries: int
+    max_end: int
+    buckets: dict[str, list[int]]  # field -> storage buckets
+    terms: dict[str, list[str]] | None  # field -> exact terms; None: too many to list
+    prefixes: dict[str, list[str]] | None
+
+
+def batch_facts(cq: CompiledQueries, index: IndexTables) -> BatchFacts:
+    """One small job: number of queries, deepest page end, buckets and terms.
 
     Buckets are the storage buckets (per field) of every term the batch can
     touch: exact tokens, path terms, phrase tokens and prefixes (a prefix
     shares the bucket of its first three bytes with all its expansions).
     There are at most ``3 * term_buckets`` of them whatever the data size, so
     they are collected and applied as a static partition filter: postings
-    and term statistics are read only in these buckets.
+    and term statistics are read only in these buckets.  The terms themselves,
+    when a batch has few, become a pushed filter: files are sorted by term, so
+    a scan skips all row groups but those of the terms.
     """
     g = cq.groups
     b = index.term_buckets
     exact = g.filter((F.col("kind") == "match") & (F.col("field") != "path")).select(
-        "field", F.explode("atoks").alias("t")
+        F.lit("term").alias("kind"), "field", F.explode("atoks").alias("t")
     )
-    other = g.filter((F.col("kind") == "prefix") | (F.col("field") == "path")).select("field", F.col("term").alias("t"))
+    path = g.filter((F.col("kind") != "prefix") & (F.col("field") == "path")).select(
+        F.lit("term").alias("kind"), "field", F.col("term").alias("t")
+    )
+    prefix = g.filter(F.col("kind") == "prefix").select("kind", "field", F.col("term").alias("t"))
     phr = cq.phrases.select(
-        F.lit("content").alias("field"), F.explode(F.filter("rtoks", lambda t: ~is_stop_word(t))).alias("t")
+        F.lit("term").alias("kind"),
+        F.lit("content").alias("field"),
+        F.explode(F.filter("rtoks", lambda t: ~is_stop_word(t))).alias("t"),
     )
-    allt = exact.unionByName(other).unionByName(phr)
+    allt = exact.unionByName(path).unionByName(prefix).unionByName(phr)
+    text, number = F.lit(None).cast("string").alias("t"), F.lit(None).cast("long").alias("v")
+    terms = allt.select("kind", "field", "t", number).distinct().limit(SCAN_TERMS + 1)
     buckets = allt.select(
-        F.col("field").alias("k"), term_bucket(F.col("field"), F.col("t"), b).cast("long").alias("v")
+        F.lit("bucket").alias("kind"), "field", text, term_bucket(F.col("field"), F.col("t"), b).cast("long").alias("v")
     ).distinct()
-    stats = cq.prepared.agg(
-        F.lit("#n").alias("k"), F.count(F.lit(1)).cast("long").alias("v")
-    ).unionByName(
-        cq.prepared.agg(F.lit("#end").alias("k"), F.max(F.col("page").cast("long") * F.col("per_page").cast("long")).alias("v"))
+    end = F.max(F.col("page").cast("long") * F.col("per_page").cast("long"))
+    field = F.lit("").alias("field")
+    counts = cq.prepared.agg(F.count(F.lit(1)).cast("long").alias("n"), end.alias("end"))
+    stats = counts.select(F.lit("n").alias("kind"), field, text, F.col("n").alias("v")).unionByName(
+        counts.select(F.lit("end").alias("kind"), field, text, F.col("end").alias("v"))
+    )
+    found: dict[str, dict[str, list]] = {k: {} for k in ("term", "prefix", "bucket", "n", "end")}
+    for r in terms.unionByName(buckets).unionByName(stats).collect():
+        found[r["kind"]].setdefault(r["field"], []).append(r["t"] if r["v"] is None else int(r["v"]))
+    few = sum(len(x) for k in ("term", "prefix") for x in found[k].values()) <= SCAN_TERMS
+    single = lambda k: next((int(x or 0) for x in found[k].get("", [])), 0)
+    return BatchFacts(
+        single("n"),
+        single("end"),
+        {k: sorted(v) for k, v in found["bucket"].items()},
+        found["term"] if few else None,
+        found["prefix"] if few else None,
     )
-    n_queries, max_end, out = 0, 0, {}
-    for r in buckets.unionByName(stats).collect():
-        if r["k"] == "#n":
-            n_queries = int(r["v"] or 0)
-        elif r["k"] == "#end":
-            max_end = int(r["v"] or 0)
-        else:
-            out.setdefault(r["k"], []).append(int(r["v"]))
-    return n_queries, max_end, {k: sorted(v) for k, v in out.items()}
-
-
-def prune_buckets(df: DataFrame, buckets: dict[str, list[int]]) -> DataFrame:
-    """Filter a (field, tb)-partitioned table to the given buckets."""
-    cond = None
-    for f, tbs in sorted(buckets.items()):
-        c = (F.col("field") == F.lit(f)) & F.col("tb").isin(*tbs)
-        cond = c if cond is None else (cond | c)
-    return df.filter(cond if cond is not None else F.lit(False))
 
 
-def pruned_index(index: IndexTables, buckets: dict[str, list[int]]) -> IndexTables:
+def pruned(df: DataFrame, facts: BatchFacts) -> DataFrame:
+    """Filter a (field, tb)-partitioned table, sorted by term, to what a batch can touch."""
+    cond = F.lit(False)
+    for f, tbs in sorted(facts.buckets.items()):
+        c = (F.col("field") == F.lit(f)) & F.col("tb").isin(*tbs)
+        if facts.terms is not None:
+            named = F.lit(False)
+            if facts.terms.get(f):
+                named = F.col("term").isin(*sorted(set(facts.terms[f])))
+            for p in sorted(set(facts.prefixes.get(f, []))):
+                named = named | F.col("term").startswith(p)
+            c = c & named
+        cond = cond | c
+    return df.filter(cond)
+
+
+def pruned_index(index: IndexTables, facts: BatchFacts) -> IndexTables:
     return IndexTables(
         documents=index.documents,
-        postings=prune_buckets(index.postings, buckets),
-        term_stats=prune_buckets(index.term_stats, buckets),
+        postings=pruned(index.postings, facts),
+        term_stats=pruned(index.term_stats, facts),
         n_docs=index.n_docs,
         term_buckets=index.term_buckets,
         doc_buckets=index.doc_buckets,
@@ -243,7 +278,8 @@ def phrase_child_scores(cq: CompiledQueries, index: IndexTables, n_queries: int,
     toks = toks.withColumn("field", F.lit("content")).withColumn(
         "tb", term_bucket(F.col("field"), F.col("lterm"), index.term_buckets)
     )
-    bound = n_queries * LEAVES_PER_QUERY_BOUND
+    # Counted from the kept phrases, not guessed.
+    bound = cq.phrases.agg(F.coalesce(F.sum(F.size("rtoks")), F.lit(0))).first()[0]
     ts = index.term_stats.select("field", "tb", F.col("term").alias("lterm"), "df")
     toks = bounded_broadcast(toks, bound, max_rows).join(ts, ["field", "tb", "lterm"])
     hits = bounded_broadcast(toks, bound, max_rows).join(_postings_for(index), ["field", "tb", "lterm"])

@@ -56,9 +56,9 @@ def match_queries(queries: DataFrame, index: M.IndexTables, config: SearchConfig
     checked = validate_queries(queries, allow_blank=config.blank_matches_all)
     valid = checked.filter(F.col("error").isNull()).drop("error")
     cq = persist_compiled(compile_queries(valid, config.phrase_mode))
-    n_queries, max_end, buckets = M.batch_facts(cq, index)
-    n_queries = max(1, n_queries)
-    index = M.pruned_index(index, buckets)
+    facts = M.batch_facts(cq, index)
+    n_queries, max_end = max(1, facts.n_queries), facts.max_end
+    index = M.pruned_index(index, facts)
     leaves = M.term_leaves(cq, index, n_queries, config.broadcast_max_rows).persist()
     # Exact leaves are bounded by the query text; prefix expansions by the
     # vocabulary, so count them before deciding to broadcast.
