@@ -65,14 +65,14 @@ class SearchConfig:
     normalised query (quotes and other words included); ``per_phrase`` runs it
     on the phrase itself.
     broadcast_max_rows: upper bound on rows of a query-side table that may be
-    broadcast; larger query batches use shuffle joins.
+    broadcast (about 20 MB); larger query batches use shuffle joins.
     Scores are kept as 32-bit floats (7 significant digits at any size) before
     ranking, so that the order does not depend on summation order.
     """
 
     phrase_mode: str = "as_built"
     blank_matches_all: bool = False
-    broadcast_max_rows: int = 2_000_000
+    broadcast_max_rows: int = 100_000
     snippet_context: int = SNIPPET_CONTEXT
     # Up to this page end Spark limits a per-query row_number in each task
     # (its default for spark.sql.optimizer.windowGroupLimitThreshold); deeper

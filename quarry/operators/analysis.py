@@ -36,22 +36,8 @@ def term_bucket(field: Column, term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def spread_documents(documents: DataFrame) -> DataFrame:
-    """Give CPU-bound tokenising enough tasks.
-
-    A large input already arrives in many splits and is left alone; a small
-    input (a few files or row groups) is hash-spread by id over the default
-    parallelism, so every core tokenises.
-    """
-    target = documents.sparkSession.sparkContext.defaultParallelism
-    if documents.rdd.getNumPartitions() >= target:
-        return documents
-    return documents.repartition(target, "id")
-
-
 def _token_rows(documents: DataFrame) -> DataFrame:
     """(doc_id, field, toks, dl) per document and analysed field."""
-    documents = spread_documents(documents)
     per_field = [
         documents.select(
             F.col("id").alias("doc_id"),
@@ -73,8 +59,7 @@ def build_postings(documents: DataFrame, term_buckets: int) -> DataFrame:
     """One row per (field, term, document) with tf and positions."""
     rows = _token_rows(documents)
     # posexplode_outer: a plain posexplode makes the optimizer infer
-    # ``size(tokens) > 0`` and push it below the spread, which would tokenise
-    # every document a second time in the scan task.
+    # ``size(tokens) > 0`` and filter by it first, tokenising every document twice.
     exploded = rows.select("doc_id", "field", "dl", F.posexplode_outer("toks").alias("pos", "term")).filter(
         F.col("term").isNotNull() & ~is_stop_word(F.col("term"))
     )

@@ -25,7 +25,7 @@ ERR_EXCLUDE_IS_ROOT = "path to exclude cannot be the same as index path"
 ERR_EXCLUDE_OUTSIDE = "path to exclude must begin with the index path"
 
 # Requested paths up to this many are broadcast for the existence check.
-BROADCAST_WANTED_ROWS = 1_000_000
+BROADCAST_WANTED_ROWS = 100_000
 
 
 def _first(*pairs: tuple[Column, str]) -> Column:

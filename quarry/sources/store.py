@@ -64,8 +64,9 @@ DOCUMENTS_B = T.StructType(S.DOCUMENTS.fields + [T.StructField("db", T.IntegerTy
 DOC_COLUMNS = [f.name for f in S.DOCUMENTS.fields]
 MANIFEST_DELTA = "path string, last_indexed timestamp, op string"
 
-# Tombstone sets up to this many ids are broadcast in the read-side anti join.
-TOMBSTONE_BROADCAST_ROWS = 5_000_000
+# Tombstone sets up to this many ids (about 20 MB of paths) are broadcast in the
+# read-side anti join.
+TOMBSTONE_BROADCAST_ROWS = 100_000
 
 
 @dataclass
