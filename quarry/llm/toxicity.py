@@ -79,6 +79,7 @@ _MIXED = re.compile(r"[^\W\d_]+[@$*!0134579]+[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])")
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
 _REPEATED = re.compile(r"[!?.]{2,}|[#$%&*]{2,}")
+_CAPITAL_WORD = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÖØ-Þ]{2,}(?![^\W\d_])")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _PUNCTUATION = re.compile(r"[^\w\s]")
 _LEET = str.maketrans("@$!0134579*", "asioieastgu")
@@ -112,11 +113,11 @@ class Extractor:
 
     def features(self, text: str | None) -> list[float]:
         text = text or ""
-        found = _WORD.findall(text)
+        found = _WORD.findall(text.lower())
         n = len(found)
         if not n:
             return [0.0] * len(FEATURES)
-        facts = self.look_up([w.lower() for w in found])
+        facts = self.look_up(found)
         weights = [x[0] for x in facts if x[0]]
         hits = [i for i, x in enumerate(facts) if x[0] or x[1]]
         you = [i for i, x in enumerate(facts) if x[2]]
@@ -129,7 +130,6 @@ class Extractor:
         spaced = _SPACED.findall(text)
         hidden = [m.lower().translate(_LEET) for m in mixed] + [re.sub(r"[^\w]|_", "", m).lower() for m in spaced]
         letters = sum(map(len, found))
-        capitals = [w for w in found if len(w) > 1 and w.isupper()]
         chars = len(text)
         return [
             math.log1p(n),
@@ -141,7 +141,7 @@ class Extractor:
             100 * sum(x[0] > 0 or x[1] for x in self.look_up(hidden)) / n,
             100 * near / n,
             100 * len(you) / n,
-            100 * len(capitals) / n,
+            100 * len(_CAPITAL_WORD.findall(text)) / n,
             100 * len(_CAPITAL.findall(text)) / letters,
             100 * text.count("!") / chars,
             100 * text.count("?") / chars,
@@ -294,7 +294,7 @@ def _term_counts(sample: DataFrame, only: frozenset | None) -> DataFrame:
         wanted, seen = shared.value, Counter()
         for b in row_slices(batches):
             for text, half, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                terms = {t for w in {w.lower() for w in _WORD.findall(text or "")} for t in terms_of(w)}
+                terms = {t for w in set(_WORD.findall((text or "").lower())) for t in terms_of(w)}
                 seen.update((t, half, toxic) for t in (terms if wanted is None else terms & wanted))
         yield pa.RecordBatch.from_pydict(
             {
