@@ -414,6 +414,9 @@ FROM files f LEFT JOIN manifest m ON m.path = f.path AND m.path <> '' WHERE f.pa
   '{{"last_indexed":"' || strftime(last_indexed, '%Y-%m-%dT%H:%M:%S') ||
   CASE WHEN {frac} = '' THEN '' ELSE '.' || {frac} END || 'Z"}}' AS value
 FROM manifest"""
+    out["manifest_buckets"] = _with(*base, changed, gone) + """SELECT path AS key, 'files' AS bucket FROM manifest
+WHERE path NOT IN (SELECT path FROM gone)
+UNION ALL SELECT path, 'default' FROM changed"""
     out["run_progress"] = _with(TEXTS, docs_from("texts")) + """, ledger AS (
   SELECT regexp_extract(id, '^(.*)/[^/]*$', 1) AS batch, count(*) AS n_done FROM docs GROUP BY 1
 ), run AS (

@@ -52,3 +52,27 @@ def manifest_from_kv(kv: DataFrame) -> DataFrame:
         F.col("key").alias("path"),
         F.to_timestamp(parsed["last_indexed"]).alias("last_indexed"),
     )
+
+
+def _addressed(kv: DataFrame) -> DataFrame:
+    """Rows with their bucket named and a valid (not empty) key."""
+    return kv.withColumn("bucket", bucket_name(F.col("bucket"))).filter(F.col("key").isNotNull() & (F.col("key") != ""))
+
+
+def kv_put(kv: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (bucket, key, value) replace those of the same bucket and key, or are added."""
+    new = _addressed(rows).select("bucket", "key", "value").dropDuplicates(["bucket", "key"])
+    old = _addressed(kv).join(new.select("bucket", "key"), ["bucket", "key"], "left_anti")
+    return old.select("bucket", "key", "value").unionByName(new)
+
+
+def kv_delete(kv: DataFrame, keys: DataFrame) -> DataFrame:
+    """Without the keys (bucket, key); keys that are not there are no error."""
+    gone = _addressed(keys).select("bucket", "key").distinct()
+    return _addressed(kv).join(gone, ["bucket", "key"], "left_anti").select("bucket", "key", "value")
+
+
+def kv_keys(kv: DataFrame, bucket: str = "") -> DataFrame:
+    """The keys of a bucket; an empty name means the default bucket."""
+    named = F.lit(bucket or BUCKET_DEFAULT)
+    return _addressed(kv).filter(F.col("bucket") == named).select("key")

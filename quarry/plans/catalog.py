@@ -25,7 +25,7 @@ from quarry.functions.text import normalize_query, split_words
 from quarry.operators import listing as L
 from quarry.operators.analysis import build_doc_stats
 from quarry.operators.extract import assemble_documents
-from quarry.operators.manifest import manifest_to_kv
+from quarry.operators.manifest import kv_delete, kv_keys, kv_put, manifest_to_kv
 from quarry.operators.parse import parse_queries
 from quarry.operators.progress import ledger_progress
 from quarry.operators.validate import parse_exclude_text, validate_index_requests, validate_queries
@@ -264,6 +264,22 @@ def q_manifest_json(spark, sf_dir):
     return manifest_to_kv(_manifest(spark, sf_dir))
 
 
+def q_manifest_buckets(spark, sf_dir):
+    """Keys of two buckets after puts and deletes.
+
+    The manifest lies in the files bucket; changed files are put into the
+    default bucket (named by an empty name), and gone files are deleted.
+    """
+    files, manifest = _files(spark, sf_dir), _manifest(spark, sf_dir)
+    kv = manifest_to_kv(manifest)
+    changed = L.changed_files(L.visible_files(files, C.CORPUS_ROOT), manifest)
+    puts = changed.select(F.lit("").alias("bucket"), F.col("path").alias("key"), F.col("reason").alias("value"))
+    gone = L.deleted_files(files, manifest, [C.CORPUS_ROOT])
+    kv = kv_delete(kv_put(kv, puts), gone.select(F.lit("files").alias("bucket"), F.col("path").alias("key")))
+    listed = [kv_keys(kv, name).withColumn("bucket", F.lit(name or "default")) for name in ("", "files")]
+    return listed[0].unionByName(listed[1])
+
+
 def q_run_progress(spark, sf_dir):
     """Run ledger with one batch per folder, progress after each batch.
 
@@ -537,6 +553,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "manifest_upsert": q_manifest_upsert,
     "manifest_lookup": q_manifest_lookup,
     "manifest_json": q_manifest_json,
+    "manifest_buckets": q_manifest_buckets,
     "run_progress": q_run_progress,
     "doc_count": q_doc_count,
     "store_documents": q_store_documents,

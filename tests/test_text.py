@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quarry.functions.format import format_size, progress_percent
 from quarry.functions.paths import ancestor_dirs, extension, is_hidden_below
 from quarry.functions.text import analyzed_terms, lower_case, normalize_query, raw_tokens, split_words
+from quarry.operators.manifest import kv_delete, kv_keys, kv_put
 from quarry.operators.parse import quoted_phrases, remaining_terms
 from quarry.operators.snippet import snippet
 
@@ -105,3 +106,13 @@ def test_paths(spark):
     )
     got = [r[0] for r in df.select(is_hidden_below(F.col("p"), F.col("root"))).collect()]
     assert got == [False, True, True]
+
+
+def test_key_value_buckets(spark):
+    shape = "bucket string, key string, value string"
+    kv = spark.createDataFrame([("files", "a", "1"), ("", "a", "2"), ("requests", "r", "3")], shape)
+    put = kv_put(kv, spark.createDataFrame([("default", "a", "new"), ("", "b", "x"), ("files", "", "no key")], shape))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(put) == [("default", "a", "new"), ("default", "b", "x"), ("files", "a", "1"), ("requests", "r", "3")]
+    cut = kv_delete(put, spark.createDataFrame([("", "a"), ("files", "missing")], "bucket string, key string"))
+    assert rows(kv_keys(cut)) == [("b",)] and rows(kv_keys(cut, "files")) == [("a",)] and rows(kv_keys(cut, "none")) == []
