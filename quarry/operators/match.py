@@ -254,7 +254,7 @@ def term_child_scores(leaves: DataFrame, index: IndexTables, expansion_rows: int
         .filter(F.col("n_matched") == F.col("n_terms"))
         .select("query_id", "doc_id", "n_children", "c", "cscore", "loc")
     )
-    return single.unionByName(conj)
+    return single.unionByName(conj).withColumn("times", F.lit(1))
 
 
 def phrase_child_scores(cq: CompiledQueries, index: IndexTables, n_queries: int, max_rows: int) -> DataFrame:
@@ -273,6 +273,7 @@ def phrase_child_scores(cq: CompiledQueries, index: IndexTables, n_queries: int,
         "c",
         "boost",
         "k",
+        "times",
         F.posexplode("rtoks").alias("off", "lterm"),
     ).filter(~is_stop_word(F.col("lterm")))
     toks = toks.withColumn("field", F.lit("content")).withColumn(
@@ -289,11 +290,12 @@ def phrase_child_scores(cq: CompiledQueries, index: IndexTables, n_queries: int,
         "n_children",
         "c",
         "k",
+        "times",
         _leaf(F.col("boost"), _idf(F.col("df"), index.n_docs), F.col("tf"), F.col("dl")).alias("leaf"),
         F.transform("positions", lambda p: p - F.col("off")).alias("starts"),
         F.element_at("positions", 1).alias("loc"),
     ).repartition("query_id", "doc_id")
-    agg = hits.groupBy("query_id", "doc_id", "n_children", "c", "k").agg(
+    agg = hits.groupBy("query_id", "doc_id", "n_children", "c", "k", "times").agg(
         F.sum("leaf").alias("cscore"),
         F.count(F.lit(1)).alias("m"),
         F.collect_list("starts").alias("starts"),
@@ -305,13 +307,13 @@ def phrase_child_scores(cq: CompiledQueries, index: IndexTables, n_queries: int,
         lambda acc, x: F.array_intersect(acc, x),
     )
     return agg.filter((F.col("m") == F.col("k")) & (F.size(common) > 0)).select(
-        "query_id", "doc_id", "n_children", "c", "cscore", "loc"
+        "query_id", "doc_id", "n_children", "c", "cscore", "loc", "times"
     )
 
 
 def score_matches(children: DataFrame) -> DataFrame:
-    """Top-level OR: (matched children / children) * sum, per (query, doc)."""
+    """Top-level OR: (matched children / children) * sum, per (query, doc); a child counts ``times`` times."""
     return children.groupBy("query_id", "doc_id", "n_children").agg(
-        (F.sum("cscore") * F.count(F.lit(1)) / F.col("n_children")).alias("score"),
+        (F.sum(F.col("cscore") * F.col("times")) * F.sum("times") / F.col("n_children")).alias("score"),
         F.min("loc").alias("loc"),
     )

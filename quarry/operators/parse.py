@@ -170,6 +170,11 @@ def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> Compil
         (F.col("phrase") if phrase_mode == "per_phrase" else F.col("q")).alias("text"),
         F.lit(BOOST_QUOTED_PHRASE).alias("boost"),
     )
+    # Clauses of one text are one row that counts so many times: in ``as_built``
+    # mode all quoted phrases of a query are, since each holds the whole query.
+    quoted = quoted.groupBy("query_id", "n_children", "text", "boost").agg(
+        F.min("c").alias("c"), F.count(F.lit(1)).cast("int").alias("times")
+    )
     # The implied phrase runs on the remaining string itself (or the whole
     # query when nothing was parsed), not on the re-joined words.
     implied = live.filter(F.col("n_terms") > 1).select(
@@ -180,6 +185,7 @@ def compile_queries(queries: DataFrame, phrase_mode: str = "as_built") -> Compil
         .otherwise(F.col("remaining"))
         .alias("text"),
         F.lit(BOOST_REGULAR_PHRASE).alias("boost"),
+        F.lit(1).alias("times"),
     )
     phrases = quoted.unionByName(implied)
     # Query text is tokenised once here; later steps read these columns.

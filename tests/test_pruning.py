@@ -6,10 +6,13 @@ import uuid
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from quarry.config import SearchConfig
 from quarry.operators import match as M
 from quarry.operators.parse import compile_queries, persist_compiled
 from quarry.operators.validate import validate_queries
+from quarry.plans.search import search
 from quarry.sources.store import IndexStore
 
 
@@ -42,3 +45,19 @@ def test_large_batches_fall_back_to_buckets(spark, store):
     assert facts.terms is None and facts.buckets
     rows = M.pruned_index(store.open_index(), facts).postings
     assert rows.filter("field = 'content' AND term LIKE 'word%'").count() == 400
+
+
+def test_many_quoted_phrases_of_one_query_are_one_row(spark, store):
+    query = " ".join(['"lamp3"'] * 30)
+    q = spark.createDataFrame([(1, query, 0, 0)], "query_id long, query string, per_page int, page int")
+    for mode in ("as_built", "per_phrase"):
+        cq = compile_queries(validate_queries(q).drop("error"), mode)
+        assert [(r.c, r.times) for r in cq.phrases.collect()] == [(0, 30)]
+    res = search(q, store.open_index(), SearchConfig(phrase_mode="per_phrase"))
+    assert res.matches.count() == len([i for i in range(400) if i % 7 == 3])
+    one = search(q.withColumn("query", F.lit('"lamp3"')), store.open_index(), SearchConfig(phrase_mode="per_phrase"))
+    a, b = ({r.doc_id: r.score for r in x.matches.collect()} for x in (res, one))
+    # Thirty equal children: thirty times the sum, all of them matched.
+    assert a.keys() == b.keys() and all(a[d] == pytest.approx(30 * b[d], rel=1e-5) for d in a)
+    res.unpersist()
+    one.unpersist()
