@@ -9,14 +9,15 @@ words stand in three-word windows that are found twice or more in it.
 Every other document is compared with the reference of its language by the
 Jensen-Shannon distance (base 2, so 0 to 1) of two histograms: character
 classes, and common words (the words of ``COMMON_WORDS``, and all other words
-as one bin).  A language's reference comes from every row of the table: the
-documents that pass the base rules are summed, and then, so that a share of
-odd documents does not bend it, those of them that lie nearer to this sum than
-half of them do are summed again.  Languages outside ``COMMON_WORDS`` share the
-sums over all documents.  A document is rejected
+as one bin).  A language's reference comes from every distinct text of the
+table, so that copies of one text count once: the texts that pass the base
+rules are summed, and then, so that a share of odd texts does not bend it,
+those of them that lie nearer to this sum than half of them do are summed
+again.  Languages outside ``COMMON_WORDS`` share the sums over all texts.  A
+document is rejected
 when a distance is above its limit.  Limits widen with 1/sqrt(length), as the
 distance of a small sample does; below a minimum length, and where a
-reference rests on too few documents, a histogram is not judged.
+reference rests on too few distinct texts, a histogram is not judged.
 
 Cases: a null or blank text has no words and fails the base rules; a null
 language uses the shared reference; repeated rows are judged alike; an empty
@@ -33,7 +34,7 @@ from quarry.llm.common import WS, materialize
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Lengths from which a histogram is judged, and documents that a reference needs.
+#: Lengths from which a histogram is judged, and distinct texts that a reference needs.
 MIN_CLASS_CHARS = 200
 MIN_COMMON_WORDS = 80
 MIN_REFERENCE_DOCS = 20
@@ -161,21 +162,21 @@ def measure(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
         F.char_length("_q_text").cast("long").alias("n_chars"),
         F.when(judged, F.array(*classes)).alias("classes"),
         F.when(judged & (F.col("_q_lang") != ""), F.array(*bins, other)).alias("words"),
+        F.when(judged, F.unhex(F.sha2("_q_text", 256))).alias("digest"),
     )
     return step.select(*docs.columns, q.alias("_q"))
 
 
 def _sums(measured: DataFrame, classes: Column, words: Column) -> DataFrame:
-    """Summed histograms of the documents that the conditions choose.
+    """Summed histograms of the rows that the conditions choose.
 
     One row for each judged language and one for all others: at most
     ``len(COMMON_WORDS) + 1`` rows.
     """
     sums = [F.sum(F.when(classes, F.get("_q.classes", F.lit(i)))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
     sums += [F.sum(F.when(words, F.get("_q.words", F.lit(i)))).alias(f"w{i}") for i in range(BINS + 1)]
-    passed = measured.filter("NOT _q.base_failed")
-    by_lang = passed.groupBy(F.col("_q.lang").alias("lang")).agg(F.count(F.lit(1)).alias("n"), *sums)
-    # Documents of other languages are compared with all documents.
+    by_lang = measured.groupBy(F.col("_q.lang").alias("lang")).agg(F.count(F.lit(1)).alias("n"), *sums)
+    # Documents of other languages are compared with all texts.
     names = [c for c in by_lang.columns if c != "lang"]
     shared = by_lang.agg(*[F.sum(c).alias(c) for c in names]).select(F.lit("").alias("lang"), *names)
     rows = by_lang.filter("lang <> ''").unionByName(shared)
@@ -196,7 +197,7 @@ def _step(distance: str) -> Column:
 
 
 def _middle(far: DataFrame, distance: str, out: str) -> DataFrame:
-    """(lang, out): the step by which half of the language's documents are reached; exact."""
+    """(lang, out): the step by which half of the language's texts are reached; exact."""
     counts = far.filter(F.col(distance).isNotNull()).groupBy(F.col("_q.lang").alias("lang"), _step(distance).alias("step"))
     counts = counts.agg(F.count(F.lit(1)).alias("n"))  # at most STEPS + 1 rows for each language
     reached = Window.partitionBy("lang").orderBy("step")
@@ -205,9 +206,20 @@ def _middle(far: DataFrame, distance: str, out: str) -> DataFrame:
     return counts.filter(F.col("reached") * 2 >= F.col("all")).groupBy("lang").agg(F.min("step").alias(out))
 
 
+def distinct_texts(measured: DataFrame) -> DataFrame:
+    """(_q): one row for each language and text that passes the base rules.
+
+    Copies have equal histograms, so any of them will do; they are put together
+    before the shuffle, so a text of any number of copies sends a row a task.
+    """
+    passed = measured.filter("NOT _q.base_failed").select(F.col("_q.lang").alias("lang"), F.col("_q.digest").alias("digest"), "_q")
+    return passed.dropDuplicates(["lang", "digest"]).select("_q")
+
+
 def references(measured: DataFrame) -> DataFrame:
     """The reference histograms; at most ``len(COMMON_WORDS) + 1`` rows."""
-    far = materialize(distances(measured.select("_q"), _sums(measured, F.lit(True), F.lit(True))), "distances")
+    texts = materialize(distinct_texts(measured), "distinct-texts")
+    far = materialize(distances(texts, _sums(texts, F.lit(True), F.lit(True))), "distances")
     middle = _middle(far, "_class_distance", "_c_step").join(_middle(far, "_word_distance", "_w_step"), "lang", "full")
     # One row for each language.
     near = far.join(F.broadcast(middle), F.col("_q.lang") == F.col("lang"), "left")

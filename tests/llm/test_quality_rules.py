@@ -149,3 +149,20 @@ def test_filter_keeps_columns_and_rows(make_docs):
     got = Q.filter_quality(docs)
     assert got.columns == docs.columns
     assert {r.doc_id for r in got.collect()} == kept
+
+
+def test_copies_of_one_text_do_not_become_the_reference(make_docs):
+    rng = random.Random(4)
+    clean = [(i, text_of(rng, "es", rng.randint(100, 400)), "es", "s") for i in range(60)]
+    copied = ("Ya no hay más que decir aquí, SEÑOR 1234! " * 2 + " ".join(f"TEXTO{i} 99{i}" for i in range(150)))
+    alone = {r.doc_id: r for r in Q.quality_rules(make_docs([*clean, (100, copied, "es", "s")])).collect()}
+    rows = clean + [(100 + i, copied, "es", "s") for i in range(400)]
+    got = {r.doc_id: r for r in Q.quality_rules(make_docs(rows).repartition(5)).collect()}
+    assert len(got) == len(rows) and not got[100].base_failed
+    assert all(got[i].kept for i, *_ in clean)
+    for i in alone:  # further copies change no reference
+        assert got[i].class_distance == pytest.approx(alone[i].class_distance, abs=1e-9)
+        assert got[i].word_distance == pytest.approx(alone[i].word_distance, abs=1e-9)
+    # copies do not make up the texts that a reference needs
+    few = Q.quality_rules(make_docs(rows[50:])).collect()
+    assert all(r.class_distance is None and r.word_distance is None for r in few)
