@@ -277,7 +277,8 @@ RULES = [
     (3, "all-rights-reserved", "rechte", r"alle rechte vorbehalten"),
     (4, "some-rights-reserved", "rights reserved", r"some rights reserved"),
     (4, "copyright", "copyright", r"copyright(?: c)? (?:19|20)[0-9]{2}"),
-    (4, "license-reference", "license", r"(?:see|refer to) (?:the )?(?:license|copying)(?: file| txt| md)?(?: for (?:more )?details)?"),
+    (4, "license-reference", "license", r"(?:see|refer to) (?:the )?license(?: file| txt| md)?(?: for (?:more )?details)?"),
+    (4, "license-reference", "copying", r"(?:see|refer to) (?:the )?copying(?: file| txt| md)?(?: for (?:more )?details)?"),
     (4, "license-reference", "license", r"license file"),
     (4, "license-reference", "license", r"license agreement"),
     (4, "warranty-disclaimer", "merchantability", r"implied warrant(?:y|ies) of merchantability"),

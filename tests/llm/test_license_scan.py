@@ -100,3 +100,39 @@ def test_odd_rows(make_docs):
 def test_prefix_tree(words):
     p = re.compile(L.prefix_tree(words))
     assert all(p.match(w) for w in words) and not p.match("zz")
+
+
+def matches_of(pattern):
+    """Strings that a rule's pattern matches: all choices of its groups, one of each character set."""
+    from itertools import product
+
+    def of(parts):
+        return ["".join(x) for x in product(*map(options, parts))]
+
+    def options(part):
+        op, arg = part
+        name = str(op)
+        if name == "LITERAL":
+            return [chr(arg)]
+        if name == "IN":
+            kind, first = arg[0]
+            return [chr(c) for k, c in arg if str(k) == "LITERAL"] or [chr(first[0] if str(kind) == "RANGE" else first)]
+        if name == "SUBPATTERN":
+            return of(arg[-1])
+        if name == "BRANCH":
+            return [x for branch in arg[1] for x in of(branch)]
+        assert name == "MAX_REPEAT", name
+        low, high, inner = arg
+        return [x for n in {low, min(int(high), low + 1)} for x in of(list(inner) * n)]
+
+    return of(re._parser.parse(pattern))
+
+
+def test_the_gate_lets_every_match_of_every_rule_through(make_docs):
+    gate = re.compile("(?<![^ ])" + L.prefix_tree(sorted({k for _, _, k, _ in RULES} | {p for p, _ in L.BASE})))
+    for _, _, keyword, pattern in RULES:
+        for text in matches_of(pattern):
+            assert re.fullmatch(pattern, text) and keyword in text and gate.search(text), (keyword, text)
+    rows = list(enumerate(["See the COPYING file for details", "refer to copying.txt for more details", "see copying", "see LICENSE.md"]))
+    assert run(make_docs(rows)) == sorted(((i, *brute(t)) for i, t in rows), key=str)
+    assert all(r.labels == "license-reference" for r in L.label_digest(L.scan_licenses(make_docs(rows))).collect())
