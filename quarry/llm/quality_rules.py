@@ -13,14 +13,15 @@ as one bin).  A language's reference comes from every distinct text of the
 table, so that copies of one text count once: the texts that pass the base
 rules are summed, and then, so that a share of odd texts does not bend it,
 those of them that lie nearer to this sum than half of them do are summed
-again.  Languages outside ``COMMON_WORDS`` share the sums over all texts.  A
-document is rejected
+again.  Languages outside ``COMMON_WORDS`` share the class sums over all texts;
+their words are not judged, as another language's common words tell nothing of
+them (see the README).  A document is rejected
 when a distance is above its limit.  Limits widen with 1/sqrt(length), as the
 distance of a small sample does; below a minimum length, and where a
 reference rests on too few distinct texts, a histogram is not judged.
 
 Cases: a null or blank text has no words and fails the base rules; a null
-language uses the shared reference; repeated rows are judged alike; an empty
+language uses the shared class reference; repeated rows are judged alike; an empty
 table gives an empty result; extra columns stay as they are with ``filter_quality``.
 """
 
@@ -36,7 +37,7 @@ MAX_REPEAT_PERCENT = 50
 
 #: Lengths from which a histogram is judged, and distinct texts that a reference needs.
 MIN_CLASS_CHARS = 200
-MIN_COMMON_WORDS = 80
+MIN_COMMON_WORDS = MIN_WORDS
 MIN_REFERENCE_DOCS = 20
 
 #: Limits of the distances: at length n, base + slope / sqrt(n).

@@ -166,3 +166,13 @@ def test_copies_of_one_text_do_not_become_the_reference(make_docs):
     # copies do not make up the texts that a reference needs
     few = Q.quality_rules(make_docs(rows[50:])).collect()
     assert all(r.class_distance is None and r.word_distance is None for r in few)
+
+
+def test_words_are_judged_from_the_first_length_that_passes(make_docs):
+    rng = random.Random(6)
+    clean = [(i, text_of(rng, "en", rng.randint(50, 300)), "en", "s") for i in range(80)]
+    salad = [(100 + n, text_of(rng, "en", n, common=0), "en", "s") for n in (50, 60, 79)]
+    got = {r.doc_id: r for r in Q.quality_rules(make_docs(clean + salad)).collect()}
+    assert all(got[i].kept for i, *_ in clean if not got[i].base_failed)
+    for i, *_ in salad:
+        assert not got[i].base_failed and got[i].word_distance is not None and not got[i].kept
