@@ -35,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import id_key, materialize, row_slices
@@ -224,6 +224,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def with_components(hashed: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Adds component_id to rows with doc_id and fp; one row for each row."""
+    distinct = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    found = components(link_fingerprints(distinct, radius))
+    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(named, "root").select("fp", "root", "component_id")
+    return hashed.join(named, "fp", "left")
+
+
 def simhash_dedup(
     docs: DataFrame,
     words: int = SHINGLE_WORDS,
@@ -233,24 +245,28 @@ def simhash_dedup(
 ) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id."""
     hashed = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    found = components(link_fingerprints(distinct, radius))
-    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return hashed.join(named, "fp", "left").select(
+    return with_components(hashed, radius).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def _row_key() -> Column:
+    """What tells rows apart: the id and the text (a null text is like an empty one)."""
+    return F.struct(id_key("doc_id").alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+
+
 def keep_representatives(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The documents (column doc_id) with the smallest id of their component.
+    """One document of each component: that with the smallest id.
 
-    Documents with a null id stay; of rows that repeat id and text one stays.
+    Where an id repeats with other texts, the row's text counts, not its id
+    alone; of rows that repeat id and text one stays.  Of the documents with a
+    null id, one of each component stays too, beside any that has an id.
     """
-    chosen = simhash_dedup(docs, words, radius).filter("doc_id IS NULL OR doc_id = component_id")
-    ids = chosen.select(id_key("doc_id").alias("_key"))
-    rows = docs.withColumn("_key", id_key("doc_id")).join(ids, "_key", "left_semi")
-    return rows.dropDuplicates(["_key", "text"]).select(*docs.columns)
+    keyed = docs.withColumn("_key", _row_key())
+    hashed = fingerprints(keyed.withColumn("_row", F.struct("doc_id", F.col("_key.digest").alias("digest"))), words, "_row")
+    hashed = hashed.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.digest").alias("digest"), "fp")
+    hashed = materialize(hashed, "fingerprints")
+    found = with_components(hashed, radius)
+    chosen = found.groupBy("root", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "digest")).alias("row"))
+    chosen = chosen.select(F.struct(id_key("row.doc_id").alias("id"), F.col("row.digest").alias("digest")).alias("_key"))
+    return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

@@ -110,3 +110,19 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in S.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {i: 200 for i in [*range(201, 230), 500]} | {900: -5}
     assert S.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_document_of_each_component_stays_whatever_its_id(make_docs):
+    a, b, c, d, e = ("%s " % x * 3 + " ".join(f"{x}{i}" for i in range(90)) for x in "abcde")
+    rows = [
+        (5, a), (5, b), (2, b), (6, a.upper()),  # (5, b) is stood for by 2, though its id stands for a
+        (7, c), (7, c.upper()), (7, c),  # one smallest id with two texts, one of them twice
+        (None, d), (None, d.upper()), (None, a), (None, e), (9, e),  # one null id of each component stays
+        (11, None), (11, ""),
+    ]
+    got = [(r.doc_id, r.text) for r in S.keep_representatives(make_docs(rows).repartition(3)).collect()]
+    with_id = [brute_fingerprint(t) for i, t in got if i is not None]
+    assert sorted(with_id) == sorted({brute_fingerprint(t) for i, t in rows if i is not None})
+    assert sorted((str(i), (t or "").lower()[:1]) for i, t in got) == [
+        ("11", ""), ("2", "b"), ("5", "a"), ("7", "c"), ("9", "e"), ("None", "a"), ("None", "d"), ("None", "e"),
+    ]
