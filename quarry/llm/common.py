@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,11 +62,6 @@ def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[p
             yield b.slice(at, rows)
 
 
-def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
-    """``mapInArrow``; ``f`` takes and gives iterators of record batches."""
-    return df.mapInArrow(f, schema)
-
-
 def prefix_sum(
     df: DataFrame, order: list[Column], value: str, out: str, group: list[str] = (), name: str = "prefix"
 ) -> DataFrame:
@@ -75,9 +70,10 @@ def prefix_sum(
     With ``group``, sums start anew in each group; ``order`` must then begin
     with the group's columns.  Rows are range-partitioned by ``order``, so a
     group or a tie of any size is split as long as ``order`` ends in a column
-    that tells rows apart.  Sums inside partitions and the sums of whole
-    partitions (one row for each partition and group in it) are put together;
-    only the latter are broadcast, at most partitions + groups rows.
+    that tells rows apart.  A row adds to the sum inside its partition what its
+    group had in earlier partitions.  Of the groups in a partition only the
+    first can have begun before it, so at most one row for each partition is
+    broadcast, however many groups there are.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -88,15 +84,15 @@ def prefix_sum(
     totals = ranged.groupBy("_part", *group).agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_part", *[F.col(g).alias(f"_g_{g}") for g in group],
-        F.coalesce(F.sum("_total").over(before), F.lit(0).cast("long")).alias("_before"),
-    )
+        F.col("_part").alias("_p"), *[F.col(g).alias(f"_g_{g}") for g in group], F.sum("_total").over(before).alias("_before")
+    ).filter(F.col("_before") != 0)
     on = F.col("_part") == F.col("_p")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    zero = F.lit(0).cast("long")
     return (
-        ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0).cast("long")))
-        .join(F.broadcast(offsets.withColumnRenamed("_part", "_p")), on)
-        .withColumn(out, F.col("_inside") + F.col("_before"))
+        ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), zero))
+        .join(F.broadcast(offsets), on, "left")
+        .withColumn(out, F.col("_inside") + F.coalesce("_before", zero))
         .drop("_part", "_p", "_inside", "_before", *[f"_g_{g}" for g in group])
     )
