@@ -12,9 +12,10 @@ folder with a row id, the key and the count.  Order and places come from the
 small columns alone; ids meet their places in one shuffle by row id.  Equal
 keys are split by id and row, so copies of one text spread over partitions.
 
-Equal words are tokenised once for each worker while they stay in a bounded
-cache: the tokenizer drops white space and no token crosses it, so a text's ids
-are those of its words, one after another.
+The words of a batch are dictionary-encoded, and each distinct one is tokenised
+once for each worker while it stays in a bounded cache: the tokenizer drops
+white space and no token crosses it, so a text's ids are those of its words, one
+after another, gathered by numpy.
 
 Cases: a null or empty text has only the end id; repeated rows are packed each
 (their order among themselves does not change any result but which is which);
@@ -26,9 +27,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,8 @@ BITS = 12
 SEED = 20_240_501
 #: Words whose ids a worker keeps; a full cache starts anew.
 CACHE_WORDS = 1_000_000
+#: Texts whose words are looked up together.
+BATCH_ROWS = 1024
 
 #: Letters that lower-case and compose to themselves, then ASCII marks without
 #: the apostrophe: two pre-tokens whatever stands around them.
@@ -110,7 +115,12 @@ class WordTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.symbols = byte_symbols()
-        self.cache: dict[bytes, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Empties the cache: words' numbers, their ids one after another, and where each word's ids end."""
+        self.numbers: dict[str, int] = {}
+        self.ids, self.ends = array("H"), array("q", [0])
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of a word; plain words go to the merging model without the steps that would not change them."""
@@ -124,17 +134,35 @@ class WordTokenizer:
         model = self.tokenizer.model
         return [t.id for part in (letters, marks) if part for t in model.tokenize(part)]
 
-    def encode(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
-        words = [(t or "").encode("utf-8").split() for t in texts]  # ASCII white space
-        cache = self.cache
-        new = {w for ws in words for w in ws if w not in cache}
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = {w for ws in words for w in ws}
-        for w in new:
-            cache[w] = np.array(self.word_ids(w.decode("utf-8")), "<u2").tobytes()
-        end = np.array([end_id], "<u2").tobytes()
-        return [b"".join(map(cache.__getitem__, ws)) + end for ws in words]
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The cache's rows of words; new ones are tokenised."""
+        found = [self.numbers.get(w) for w in words]
+        if len(self.numbers) + found.count(None) > CACHE_WORDS:
+            self.clear()
+            found = [None] * len(words)
+        for i, w in enumerate(words):
+            if found[i] is None:
+                found[i] = self.numbers[w] = len(self.numbers)
+                self.ids.extend(self.word_ids(w))
+                self.ends.append(len(self.ids))
+        return np.array(found, np.int64)
+
+    def encode(self, texts: list[str | None] | pa.Array, end_id: int = END_ID) -> list[bytes]:
+        """Each distinct word of the texts is looked up once; ids are gathered by the words' places in the cache."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        lists = pc.ascii_split_whitespace(column.fill_null(""))
+        words = lists.flatten().dictionary_encode()
+        rows = self.rows(words.dictionary.to_pylist())
+        ends, ids = np.frombuffer(self.ends, np.int64), np.append(np.frombuffer(self.ids, np.uint16), np.uint16(end_id))
+        # a last word, of the end id alone, is set behind each text
+        start, length = np.append(ends[rows], len(ids) - 1), np.append(ends[rows + 1] - ends[rows], 1)
+        bounds = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        place = np.insert(words.indices.to_numpy().astype(np.int64), bounds, len(rows))
+        start, length = start[place], length[place]
+        behind = np.cumsum(length)
+        out = ids[np.arange(behind[-1] if len(behind) else 0) + np.repeat(start - (behind - length), length)].astype("<u2").tobytes()
+        cuts = [0, *(2 * behind[bounds + np.arange(len(bounds))]).tolist()]
+        return [out[x:y] for x, y in zip(cuts, cuts[1:])]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -157,8 +185,8 @@ def tokenize(
 
     def work(batches):
         tokenizer, plane = word_tokenizer(vocabulary), projection()
-        for b in row_slices(batches):
-            packed = tokenizer.encode(b.column(1).to_pylist(), end_id)
+        for b in row_slices(batches, BATCH_ROWS):
+            packed = tokenizer.encode(b.column(1), end_id)
             arrays = [np.frombuffer(p, "<u2") for p in packed]
             points = np.array([coordinates(a, plane) for a in arrays], np.int64).reshape(-1, DIMENSIONS)
             yield pa.RecordBatch.from_arrays(
