@@ -114,6 +114,7 @@ class WordTokenizer:
             raise ValueError("ids of this vocabulary need more than 16 bits")
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.symbols = byte_symbols()
         self.clear()
 
@@ -129,30 +130,39 @@ class WordTokenizer:
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         letters, marks = plain.groups()
         letters = letters.lower()
-        if not letters.isascii():
-            letters = "".join(map(self.symbols.__getitem__, letters.encode("utf-8")))
-        model = self.tokenizer.model
-        return [t.id for part in (letters, marks) if part for t in model.tokenize(part)]
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        """The cache's rows of words; new ones are tokenised."""
-        found = [self.numbers.get(w) for w in words]
-        if len(self.numbers) + found.count(None) > CACHE_WORDS:
+        if letters != word:  # the word in lower case is often known
+            return self.known(letters) + (self.model_ids(marks) if marks else [])
+        return self.model_ids(word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode("utf-8"))))
+
+    def model_ids(self, part: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(part)]
+
+    def known(self, word: str) -> list[int]:
+        row = self.row(word)
+        return self.ids[self.ends[row] : self.ends[row + 1]].tolist()
+
+    def row(self, word: str) -> int:
+        """The cache's row of a word; a new one is tokenised."""
+        if word not in self.numbers:
+            ids = self.word_ids(word)
+            self.numbers[word] = len(self.ends) - 1
+            self.ids.extend(ids)
+            self.ends.append(len(self.ids))
+        return self.numbers[word]
+
+    def rows(self, words: np.ndarray) -> np.ndarray:
+        found = list(map(self.numbers.get, words))
+        if len(self.numbers) + 2 * found.count(None) > CACHE_WORDS:
             self.clear()
             found = [None] * len(words)
-        for i, w in enumerate(words):
-            if found[i] is None:
-                found[i] = self.numbers[w] = len(self.numbers)
-                self.ids.extend(self.word_ids(w))
-                self.ends.append(len(self.ids))
-        return np.array(found, np.int64)
+        return np.array([self.row(words[i]) if r is None else r for i, r in enumerate(found)], np.int64)
 
     def encode(self, texts: list[str | None] | pa.Array, end_id: int = END_ID) -> list[bytes]:
         """Each distinct word of the texts is looked up once; ids are gathered by the words' places in the cache."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         lists = pc.ascii_split_whitespace(column.fill_null(""))
         words = lists.flatten().dictionary_encode()
-        rows = self.rows(words.dictionary.to_pylist())
+        rows = self.rows(words.dictionary.to_numpy(zero_copy_only=False))
         ends, ids = np.frombuffer(self.ends, np.int64), np.append(np.frombuffer(self.ids, np.uint16), np.uint16(end_id))
         # a last word, of the end id alone, is set behind each text
         start, length = np.append(ends[rows], len(ids) - 1), np.append(ends[rows + 1] - ends[rows], 1)
