@@ -8,8 +8,8 @@ text ("the/0 mit/1 license/2"), so that every match of a rule carries its
 place, and each rule whose keyword occurs is matched.  Detections of all rules
 are then swept in order of their places: a detection whose interval lies
 inside that of a detection of stronger priority is suppressed.  The sweep
-keeps the farthest end of each priority, so its work grows with the detections
-of a text, not with their pairs.
+keeps the farthest end of each priority and gathers what stays in blocks, so
+its work grows with the detections of a text, not with their pairs.
 
 Base phrases count apart, with all their places, suppressed or not.
 
@@ -36,6 +36,9 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 PRIORITIES = sorted(CONFIDENCE)
 
+#: Detections of a text that are swept together.
+BLOCK = 256
+
 
 def numbered(pattern: str) -> str:
     """A rule's pattern for numbered words: each word is followed by / and its place."""
@@ -88,20 +91,42 @@ def _detections(keywords: Column, text: Column, rules: list) -> Column:
     return F.sort_array(F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(keywords, r["keyword"])), found)))
 
 
-def _suppressed(detections: Column) -> Column:
-    """A string with 1 for each detection, in order, that a stronger one contains; else 0."""
-    ends = lambda s: {p: s[f"end{p}"] for p in PRIORITIES}
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _unsuppressed(detections: Column) -> Column:
+    """The detections, in order, that no stronger one contains.
+
+    A fold over blocks of ``BLOCK`` detections, and inside over each block.  As a
+    fold copies its state at each step, the inner one holds no more than a
+    block, and only the outer one, with few steps, all that is kept.
+    """
+    kind = "struct<start:int,minus_end:int,priority:int,label:string>"
+    none = F.array().cast(f"array<{kind}>")
+
+    def state(ends: list[Column], kept: Column) -> Column:
+        return F.struct(*[e.alias(f"end{p}") for p, e in zip(PRIORITIES, ends, strict=True)], kept.alias("kept"))
+
+    def ends_of(s: Column) -> list[Column]:
+        return [s[f"end{p}"] for p in PRIORITIES]
 
     def step(s: Column, d: Column) -> Column:
         end = -d["minus_end"]
-        inside = reduce(lambda a, b: a | b, [(d["priority"] > p) & (e >= end) for p, e in ends(s).items()])
-        farther = [
-            F.when((d["priority"] == p) & (end > e), end).otherwise(e).alias(f"end{p}") for p, e in ends(s).items()
-        ]
-        return F.struct(F.concat(s["flags"], F.when(inside, "1").otherwise("0")).alias("flags"), *farther)
+        inside = reduce(lambda a, b: a | b, [(d["priority"] > p) & (e >= end) for p, e in zip(PRIORITIES, ends_of(s), strict=True)])
+        farther = [F.when(d["priority"] == p, F.greatest(e, end)).otherwise(e) for p, e in zip(PRIORITIES, ends_of(s), strict=True)]
+        return state(farther, F.concat(s["kept"], F.when(inside, none).otherwise(F.array(d))))
 
-    start = F.struct(F.lit("").alias("flags"), *[F.lit(-1).alias(f"end{p}") for p in PRIORITIES])
-    return F.aggregate(detections, start, step, lambda s: s["flags"])
+    def sweep(s: Column, block: Column) -> Column:
+        swept = F.aggregate(block, state(ends_of(s), none), step)
+        return _let(swept, lambda x: state(ends_of(x), F.concat(s["kept"], F.array(x["kept"]))))
+
+    blocks = _let(
+        detections, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(BLOCK)), lambda at: F.slice(x, at, BLOCK))
+    )
+    start = state([F.lit(-1) for _ in PRIORITIES], F.array().cast(f"array<array<{kind}>>"))
+    return F.aggregate(blocks, start, sweep, lambda s: F.flatten(s["kept"]))
 
 
 def scan_licenses(
@@ -133,12 +158,12 @@ def scan_licenses(
     places = [F.regexp_extract_all("marked", F.lit(numbered(p)), F.lit(0)) for p, _ in BASE]
     step = step.withColumns({f"base{i}": F.transform(m, lambda x: _place(x, False)) for i, m in enumerate(places)})
     step = step.withColumn("found", _detections(F.col("keywords"), F.col("marked"), rules))
-    step = step.withColumn("flags", F.split(_suppressed(F.col("found")), ""))
+    step = step.withColumn("kept", _unsuppressed(F.col("found")))
     step = step.withColumns(
         {
             "all_base": F.concat(*[f"base{i}" for i in range(len(BASE))]),
             "detections": F.transform(
-                F.filter("found", lambda d, i: F.get("flags", i) == "0"),
+                "kept",
                 lambda d: F.struct(
                     d["label"].alias("label"),
                     d["priority"].alias("priority"),

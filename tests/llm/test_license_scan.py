@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -96,6 +97,23 @@ def test_odd_rows(make_docs):
     assert run(make_docs([])) == []
 
 
+def test_blocks_of_the_sweep(make_docs, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(NOTICES + ["x", "mit license", "apache license"]) for _ in range(rng.randint(0, 30)))) for i in range(40)]
+    monkeypatch.setattr(L, "BLOCK", 3)
+    assert run(make_docs(rows)) == sorted(((i, *brute(t)) for i, t in rows), key=str)
+
+
+def test_many_detections_take_time_in_proportion(make_docs):
+    took = []
+    for n in (10, 10_000, 100_000):
+        began = time.time()
+        ((_, n_words, n_base, first, last, _, labels, _, n_detections),) = run(make_docs([(1, "mit license x " * n)]))
+        took.append(time.time() - began)
+        assert (n_words, n_base, first, last, labels, n_detections) == (3 * n, n, 0, 3 * n - 3, "mit", n)
+    assert took[2] < 60 and took[2] < 15 * took[1]
+
+
 @pytest.mark.parametrize("words", [["a"], ["ab", "abc", "b"], ["gpl", "gplv3", "apache org", "apache"]])
 def test_prefix_tree(words):
     p = re.compile(L.prefix_tree(words))
