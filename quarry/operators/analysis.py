@@ -16,9 +16,9 @@ prefix's bucket) and a hash of the whole path for ``path``.  Written tables
 are partitioned by (field, tb); a query batch then reads only its buckets
 through dynamic partition pruning.
 
-Work per document stays inside its task: tokens are produced per row, and the
-only shuffle is the (field, term, doc_id) aggregation, which the partial
-aggregate collapses map-side because a document's tokens all sit in one task.
+Work per document stays inside its task: a document's tokens are sorted with
+their positions inside its row and cut into runs of equal terms, so postings
+need no aggregation; the only shuffle is the one that lays them out on disk.
 """
 
 from __future__ import annotations
@@ -36,36 +36,58 @@ def term_bucket(field: Column, term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def sorted_tokens(text: Column) -> Column:
+    """ARRAY<STRUCT<term, pos>> of a text's tokens without stop words, sorted; holes keep their positions."""
+    placed = F.transform(raw_tokens(text), lambda t, i: F.struct(t.alias("term"), i.cast("int").alias("pos")))
+    return F.sort_array(F.filter(placed, lambda x: ~is_stop_word(x["term"])))
+
+
+def term_runs(tokens: Column) -> Column:
+    """ARRAY<STRUCT<term, positions>> from sorted tokens: run-length groups, in time linear in the tokens."""
+
+    def runs(t: Column) -> Column:
+        begins = F.filter(
+            F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["term"] != F.get(t, i - 1)["term"])
+        )
+        run = lambda begin, end: F.struct(
+            F.get(t, begin)["term"].alias("term"), F.transform(F.slice(t, begin + 1, end - begin), lambda x: x["pos"]).alias("positions")
+        )
+        return _let(begins, lambda b: F.transform(b, lambda begin, j: run(begin, F.coalesce(F.get(b, j + 1), F.size(t)))))
+
+    return F.when(F.size(tokens) > 0, _let(tokens, runs))
+
+
 def _token_rows(documents: DataFrame) -> DataFrame:
-    """(doc_id, field, toks, dl) per document and analysed field."""
+    """(doc_id, field, tokens) per document and analysed field."""
     per_field = [
         documents.select(
-            F.col("id").alias("doc_id"),
-            F.lit(f).alias("field"),
-            raw_tokens(F.coalesce(F.col(f), F.lit(""))).alias("toks"),
+            F.col("id").alias("doc_id"), F.lit(f).alias("field"), sorted_tokens(F.coalesce(F.col(f), F.lit(""))).alias("tokens")
         )
         for f in FIELDS_ANALYSED
     ]
-    rows = per_field[0].unionByName(per_field[1])
-    return rows.select(
-        "doc_id",
-        "field",
-        "toks",
-        F.size(F.filter("toks", lambda t: ~is_stop_word(t))).cast("int").alias("dl"),
-    )
+    return per_field[0].unionByName(per_field[1])
 
 
 def build_postings(documents: DataFrame, term_buckets: int) -> DataFrame:
-    """One row per (field, term, document) with tf and positions."""
-    rows = _token_rows(documents)
-    # posexplode_outer: a plain posexplode makes the optimizer infer
-    # ``size(tokens) > 0`` and filter by it first, tokenising every document twice.
-    exploded = rows.select("doc_id", "field", "dl", F.posexplode_outer("toks").alias("pos", "term")).filter(
-        F.col("term").isNotNull() & ~is_stop_word(F.col("term"))
+    """One row per (field, term, document) with tf and positions; no shuffle."""
+    rows = _token_rows(documents).select(
+        "doc_id", "field", F.size("tokens").cast("int").alias("dl"), term_runs(F.col("tokens")).alias("runs")
     )
-    analysed = exploded.groupBy("field", "term", "doc_id", "dl").agg(
-        F.count(F.lit(1)).cast("int").alias("tf"),
-        F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias("positions"),
+    # explode_outer: a plain explode makes the optimizer infer ``size(runs) > 0``
+    # and filter by it first, tokenising every document twice.
+    analysed = rows.select("doc_id", "field", "dl", F.explode_outer("runs").alias("run")).filter("run IS NOT NULL")
+    analysed = analysed.select(
+        "field",
+        F.col("run.term").alias("term"),
+        "doc_id",
+        "dl",
+        F.size("run.positions").cast("int").alias("tf"),
+        F.col("run.positions").alias("positions"),
     )
     path = documents.select(
         F.lit("path").alias("field"),
@@ -89,7 +111,7 @@ def build_postings(documents: DataFrame, term_buckets: int) -> DataFrame:
 
 def build_doc_stats(documents: DataFrame) -> DataFrame:
     """T4: field length per document (tokens after stop words; path is 1)."""
-    rows = _token_rows(documents).select("field", "doc_id", F.col("dl").alias("len"))
+    rows = _token_rows(documents).select("field", "doc_id", F.size("tokens").cast("int").alias("len"))
     path = documents.select(F.lit("path").alias("field"), F.col("id").alias("doc_id"), F.lit(1).alias("len"))
     return rows.unionByName(path)
 

@@ -6,7 +6,7 @@ Layout under ``root`` (a shared folder on a cluster):
                             number is the published version
     segments/sNNNNNN-*/     one segment per indexing run
         documents/          partitioned by db (hash bucket of id)
-        postings/           partitioned by field, tb; range-sorted by term
+        postings/           partitioned by field, tb; files sorted by term
         term_stats/         (field, tb, term, df); df deltas of this run,
                             negative for postings the run tombstoned
         tombstones/         ids removed from *earlier* segments
@@ -306,10 +306,11 @@ class IndexStore:
 
     @staticmethod
     def _write_postings(base: str, post: DataFrame) -> None:
-        # Range partitioning splits a hot term over several tasks and files;
-        # each file is sorted by term for row-group statistics.
+        # One shuffle by bucket; Spark splits buckets that are large (a hot term
+        # may fill one) and joins small ones by their bytes.  Each file is
+        # sorted by term for row-group statistics.
         (
-            post.repartitionByRange("field", "tb", "term", "doc_id")
+            post.hint("rebalance", F.col("field"), F.col("tb"))
             .sortWithinPartitions("field", "tb", "term", "doc_id")
             .write.mode("overwrite")
             .partitionBy("field", "tb")
