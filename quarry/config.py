@@ -74,11 +74,9 @@ class SearchConfig:
     blank_matches_all: bool = False
     broadcast_max_rows: int = 100_000
     snippet_context: int = SNIPPET_CONTEXT
-    # Up to this page end Spark limits a per-query row_number in each task
-    # (its default for spark.sql.optimizer.windowGroupLimitThreshold); deeper
-    # pages use a global numbering over range partitions.  Both are exact, and
-    # neither gathers a broad query into one task.
-    deep_page_rows: int = 1000
+    # Parts that a query's matches are dealt into; None: as many as the
+    # session has shuffle partitions.
+    ranking_splits: int | None = None
     # Q5: with ``blank_matches_all`` a blank query is valid and matches every
     # document with a constant score (ranked by path).  Off by default, as
     # validation rejects blank queries before they reach the index.

@@ -16,21 +16,22 @@ Score (vector-space TF-IDF with field-length norm):
 Every step is a join or an aggregation.  Query-side tables are small and
 broadcast behind a row bound; postings are only streamed, with their
 partitions pruned to the query terms' buckets.  All aggregation levels group
-by keys that contain (query_id, doc_id), and the matched leaves are hash
-partitioned on exactly those two columns once, so the whole score tree costs
-one shuffle.
+by keys that contain (query_id, split), split being a hash of the document, and
+the matched leaves are hash partitioned on exactly those two columns once, so
+the whole score tree and the choice of each split's best rows cost one shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import is_stop_word, utf8_prefix3
 from quarry.operators.analysis import term_bucket
 from quarry.operators.parse import CompiledQueries
+from quarry.operators.rank import split_of
 
 # A query of at most 1000 characters yields at most 500 words, each with at
 # most 5 single-term clauses; this bounds the exact-term leaves per query.
@@ -62,13 +63,14 @@ SCAN_TERMS = 300
 class BatchFacts:
     n_queries: int
     max_end: int
+    phrase_tokens: int
     buckets: dict[str, list[int]]  # field -> storage buckets
     terms: dict[str, list[str]] | None  # field -> exact terms; None: too many to list
     prefixes: dict[str, list[str]] | None
 
 
 def batch_facts(cq: CompiledQueries, index: IndexTables) -> BatchFacts:
-    """One small job: number of queries, deepest page end, buckets and terms.
+    """One small job: number of queries, deepest page end, phrase tokens, buckets and terms.
 
     Buckets are the storage buckets (per field) of every term the batch can
     touch: exact tokens, path terms, phrase tokens and prefixes (a prefix
@@ -105,31 +107,42 @@ def batch_facts(cq: CompiledQueries, index: IndexTables) -> BatchFacts:
     stats = counts.select(F.lit("n").alias("kind"), field, text, F.col("n").alias("v")).unionByName(
         counts.select(F.lit("end").alias("kind"), field, text, F.col("end").alias("v"))
     )
-    found: dict[str, dict[str, list]] = {k: {} for k in ("term", "prefix", "bucket", "n", "end")}
+    tokens = cq.phrases.agg(F.sum(F.size("rtoks")).cast("long").alias("v"))
+    stats = stats.unionByName(tokens.select(F.lit("phrase").alias("kind"), field, text, "v"))
+    found: dict[str, dict[str, list]] = {k: {} for k in ("term", "prefix", "bucket", "n", "end", "phrase")}
     for r in terms.unionByName(buckets).unionByName(stats).collect():
-        found[r["kind"]].setdefault(r["field"], []).append(r["t"] if r["v"] is None else int(r["v"]))
+        found[r["kind"]].setdefault(r["field"], []).append(r["t"] if r["kind"] in ("term", "prefix") else int(r["v"] or 0))
     few = sum(len(x) for k in ("term", "prefix") for x in found[k].values()) <= SCAN_TERMS
-    single = lambda k: next((int(x or 0) for x in found[k].get("", [])), 0)
+    single = lambda k: next(iter(found[k].get("", [])), 0)
     return BatchFacts(
         single("n"),
         single("end"),
+        single("phrase"),
         {k: sorted(v) for k, v in found["bucket"].items()},
         found["term"] if few else None,
         found["prefix"] if few else None,
     )
 
 
+def _any_of(terms: list[str], prefixes: list[str]) -> str:
+    """SQL for: term is one of these, or begins with one of these.
+
+    Single comparisons, each of which Parquet checks against the pages of a
+    file sorted by term; of a long IN list it would see only both ends.
+    """
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    tests = [f"term = {quoted(t)}" for t in sorted(set(terms))]
+    tests += [f"startswith(term, {quoted(p)})" for p in sorted(set(prefixes))]
+    return " OR ".join(tests) or "false"
+
+
 def pruned(df: DataFrame, facts: BatchFacts) -> DataFrame:
     """Filter a (field, tb)-partitioned table, sorted by term, to what a batch can touch."""
     cond = F.lit(False)
     for f, tbs in sorted(facts.buckets.items()):
         c = (F.col("field") == F.lit(f)) & F.col("tb").isin(*tbs)
         if facts.terms is not None:
-            named = F.lit(False)
-            if facts.terms.get(f):
-                named = F.col("term").isin(*sorted(set(facts.terms[f])))
-            for p in sorted(set(facts.prefixes.get(f, []))):
-                named = named | F.col("term").startswith(p)
+            named = F.expr(_any_of(facts.terms.get(f, []), facts.prefixes.get(f, [])))
             c = c & named
         cond = cond | c
     return df.filter(cond)
@@ -212,10 +225,10 @@ def _postings_for(index: IndexTables) -> DataFrame:
     )
 
 
-def term_child_scores(leaves: DataFrame, index: IndexTables, expansion_rows: int, max_rows: int) -> DataFrame:
+def term_child_scores(leaves: DataFrame, index: IndexTables, expansion_rows: int, max_rows: int, splits: int) -> DataFrame:
     """Scores of the single-term children and the ``and`` children per doc.
 
-    Output: query_id, doc_id, n_children, c, cscore, loc (first matched
+    Output: query_id, split, doc_id, n_children, c, cscore, loc (first matched
     content position).  A position holds one token, so the earliest position
     also fixes the matched term; keeping it an int lets every aggregation of
     the score tree be a hash aggregate (a string in the buffer would force
@@ -235,67 +248,103 @@ def term_child_scores(leaves: DataFrame, index: IndexTables, expansion_rows: int
         _leaf(F.col("boost"), _idf(F.col("df"), index.n_docs), F.col("tf"), F.col("dl")).alias("leaf"),
         F.when(F.col("field") == "content", F.element_at("positions", 1)).alias("loc"),
     )
-    hits = hits.repartition("query_id", "doc_id")
-    grp = hits.groupBy("query_id", "doc_id", "n_children", "c", "t", "s", "n_subs", "n_terms", "n_leaves").agg(
+    hits = hits.withColumn("split", split_of(F.col("doc_id"), splits)).repartition("query_id", "split")
+    grp = hits.groupBy("query_id", "split", "doc_id", "n_children", "c", "t", "s", "n_subs", "n_terms", "n_leaves").agg(
         (F.sum("leaf") * F.count(F.lit(1)) / F.col("n_leaves")).alias("gscore"),
         F.min("loc").alias("loc"),
     )
     single = grp.filter(F.col("t") < 0).select(
-        "query_id", "doc_id", "n_children", "c", F.col("gscore").alias("cscore"), "loc"
+        "query_id", "split", "doc_id", "n_children", "c", F.col("gscore").alias("cscore"), "loc"
     )
     per_word = (
         grp.filter(F.col("t") >= 0)
-        .groupBy("query_id", "doc_id", "n_children", "c", "t", "n_subs", "n_terms")
+        .groupBy("query_id", "split", "doc_id", "n_children", "c", "t", "n_subs", "n_terms")
         .agg((F.sum("gscore") * F.count(F.lit(1)) / F.col("n_subs")).alias("wscore"), F.min("loc").alias("loc"))
     )
     conj = (
-        per_word.groupBy("query_id", "doc_id", "n_children", "c", "n_terms")
+        per_word.groupBy("query_id", "split", "doc_id", "n_children", "c", "n_terms")
         .agg(F.sum("wscore").alias("cscore"), F.count(F.lit(1)).alias("n_matched"), F.min("loc").alias("loc"))
         .filter(F.col("n_matched") == F.col("n_terms"))
-        .select("query_id", "doc_id", "n_children", "c", "cscore", "loc")
+        .select("query_id", "split", "doc_id", "n_children", "c", "cscore", "loc")
     )
     return single.unionByName(conj).withColumn("times", F.lit(1))
 
 
-def phrase_child_scores(cq: CompiledQueries, index: IndexTables, n_queries: int, max_rows: int) -> DataFrame:
-    """Positional phrase match on content, without a theta join.
+#: Bits of the Bloom filter of phrase candidates: a broadcast of at most 8 MiB at any size.
+BLOOM_BITS = 1 << 26
 
-    Each phrase token joins its postings; positions shifted by the token's
-    offset in the phrase must share a common start across all tokens.  The
-    tokens of one (query, phrase, document) are gathered once and the start
-    sets intersected with ``array_intersect``; a document holds at most the
-    capped content, so the group is bounded.
+
+def phrase_tokens(cq: CompiledQueries, index: IndexTables, n_tokens: int, max_rows: int) -> DataFrame:
+    """The tokens of phrases that may match, with df; ``anchor`` marks each phrase's rarest.
+
+    A phrase with a token that no document holds has no row.
     """
-    ph = cq.phrases
-    toks = ph.select(
-        "query_id",
-        "n_children",
-        "c",
-        "boost",
-        "k",
-        "times",
-        F.posexplode("rtoks").alias("off", "lterm"),
-    ).filter(~is_stop_word(F.col("lterm")))
-    toks = toks.withColumn("field", F.lit("content")).withColumn(
-        "tb", term_bucket(F.col("field"), F.col("lterm"), index.term_buckets)
-    )
-    # Counted from the kept phrases, not guessed.
-    bound = cq.phrases.agg(F.coalesce(F.sum(F.size("rtoks")), F.lit(0))).first()[0]
+    keys = ["query_id", "n_children", "c", "boost", "k", "times"]
+    toks = cq.phrases.select(*keys, F.posexplode("rtoks").alias("off", "lterm")).filter(~is_stop_word(F.col("lterm")))
+    toks = toks.withColumn("field", F.lit("content"))
+    toks = toks.withColumn("tb", term_bucket(F.col("field"), F.col("lterm"), index.term_buckets))
     ts = index.term_stats.select("field", "tb", F.col("term").alias("lterm"), "df")
-    toks = bounded_broadcast(toks, bound, max_rows).join(ts, ["field", "tb", "lterm"])
-    hits = bounded_broadcast(toks, bound, max_rows).join(_postings_for(index), ["field", "tb", "lterm"])
-    hits = hits.select(
-        "query_id",
-        "doc_id",
-        "n_children",
-        "c",
-        "k",
-        "times",
+    toks = bounded_broadcast(toks, n_tokens, max_rows).join(ts, ["field", "tb", "lterm"])
+    phrase = Window.partitionBy("query_id", "c")
+    return (
+        toks.withColumn("indexed", F.count(F.lit(1)).over(phrase))
+        .withColumn("anchor", F.row_number().over(phrase.orderBy("df", "off")) == 1)
+        .filter("indexed = k")
+        .drop("indexed")
+    )
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("query_id", "c", "doc_id"), F.lit(BLOOM_BITS))
+
+
+def candidate_filter(candidates: DataFrame) -> DataFrame:
+    """(bucket, bitmap): the Bloom filter of (query, phrase, document), 4 KiB for each bucket in use."""
+    slots = candidates.select(_slot().alias("slot"))
+    bucket, bit = F.bitmap_bucket_number("slot"), F.bitmap_bit_position("slot")
+    return slots.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def among_candidates(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Rows whose bit of the filter is set: all rows of candidates, few others."""
+    bit = F.bitmap_bit_position("slot")
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    in_filter = F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1") == 1
+    return (
+        rows.withColumn("slot", _slot())
+        .withColumn("bucket", F.bitmap_bucket_number("slot"))
+        .join(F.broadcast(bitmaps), "bucket")
+        .withColumns({"_byte": byte, "_bit": bit})
+        .filter(in_filter)
+        .drop("slot", "bucket", "bitmap", "_byte", "_bit")
+    )
+
+
+def phrase_child_scores(toks: DataFrame, index: IndexTables, n_tokens: int, max_rows: int, splits: int) -> DataFrame:
+    """Positional phrase match on content, rarest token first, without a theta join.
+
+    ``toks`` are ``phrase_tokens``, read three times: keep them first.  Postings of each phrase's rarest token give its candidate documents.  The
+    postings of its other tokens are streamed against the candidates' Bloom
+    filter, so that positions of candidates alone are shuffled.  Positions
+    shifted by the token's offset in the phrase must share a common start across
+    all tokens: the start sets of one (query, phrase, document) are gathered, as
+    many as the phrase has tokens, and intersected with ``array_intersect``.
+    """
+    keys = ["query_id", "doc_id", "n_children", "c", "k", "times"]
+
+    def postings_of(tokens: DataFrame) -> DataFrame:
+        return bounded_broadcast(tokens, n_tokens, max_rows).join(_postings_for(index), ["field", "tb", "lterm"])
+
+    candidates = postings_of(toks.filter("anchor"))
+    others = among_candidates(postings_of(toks.filter("NOT anchor")), candidate_filter(candidates.filter("k > 1")))
+    hits = candidates.unionByName(others).select(
+        *keys,
         _leaf(F.col("boost"), _idf(F.col("df"), index.n_docs), F.col("tf"), F.col("dl")).alias("leaf"),
         F.transform("positions", lambda p: p - F.col("off")).alias("starts"),
         F.element_at("positions", 1).alias("loc"),
-    ).repartition("query_id", "doc_id")
-    agg = hits.groupBy("query_id", "doc_id", "n_children", "c", "k", "times").agg(
+        split_of(F.col("doc_id"), splits).alias("split"),
+    ).repartition("query_id", "split")
+    agg = hits.groupBy("split", *keys).agg(
         F.sum("leaf").alias("cscore"),
         F.count(F.lit(1)).alias("m"),
         F.collect_list("starts").alias("starts"),
@@ -307,13 +356,13 @@ def phrase_child_scores(cq: CompiledQueries, index: IndexTables, n_queries: int,
         lambda acc, x: F.array_intersect(acc, x),
     )
     return agg.filter((F.col("m") == F.col("k")) & (F.size(common) > 0)).select(
-        "query_id", "doc_id", "n_children", "c", "cscore", "loc", "times"
+        "query_id", "split", "doc_id", "n_children", "c", "cscore", "loc", "times"
     )
 
 
 def score_matches(children: DataFrame) -> DataFrame:
     """Top-level OR: (matched children / children) * sum, per (query, doc); a child counts ``times`` times."""
-    return children.groupBy("query_id", "doc_id", "n_children").agg(
+    return children.groupBy("query_id", "split", "doc_id", "n_children").agg(
         (F.sum(F.col("cscore") * F.col("times")) * F.sum("times") / F.col("n_children")).alias("score"),
         F.min("loc").alias("loc"),
     )

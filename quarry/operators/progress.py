@@ -44,31 +44,6 @@ def running_sum(df: DataFrame, order_col: str, value_col: str, out_col: str, par
     return out.withColumn(out_col, F.col("_local") + F.col("_off")).drop("_pid", "_local", "_off")
 
 
-def global_row_number(df: DataFrame, order: list, out_col: str, partitions: int | None = None) -> DataFrame:
-    """Add ``out_col`` = 1-based position of each row in the total ``order``.
-
-    The same scheme as ``running_sum`` with a composite sort key: rows are
-    range partitioned on ``order`` (sampled bounds, so a hot leading key is
-    split over many partitions), checkpointed so partition ids survive task
-    re-runs, numbered inside their partition and shifted by the row counts of
-    earlier partitions.  ``order`` must be a total order (unique key).
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or spark.sparkContext.defaultParallelism
-    parted = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
-    counts = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pn"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_pn").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_pn")).alias(
-            "_off"
-        ),
-    )
-    local = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
-    out = parted.withColumn("_local", local).join(F.broadcast(offsets), "_pid")
-    return out.withColumn(out_col, (F.col("_local") + F.col("_off")).cast("long")).drop("_pid", "_local", "_off")
-
-
 def ledger_progress(ledger: DataFrame, order_col: str, initial: int, final: int) -> DataFrame:
     """Per ledger row: cumulative done, total and progress percent.
 

@@ -1,61 +1,64 @@
 """Ranking, paging and page details.
 
 Per query the hits are ordered by score (with 7 significant digits, so the
-order does not depend on summation order), ties by path.  Paging is a
-``row_number`` window partitioned by query with a literal upper bound; up to
-the bound of ``SearchConfig.deep_page_rows`` Spark plans a WindowGroupLimit, so
-each task keeps only its best rows per query before the shuffle.  Deeper pages
-take a global numbering over range partitions.
+order does not depend on summation order), ties by path.
+
+Matches carry a ``split``, a hash of their document below a fixed number, and
+are partitioned by (query, split).  In the partitions that the score tree left,
+every (query, split) keeps its best rows down to the end of the query's page,
+with its number of matches and best score; only those, at most splits x page
+end rows of a query, are kept and ranked.  Totals are sums over splits.  So one
+way serves pages at any depth, matches are shuffled once, no table of all
+(query, match) rows is kept, and a query that matches everything is spread over
+as many tasks as there are splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def split_of(doc_id: Column, splits: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(splits)).cast("int")
+
+
 def rank_matches(matches: DataFrame) -> DataFrame:
     """Scores with 7 significant digits: a 32-bit float has them at any size."""
     return matches.withColumn("score", F.col("score").cast("float").cast("double"))
 
 
-def totals(ranked: DataFrame) -> DataFrame:
-    """Total hits and best score per query, over all matches."""
-    return ranked.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("total_results"), F.max("score").alias("max_score")
-    )
-
+def best_of_splits(ranked: DataFrame, prepared: DataFrame, broadcast_ok: bool = True) -> DataFrame:
+    """The rows of each (query, split) that may be on the query's page.
 
-def top_rows(ranked: DataFrame, max_end: int) -> DataFrame:
-    """Rows with rank <= ``max_end`` per query (rank 1 = best)."""
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
-    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(max_end))
+    Adds n_split and best_split, the matches and the best score of the whole
+    split, and rn, the row's place in it; the first row of a split is always
+    kept.  ``prepared`` has one row per query, with its page.
+    """
+    group = Window.partitionBy("query_id", "split")
+    place = F.row_number().over(group.orderBy(F.col("score").desc(), F.col("doc_id").asc()))
+    ends = prepared.select("query_id", (F.col("page").cast("long") * F.col("per_page").cast("long")).alias("end"))
+    return (
+        ranked.withColumns(
+            {"rn": place, "n_split": F.count(F.lit(1)).over(group), "best_split": F.max("score").over(group)}
+        )
+        .join(F.broadcast(ends) if broadcast_ok else ends, "query_id")
+        .filter((F.col("rn") == 1) | (F.col("rn") <= F.col("end")))
+        .drop("end")
+    )
 
 
-def top_rows_deep(ranked: DataFrame, max_end: int, tot: DataFrame, max_rows: int, n_queries: int) -> DataFrame:
-    """R4 for deep pages, exact, without gathering one query into one task.
+def totals(best: DataFrame) -> DataFrame:
+    """Total hits and best score per query, over all matches."""
+    return best.filter("rn = 1").groupBy("query_id").agg(
+        F.sum("n_split").alias("total_results"), F.max("best_split").alias("max_score")
+    )
 
-    ``row_number`` per query needs all rows of a query in one task once the
-    page end is large (the per-task limit no longer prunes).  Here the rank
-    is a global row number over (query, score desc, id), computed from range
-    partitions, minus the number of rows of all earlier queries (a running
-    sum over the per-query totals ``tot``).
-    """
-    from quarry.operators.progress import global_row_number, running_sum
 
-    order = [F.col("query_id").asc(), F.col("score").desc(), F.col("doc_id").asc()]
-    numbered = global_row_number(ranked, order, "_g")
-    starts = running_sum(tot.select("query_id", "total_results"), "query_id", "total_results", "_cum").select(
-        "query_id", (F.col("_cum") - F.col("total_results")).alias("_start")
-    )
-    starts = F.broadcast(starts) if n_queries <= max_rows else starts
-    rank = F.col("_g") - F.col("_start")
-    return (
-        numbered.join(starts, "query_id")
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= F.lit(max_end))
-        .drop("_g", "_start")
-    )
+def ranked_rows(best: DataFrame) -> DataFrame:
+    """The rank of rows that are their query's best (1 = best); exact down to the page's end."""
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
+    return best.drop("split", "rn", "n_split", "best_split").withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 def page_rows(top: DataFrame, prepared: DataFrame, broadcast_ok: bool = True) -> DataFrame:

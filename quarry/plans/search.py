@@ -7,9 +7,9 @@
       -> rank, totals, pages (R3-R6) -> late document fetch (J6)
       -> snippets (N1-N5) -> hits
 
-A single search is a one-row queries table.  Nothing is collected except two
-scalars: the number of queries (to bound broadcasts) and the deepest page end
-(the literal bound of the per-query top-k).
+A single search is a one-row queries table.  Collected are counts (of queries,
+phrase tokens and leaves, to bound broadcasts), the deepest page end, and the
+buckets, terms and page ids that become scan filters.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import SearchConfig
@@ -26,7 +26,6 @@ from quarry.functions.text import raw_tokens
 from quarry.operators import match as M
 from quarry.operators import rank as R
 from quarry.operators.parse import compile_queries, persist_compiled
-from quarry.operators.progress import global_row_number
 from quarry.operators.snippet import snippet
 from quarry.operators.validate import validate_queries
 
@@ -63,22 +62,33 @@ def match_queries(queries: DataFrame, index: M.IndexTables, config: SearchConfig
     # Exact leaves are bounded by the query text; prefix expansions by the
     # vocabulary, so count them before deciding to broadcast.
     n_leaves_bound = leaves.count()
-    children = M.term_child_scores(leaves, index, n_leaves_bound, config.broadcast_max_rows).unionByName(
-        M.phrase_child_scores(cq, index, n_queries, config.broadcast_max_rows)
-    )
-    matches = M.score_matches(children)
-    return checked, cq, matches, n_queries, max_end, leaves
+    splits = ranking_splits(queries, config)
+    children = M.term_child_scores(leaves, index, n_leaves_bound, config.broadcast_max_rows, splits)
+    kept = [leaves]
+    if facts.phrase_tokens:
+        toks = M.phrase_tokens(cq, index, facts.phrase_tokens, config.broadcast_max_rows).persist()
+        kept.append(toks)
+        children = children.unionByName(
+            M.phrase_child_scores(toks, index, facts.phrase_tokens, config.broadcast_max_rows, splits)
+        )
+    # Branches of a union may be partitioned apart; this costs no shuffle where there is one branch.
+    matches = M.score_matches(children.repartition("query_id", "split") if facts.phrase_tokens else children)
+    return checked, cq, matches, n_queries, max_end, kept
+
+
+def ranking_splits(queries: DataFrame, config: SearchConfig) -> int:
+    return config.ranking_splits or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def match_all(cq, index: M.IndexTables, max_end: int, max_rows: int, deep_rows: int):
+def match_all(cq, index: M.IndexTables, max_end: int, max_rows: int, splits: int):
     """Q5: blank queries match every document with the constant score 1.0.
 
-    Equal scores are ranked by id, so every blank query shares one ranking:
-    the first ``max_end`` documents by id (a distributed top-k: each task
-    keeps its own best ``max_end`` before the merge).  Each blank query asks
-    for the ranks of its own page (at most ``per_page`` of them), joined to
-    that ranking on the rank: no query x document pairs are formed.  Totals
-    are the document count.  Returns (page rows, totals) or None.
+    Equal scores are ranked by id, so every blank query shares one ranking of
+    the documents, taken like that of any query: the best of each split, then
+    of all, down to the deepest page.  Each blank query asks for the ranks of
+    its own page (at most ``per_page`` of them), joined to that ranking on the
+    rank: no query x document pairs are formed.  Totals are the document count.
+    Returns (page rows, totals).
     """
     blank = cq.prepared.filter(F.col("q") == "").select("query_id", "per_page", "page")
     lo = (F.col("page").cast("long") - 1) * F.col("per_page").cast("long")
@@ -86,14 +96,12 @@ def match_all(cq, index: M.IndexTables, max_end: int, max_rows: int, deep_rows:
         "query_id", "per_page", "page",
         F.explode(F.sequence(lo + 1, lo + F.col("per_page").cast("long"))).alias("rank"),
     )
-    ids = index.documents.select(F.col("id").alias("doc_id"))
-    if max_end <= deep_rows:
-        first = ids.orderBy("doc_id").limit(max(max_end, 1))
-        ranked = first.withColumn("rank", F.row_number().over(Window.orderBy("doc_id")).cast("long"))
-    else:
-        # Deep pages: number the documents over range partitions instead of
-        # one window task.
-        ranked = global_row_number(ids, [F.col("doc_id").asc()], "rank").filter(F.col("rank") <= F.lit(max_end))
+    spark = cq.prepared.sparkSession
+    everyone = spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(1).alias("page"), F.lit(max_end).alias("per_page"))
+    ids = index.documents.select(
+        F.lit(0).cast("long").alias("query_id"), R.split_of(F.col("id"), splits).alias("split"), F.col("id").alias("doc_id"), F.lit(1.0).alias("score")
+    ).repartition("query_id", "split")
+    ranked = R.ranked_rows(R.best_of_splits(ids, everyone)).filter(F.col("rank") <= F.lit(max_end)).drop("query_id", "score")
     page = wanted.join(M.bounded_broadcast(ranked, max_end, max_rows), "rank").select(
         "query_id",
         "doc_id",
@@ -112,26 +120,22 @@ def match_all(cq, index: M.IndexTables, max_end: int, max_rows: int, deep_rows:
 
 
 def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = SearchConfig()) -> SearchResult:
-    checked, cq, matches, n_queries, max_end, leaves = match_queries(queries, index, config)
-    # Hits need each query's top rows, page details its totals over all
-    # matches: both read the ranked matches, so they are computed once and
-    # kept (spread over executors, spilled to disk when large).  Recomputing
-    # instead would read and shuffle the postings twice, as Spark does not
-    # reuse the match shuffle between the two branches.
-    ranked = R.rank_matches(matches).persist(StorageLevel.MEMORY_AND_DISK)
-    tot = R.totals(ranked)
-    if max_end <= config.deep_page_rows:
-        top = R.top_rows(ranked, max(max_end, 1))
-    else:
-        top = R.top_rows_deep(ranked, max_end, tot, config.broadcast_max_rows, n_queries)
-    page = R.page_rows(top, cq.prepared, n_queries <= config.broadcast_max_rows)
+    checked, cq, matches, n_queries, max_end, kept = match_queries(queries, index, config)
+    # Hits and page details both read the best rows of each split: at most
+    # splits x page end rows of a query, with what totals need.
+    ranked = R.rank_matches(matches)
+    few_queries = n_queries <= config.broadcast_max_rows
+    best = R.best_of_splits(ranked, cq.prepared, few_queries).persist(StorageLevel.MEMORY_AND_DISK)
+    tot = R.totals(best)
+    page = R.page_rows(R.ranked_rows(best), cq.prepared, few_queries)
     if config.blank_matches_all:
-        blank_page, blank_tot = match_all(cq, index, max_end, config.broadcast_max_rows, config.deep_page_rows)
+        splits = ranking_splits(queries, config)
+        blank_page, blank_tot = match_all(cq, index, max_end, config.broadcast_max_rows, splits)
         page = page.select(*blank_page.columns).unionByName(blank_page)
         tot = tot.unionByName(blank_tot)
     pages = R.page_details(cq.prepared, tot)
     docs = index.documents
-    cached = [ranked, cq.prepared, cq.groups, cq.phrases, leaves]
+    cached = [best, cq.prepared, cq.groups, cq.phrases, *kept]
     if index.doc_buckets > 0 and "db" in docs.columns:
         # Documents are partitioned by an id-hash bucket: read only the
         # buckets of this batch's page rows (at most doc_buckets integers).

@@ -69,6 +69,11 @@ MANIFEST_DELTA = "path string, last_indexed timestamp, op string"
 TOMBSTONE_BROADCAST_ROWS = 100_000
 
 
+# Files sorted by term have short pages, so that a look-up of a few terms reads
+# the pages that hold them and skips the others by the file's column index.
+TERM_LAYOUT = {"parquet.page.row.count.limit": "1000", "parquet.block.size": str(32 << 20)}
+
+
 @dataclass
 class Version:
     number: int
@@ -313,6 +318,7 @@ class IndexStore:
             post.hint("rebalance", F.col("field"), F.col("tb"))
             .sortWithinPartitions("field", "tb", "term", "doc_id")
             .write.mode("overwrite")
+            .options(**TERM_LAYOUT)
             .partitionBy("field", "tb")
             .parquet(f"{base}/postings")
         )
@@ -323,6 +329,7 @@ class IndexStore:
             ts.repartitionByRange("field", "tb", "term")
             .sortWithinPartitions("field", "tb", "term")
             .write.mode("overwrite")
+            .options(**TERM_LAYOUT)
             .partitionBy("field", "tb")
             .parquet(f"{base}/term_stats")
         )

@@ -181,7 +181,7 @@ def test_deep_page_ranking_equals_window_ranking(spark):
         res.unpersist()
         return hits, pages
 
-    window, deep = run(SearchConfig()), run(SearchConfig(deep_page_rows=0))
+    window, deep = run(SearchConfig()), run(SearchConfig(ranking_splits=1))
     assert deep == window
     assert len(window[0]) > 20
     # Ranks of each page are contiguous from (page - 1) * per_page + 1.

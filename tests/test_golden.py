@@ -136,7 +136,7 @@ def test_blank_queries_match_all_when_asked(spark, port):
     _, store = port
     rows = [(1, " ", 2, 1), (2, "tide", 0, 0), (3, "", 0, 0), (4, "  ", 2, 2)]
     near, pages, _ = run(spark, store, rows, SearchConfig(blank_matches_all=True))
-    deep, *_ = run(spark, store, rows, SearchConfig(blank_matches_all=True, deep_page_rows=0))
+    deep, *_ = run(spark, store, rows, SearchConfig(blank_matches_all=True, ranking_splits=1))
     every = sorted(r.id for r in store.documents().select("id").collect())
     for hits in (near, deep):
         assert [r.path for r in hits[1]] == every[:2] and [r.path for r in hits[4]] == every[2:4]

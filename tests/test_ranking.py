@@ -1,9 +1,9 @@
-"""Ranking under skew: the deep-page path against the per-query window."""
+"""Ranking by the best rows of splits under skew, against one window over all matches."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import rank as R
-from quarry.operators.progress import global_row_number
 
 
 def _skewed(spark, n=6000):
@@ -17,41 +17,42 @@ def _skewed(spark, n=6000):
     )
 
 
-def test_global_row_number_is_a_total_order(spark):
-    df = spark.range(500).select((F.col("id") * 37 % 500).alias("k"))
-    got = sorted((r.k, r.n) for r in global_row_number(df, [F.col("k").desc()], "n", partitions=7).collect())
-    assert got == [(k, 500 - k) for k in range(500)]
+def _prepared(spark, page, per_page):
+    return spark.range(51).select(F.col("id").alias("query_id"), F.lit(page).alias("page"), F.lit(per_page).alias("per_page"))
 
 
-def test_deep_ranking_equals_window_under_skew(spark):
+def _best(ranked, prepared, splits):
+    parted = ranked.withColumn("split", R.split_of(F.col("doc_id"), splits)).repartition("query_id", "split")
+    return R.best_of_splits(parted, prepared)
+
+
+def test_ranks_and_totals_equal_one_window(spark):
     ranked = _skewed(spark).persist()
-    tot = R.totals(ranked)
-    for max_end in (5, 700, 3000):
-        window = sorted(tuple(r) for r in R.top_rows(ranked, max_end).select("query_id", "doc_id", "rank").collect())
-        deep = sorted(
-            tuple(r)
-            for r in R.top_rows_deep(ranked, max_end, tot, 1000, 51).select("query_id", "doc_id", "rank").collect()
-        )
-        assert deep == window
-    hot = [r for r in window if r[0] == 0]
-    assert len(hot) == 2000 and [r[2] for r in sorted(hot, key=lambda r: r[2])] == list(range(1, 2001))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
+    whole = [tuple(r) for r in ranked.select("query_id", "doc_id", F.row_number().over(w)).collect()]
+    totals = {tuple(r) for r in ranked.groupBy("query_id").agg(F.count(F.lit(1)), F.max("score")).collect()}
+    for splits in (1, 8, 1000):
+        for page, per_page in ((1, 5), (35, 20), (150, 20)):
+            best = _best(ranked, _prepared(spark, page, per_page), splits)
+            assert {tuple(r) for r in R.totals(best).collect()} == totals
+            end = page * per_page
+            got = sorted(tuple(r) for r in R.ranked_rows(best).filter(F.col("rank") <= end).select("query_id", "doc_id", "rank").collect())
+            assert got == sorted(r for r in whole if r[2] <= end)
+    hot = [r for r in got if r[0] == 0]
+    assert len(hot) == 2000 and sorted(r[2] for r in hot) == list(range(1, 2001))
     ranked.unpersist()
 
 
-def test_hot_query_is_split_over_range_partitions(spark):
-    ranked = _skewed(spark)
-    order = [F.col("query_id").asc(), F.col("score").desc(), F.col("doc_id").asc()]
-    per_part = (
-        ranked.repartitionByRange(8, *order)
-        .filter(F.col("query_id") == 0)
-        .groupBy(F.spark_partition_id().alias("p"))
-        .count()
-        .collect()
-    )
-    # The 2000 rows of the hot query land in several tasks, not one.
-    assert len(per_part) >= 2 and max(r["count"] for r in per_part) < 2000
+def test_few_rows_are_kept_and_a_hot_query_is_split(spark):
+    best = _best(_skewed(spark), _prepared(spark, 2, 10), 16)
+    per_query = {r.query_id: r["count"] for r in best.groupBy("query_id").count().collect()}
+    assert per_query[0] <= 16 * 20 and len(per_query) == 51  # of its 2000 matches
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(query_id") == 1  # the matches' own shuffle serves the windows
+    per_split = best.filter("query_id = 0 AND rn = 1").select("n_split").collect()
+    assert len(per_split) == 16 and sum(r.n_split for r in per_split) == 2000 and max(r.n_split for r in per_split) < 250
 
 
-def test_deep_ranking_of_no_matches(spark):
-    empty = _skewed(spark).filter(F.lit(False))
-    assert R.top_rows_deep(empty, 50, R.totals(empty), 1000, 1).count() == 0
+def test_ranking_of_no_matches(spark):
+    best = _best(_skewed(spark).filter(F.lit(False)), _prepared(spark, 1, 50), 8)
+    assert R.ranked_rows(best).count() == 0 and R.totals(best).count() == 0
