@@ -10,16 +10,24 @@ the two engines' white-space classes agree.
 
 from __future__ import annotations
 
-from quarry.config import (
-    INDEX_TEXT_EXTENSIONS,
-    SIZE_UNITS,
-    SNIPPET_TEXT_EXTENSIONS,
-    TEXT_MEDIA_EXTENSIONS,
-)
 from quarry.functions.stopwords import STOP_WORDS_EN
 from quarry.plans import catalog as K
 from quarry.sources import corpus as C
 
+# Fixed values, stated here on their own so that the engine's lists are checked:
+# extensions whose content is indexed, those that get a snippet, those of a
+# text media type, and units of size.
+INDEX_TEXT_EXTENSIONS = (
+    "c conf cpp cs css csv doc docx go html ini java js json md pdf pptx py sql tsv txt xlsx xml yaml yml".split()
+)
+SNIPPET_TEXT_EXTENSIONS = (
+    "bash babelrc c cfg clj cmake conf cpp css dockerfile editorconfig elm env eslintrc fish gitattributes gitignore go gradle h hs "
+    "htm html ini java js json kt lock log m makefile maven md ml nodeversion nvmrc php pl prettierrc py r rb rs sbt scala sh sql "
+    "swift tex toml txt xml yaml yml zsh".split()
+)
+TEXT_MEDIA_EXTENSIONS = "css htm html js mjs xml".split()
+SIZE_UNITS = ("B", "KB", "MB", "GB")
+
 WS = r"[ \t\n\r\f]"
 
 
@@ -457,6 +465,8 @@ SELECT query_id, q, array_to_string(phrases, '|') AS phrases, CAST(len(phrases)
     out["search_filename"] = _one(K.SINGLE_FILENAME) + MATCH_COLS
     out["search_phrase"] = _one(K.SINGLE_PHRASE) + MATCH_COLS
     out["search_quoted"] = _one(K.SINGLE_QUOTED) + MATCH_COLS
+    phrases = _with(*CORPUS_SEARCH_PREFIX, queries_values(K.PHRASE_QUERIES), search_ctes("per_phrase"))
+    out["search_per_phrase"] = phrases + MATCH_COLS
     out["search_and"] = _one(K.SINGLE_AND) + MATCH_COLS
     out["search_ranked_topk"] = _one(K.SINGLE_TERM, 10, 1) + HITS_COLS
     out["search_page"] = _one(K.SINGLE_PREFIX, 5, 2) + HITS_COLS

@@ -89,6 +89,18 @@ DEEP_QUERIES = ((1, "doc", 20, 1), (2, "doc", 20, 50), (3, "doc", 20, 51), (4, "
 
 BLANK_QUERIES = ((1, "   ", 20, 2), (2, "", 7, 3), (3, "license", 5, 1), (4, "\t", 20, 60))
 
+# Many quoted phrases, each matched by itself.
+PHRASE_QUERIES = (
+    (1, '"apache license" "rights reserved" "attion to thanedble"', 0, 0),
+    (2, '"anea eriner" worthless', 0, 0),
+    (3, '"de la" "le de" license', 0, 0),
+    (4, '"ntre in onbleea of" "nowhere to be found"', 0, 0),
+    (5, '"the of" "of the"', 0, 0),
+    (6, '"license license" "thanedble the anea" "thanedble the anea"', 0, 0),
+    (7, '"und der" "de la" "mit license" "apache" "released under the mit license"', 0, 0),
+    (8, "thanedble the anea", 0, 0),
+)
+
 SINGLE_TERM = "license"
 SINGLE_PREFIX = "licen"
 SINGLE_FILENAME = "doc42.txt"
@@ -429,6 +441,11 @@ def q_search_quoted(spark, sf_dir):
     return _search(spark, sf_dir, [(1, SINGLE_QUOTED, 0, 0)], _matches)
 
 
+def q_search_per_phrase(spark, sf_dir):
+    """Q6 + J2: queries of many quoted phrases, each phrase a clause of its own words."""
+    return _search(spark, sf_dir, PHRASE_QUERIES, _matches, config=SearchConfig(phrase_mode="per_phrase"))
+
+
 def q_search_and(spark, sf_dir):
     """Q11: two words, both required unless the phrase matches."""
     return _search(spark, sf_dir, [(1, SINGLE_AND, 0, 0)], _matches)
@@ -572,6 +589,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_filename": q_search_filename,
     "search_phrase": q_search_phrase,
     "search_quoted": q_search_quoted,
+    "search_per_phrase": q_search_per_phrase,
     "search_and": q_search_and,
     "search_ranked_topk": q_search_ranked_topk,
     "search_page": q_search_page,
