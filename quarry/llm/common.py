@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,6 +45,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all but the ``used`` columns renamed, and what selects its columns again by their names.
+
+    So a further column may bear any name, also one that a step makes up.
+    """
+    names = docs.columns
+    inner = [n if n in used else f"further{i}" for i, n in enumerate(names)]
+    return docs.toDF(*inner), lambda out: out.select(*inner).toDF(*names)
+
+
 def id_key(name: str) -> Column:
     """An id as text that is never null, to join and group by."""
     return F.coalesce(F.concat(F.lit("#"), F.col(name).cast("string")), F.lit("null"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, id_key, materialize
+from quarry.llm.common import ascii_lower, id_key, materialize, shielded
 
 COUNTERS = 1024
 
@@ -111,10 +111,11 @@ def exact_dedup(
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
+    docs, restore = shielded(docs, (id_col, text_col))
     stays = exact_dedup(docs, id_col, text_col).filter("kept")
     stays = stays.select(id_key("doc_id").alias("_key"), F.col("text_sha256").alias("_digest"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Both steps need the same keys together: the texts are shuffled once.
     keyed = docs.withColumns({"_key": id_key(id_col), "_digest": F.sha2(ascii_lower(text), 256)})
     keyed = keyed.dropDuplicates(["_key", "_digest"])
-    return keyed.join(stays, ["_key", "_digest"], "left_semi").select(*docs.columns)
+    return restore(keyed.join(stays, ["_key", "_digest"], "left_semi"))

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WS_WORD, materialize, prefix_sum
+from quarry.llm.common import WS_WORD, materialize, prefix_sum, shielded
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -147,6 +147,8 @@ def solve_duals(sizes: DataFrame, goals: DataFrame, cap: int = CAP, power: float
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the duals did not converge: a source is off its target by a share of {worst}")
     return state.select("source", "source_size", "target", "mean", "dual")
 
 
@@ -236,11 +238,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Texts are written once beside a row id, by which they meet their copies.
     """
+    docs, restore = shielded(docs, ("doc_id", "text", "source"))
     numbered = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
     copies = mix(numbered, row_col="_mix_row").filter("copies > 0")
     copies = copies.select(F.col("row_id").alias("_mix_row"), F.col("copies").alias("_mix_copies"))
-    return (
-        numbered.join(copies, "_mix_row")
-        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
-        .select(*docs.columns)
+    taken = numbered.join(copies, "_mix_row").withColumn(
+        "_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))
     )
+    return restore(taken)

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WS, materialize
+from quarry.llm.common import WS, materialize, shielded
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -293,5 +293,6 @@ def filter_quality(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     Texts are written once beside their measures, so that references and
     verdicts come from one pass over them.
     """
+    docs, restore = shielded(docs, (lang_col, text_col))
     measured = materialize(measure(docs, lang_col, text_col), "quality-texts")
-    return judge(measured, references(measured)).filter("_kept").select(*docs.columns)
+    return restore(judge(measured, references(measured)).filter("_kept"))

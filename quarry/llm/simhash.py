@@ -3,7 +3,7 @@
 A text is lower-cased (A-Z), cut into words at ASCII white space and into
 shingles of ``words`` words, repeats included; a bit of its fingerprint is set
 when it is set in more than half of the shingles' XXH64 values.  Fingerprints
-with at most ``radius`` differing bits are linked.
+with at most ``radius`` differing bits are linked; the radius must be even.
 
 Two fingerprints are linked exactly if some value lies within half the radius
 of both.  So every distinct fingerprint emits all variants within half the
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_key, materialize, row_slices
+from quarry.llm.common import id_key, materialize, row_slices, shielded
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -160,6 +160,8 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     Each linked pair is connected through the smallest fingerprint of a variant
     that both have; the pairs given are those, not all pairs of a group.
     """
+    if radius % 2:
+        raise ValueError("the radius must be even: variants lie within half of it")
     spark = fps.sparkSession
     half = radius // 2
     bits = prefix_bits(fps.count(), half)
@@ -262,6 +264,7 @@ def keep_representatives(docs: DataFrame, words: int = SHINGLE_WORDS, radius: in
     alone; of rows that repeat id and text one stays.  Of the documents with a
     null id, one of each component stays too, beside any that has an id.
     """
+    docs, restore = shielded(docs, ("doc_id", "text"))
     keyed = docs.withColumn("_key", _row_key())
     hashed = fingerprints(keyed.withColumn("_row", F.struct("doc_id", F.col("_key.digest").alias("digest"))), words, "_row")
     hashed = hashed.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.digest").alias("digest"), "fp")
@@ -269,4 +272,4 @@ def keep_representatives(docs: DataFrame, words: int = SHINGLE_WORDS, radius: in
     found = with_components(hashed, radius)
     chosen = found.groupBy("root", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "digest")).alias("row"))
     chosen = chosen.select(F.struct(id_key("row.doc_id").alias("id"), F.col("row.digest").alias("digest")).alias("_key"))
-    return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    return restore(keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]))

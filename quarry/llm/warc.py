@@ -24,6 +24,7 @@ an empty table makes an archive without records; extra columns are ignored.
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -99,6 +100,18 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+#: The empty line that ends HTTP headers.
+_HTTP_END = re.compile(rb"\r?\n\r?\n")
+
+
+def header_text(line: bytes) -> str:
+    line = line.rstrip(b"\r\n")
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
 class Records:
     """The records of one archive, header first."""
 
@@ -106,7 +119,11 @@ class Records:
         self.stream, self.seekable = stream, seekable
 
     def next_header(self) -> dict[str, str] | None:
-        """Lower-case names; a repeated header keeps its last value; None at the end."""
+        """Lower-case names; a repeated header keeps its last value; None at the end.
+
+        A line that begins with white space goes on with the header before it;
+        bytes that are not UTF-8 are read as Latin-1.
+        """
         line = self.stream.readline()
         while line in (b"\r\n", b"\n"):  # what ends the record before
             line = self.stream.readline()
@@ -116,8 +133,15 @@ class Records:
             raise ValueError(f"not a WARC record: {line[:60]!r}")
         header: dict[str, str] = {}
         while (line := self.stream.readline()) not in (b"\r\n", b"\n", b""):
-            name, _, value = line.decode("utf-8").rstrip("\r\n").partition(":")
-            header[name.strip().lower()] = value.strip(" \t")
+            text = header_text(line)
+            if text[:1] in (" ", "\t") and header:
+                last = next(reversed(header))
+                header[last] = f"{header[last]} {text.strip()}".strip()
+                continue
+            name, _, value = text.partition(":")
+            name = name.strip().lower()
+            header.pop(name, None)  # the last header is the one to go on with
+            header[name] = value.strip(" \t")
         return header
 
     def read(self, n: int) -> bytes:
@@ -138,10 +162,14 @@ class Records:
 
 
 def payload_of(header: dict[str, str], block: bytes) -> bytes:
-    """The entity body of an HTTP block, else the whole block."""
-    if header.get("content-type", "").startswith("application/http"):
-        _, mark, body = block.partition(b"\r\n\r\n")
-        return body if mark else b""
+    """The entity body of an HTTP block, else the whole block.
+
+    HTTP headers end at the first empty line, whether lines end in CR LF or LF;
+    a block without one is given whole.
+    """
+    if header.get("content-type", "").lower().startswith("application/http"):
+        end = _HTTP_END.search(block)
+        return block[end.end() :] if end else block
     return block
 
 

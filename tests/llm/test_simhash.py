@@ -126,3 +126,8 @@ def test_one_document_of_each_component_stays_whatever_its_id(make_docs):
     assert sorted((str(i), (t or "").lower()[:1]) for i, t in got) == [
         ("11", ""), ("2", "b"), ("5", "a"), ("7", "c"), ("9", "e"), ("None", "a"), ("None", "d"), ("None", "e"),
     ]
+
+
+def test_odd_radii_are_refused(spark):
+    with pytest.raises(ValueError):
+        S.link_fingerprints(spark.createDataFrame([(1,)], "fp long"), 3)

@@ -87,3 +87,27 @@ def test_broken_archives_raise(tmp_path):
     reader = W.WarcReader({"path": str(tmp_path)})
     with pytest.raises(ValueError):
         list(reader.read(reader.partitions()[0]))
+
+
+def test_foreign_archives(spark, tmp_path):
+    """LF header ends, Latin-1 and folded headers, an HTTP block without an empty line, several gzip members."""
+    def record(headers, block):
+        return b"WARC/1.0\r\n" + headers + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    http = b"Content-Type: application/http; msgtype=response\r\n"
+    url = b"WARC-Type: response\r\nWARC-Target-URI: http://a/%d\r\n"
+    records = [
+        record(url % 1 + http, b"HTTP/1.1 200 OK\nA: b\n\nbody\r\n\r\nmore"),
+        record(url % 2 + http, b"HTTP/1.1 200 OK\r\n\r\n"),
+        record(url % 3 + http, b"no empty line"),
+        record(url % 4 + b"X-Note: caf\xe9\r\nX-Long: one\r\n\ttwo\r\n" + http, b"HTTP/1.1 200 OK\r\n\r\n\xff\n\n"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    rows = W.read_warc(spark, str(tmp_path)).collect()
+    assert [bytes(r.payload) for r in rows] == [b"body\r\n\r\nmore", b"", b"no empty line", b"\xff\n\n"]
+    reader = W.Records(gzip.open(tmp_path / "a.warc.gz"), False)
+    headers = []
+    while (h := reader.next_header()) is not None:
+        headers.append(h)
+        reader.skip(int(h["content-length"]))
+    assert headers[3]["x-note"] == "café" and headers[3]["x-long"] == "one two"
