@@ -61,6 +61,14 @@ def low(e: str) -> str:
     return f"lower(replace({e}, 'İ', 'i'))"
 
 
+# An ideograph and its marks, set apart: no joining character joins it, no word runs through it.
+IDEOGRAPH = r"[\p{Han}\p{Hiragana}]\p{M}*"
+
+
+def apart(e: str) -> str:
+    return f"regexp_replace({e}, '({IDEOGRAPH})', ' \\1 ', 'g')"
+
+
 def mark(e: str) -> str:
     out = f"regexp_replace({e}, '[\\x01-\\x06]', ' ', 'g')"
     for ch, code, classes in MARK_CHARS:
@@ -74,7 +82,7 @@ def mark(e: str) -> str:
 
 
 def raw_tokens(e: str) -> str:
-    return f"list_transform(regexp_extract_all({mark(low(e))}, '{WORD}'), lambda x: translate(x, {MARKERS_SQL}, {JOINERS_SQL}))"
+    return f"list_transform(regexp_extract_all({mark(apart(low(e)))}, '{WORD}'), lambda x: translate(x, {MARKERS_SQL}, {JOINERS_SQL}))"
 
 
 STOP = _list(STOP_WORDS_EN)
@@ -346,6 +354,21 @@ hits AS (
 )"""
 
 
+def snippet_bytes_sql(content: str, name: str, term: str) -> str:
+    """Windows of 100 bytes: the longest stretches of whole characters that fit on both sides."""
+    pat = f"'(?s)^(|.*?[^{WORDC}])\\Q' || translate({term}, {JOINERS_SQL}, {MARKERS_SQL}) || '\\E(?:[^{WORDC}]|$)'"
+    start = f"length(regexp_extract({mark(low(content))}, {pat}, 1))"
+    parts = f"""SELECT *, substring(content, 1, st) AS pre, substring(content, st + 1, length({term})) AS mid,
+    substring(content, st + length({term}) + 1) AS post FROM (SELECT *, {start} AS st FROM hits) h"""
+    before = "list_max(list_filter(range(0, 101), lambda k: k <= length(pre) AND strlen(right(pre, k)) <= 100))"
+    after = "list_max(list_filter(range(0, 101), lambda k: k <= length(post) AND strlen(left(post, k)) <= 100))"
+    body = f"right(pre, {before}) || mid || left(post, {after})"
+    win = f"""(CASE WHEN strlen(pre) > 100 THEN '...' ELSE '' END || {trim_ws(body)}
+    || CASE WHEN strlen(post) > 100 THEN '...' ELSE '' END)"""
+    return f"""SELECT query_id, rank, path, CASE WHEN {term} IS NOT NULL AND {is_snippet_text(name)}
+    AND coalesce({content}, '') <> '' THEN {win} ELSE '' END AS snippet FROM ({parts}) p"""
+
+
 def snippet_sql(content: str, name: str, term: str) -> str:
     marked = mark(low(content))
     mterm = f"translate({term}, {JOINERS_SQL}, {MARKERS_SQL})"
@@ -479,6 +502,10 @@ SELECT query_id, q, array_to_string(phrases, '|') AS phrases, CAST(len(phrases)
   p.page < greatest(ceil(coalesce(t.total_results, 0) / p.per_page), 1) AS has_next_page,
   p.page > 1 AS has_prev_page
 FROM prep p LEFT JOIN tot t USING (query_id)"""
+    out["snippets_bytes"] = batch + snippet_bytes_sql("content", "name", "lterm")
+    turned = "translate(coalesce(text, ''), " + ", ".join(map(_s, K.IDEOGRAPH_LETTERS)) + ")"
+    out["ideograph_tokens"] = f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, '|') AS tokens
+FROM (SELECT doc_id, {raw_tokens(turned)} AS t FROM documents) d"""
     out["snippets"] = batch + f"SELECT query_id, rank, path, {snippet_sql('content', 'name', 'lterm')} AS snippet FROM hits"
     out["search_deep_pages"] = _with(*CORPUS_SEARCH_PREFIX, queries_values(K.DEEP_QUERIES), search_ctes()) + HITS_COLS
     blank = [q for q in K.BLANK_QUERIES if not q[1].strip()]

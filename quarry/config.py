@@ -19,7 +19,7 @@ BOOST_REGULAR_PHRASE = 5.0
 BOOST_PREFIX = 1.5
 
 CONTENT_CAP_BYTES = 5 * 1024 * 1024  # an optional bound on the bytes of a file read for indexing
-SNIPPET_CONTEXT = 100  # characters on each side of the match
+SNIPPET_CONTEXT = 100  # characters (or bytes) on each side of the match
 PREFIX_MIN_BYTES = 3  # prefix clauses need a term of more than 2 bytes
 
 DEFAULT_PER_PAGE = 20
@@ -74,6 +74,8 @@ class SearchConfig:
     blank_matches_all: bool = False
     broadcast_max_rows: int = 100_000
     snippet_context: int = SNIPPET_CONTEXT
+    # What the context is counted in, "chars" or "bytes" (UTF-8).
+    snippet_unit: str = "chars"
     # Parts that a query's matches are dealt into; None: as many as the
     # session has shuffle partitions.
     ranking_splits: int | None = None

@@ -6,7 +6,9 @@ Tokeniser (T2, the "standard" analyser of ``name`` and ``content``): Unicode wor
 lower-cased, English stop words removed.  Word characters are letters, digits,
 combining marks and ``_``.  ``.``, ``'`` and ``’`` join letter-letter and
 digit-digit, ``:`` joins letter-letter, ``,`` and ``;`` join digit-digit;
-every other character splits.  So ``file1.txt`` gives ``file1, txt``,
+every other character splits.  An ideograph (Han, Hiragana) is a token of its
+own, with the combining marks that follow it, and joins nothing; Katakana and
+Hangul run like letters.  So ``file1.txt`` gives ``file1, txt``,
 ``main.go`` stays ``main.go`` and ``3.14`` stays ``3.14``.
 
 A joining character is first replaced by a one-character control marker, one
@@ -35,8 +37,18 @@ _JOIN_CONTEXT = {
     ";": ("N",),
 }
 
+# Code points of Hiragana and Han word characters.  Ranges, as a
+# script look-up for each character of a text costs far more.
+IDEOGRAPHS = (
+    r"\u3005\u3007\u3021-\u3029\u3038-\u303b\u3041-\u3096\u309d-\u309f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+    r"\x{1b001}-\x{1b11f}\x{20000}-\x{323af}"
+)
+IDEOGRAPH_RE = "[" + IDEOGRAPHS + r"]\p{M}*"
+
 WORD_CLASS = r"\p{L}\p{N}\p{M}_\x01-\x06"
-WORD_RE = "[" + WORD_CLASS + "]+"
+#: What a run is made of: word characters that are no ideographs.
+RUN_CLASS = WORD_CLASS + "&&[^" + IDEOGRAPHS + "]"
+WORD_RE = "[" + RUN_CLASS + "]+|" + IDEOGRAPH_RE
 
 # Unicode white space (Java's UNICODE_CHARACTER_CLASS makes \s Unicode aware).
 _TRIM_RE = r"(?U)^\s+|\s+$"
@@ -45,8 +57,9 @@ _WS_RUN_RE = r"(?U)\s+"
 
 def _joiner_pattern(ch: str) -> str:
     esc = "\\" + ch if ch in ".:" else ch
-    alts = [f"(?<=\\p{{{cls}}}){esc}(?=\\p{{{cls}}})" for cls in _JOIN_CONTEXT[ch]]
-    return "|".join(alts)
+    classes = [f"[\\p{{{cls}}}&&[^{IDEOGRAPHS}]]" for cls in _JOIN_CONTEXT[ch]]
+    # the character first, so that the classes are tried at its places only
+    return esc + "(?:" + "|".join(f"(?<={c}{esc})(?={c})" for c in classes) + ")"
 
 
 def trim_ws(col: Column) -> Column:

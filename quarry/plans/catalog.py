@@ -21,7 +21,7 @@ from quarry.config import (
 )
 from quarry.functions.format import format_size, iso_utc
 from quarry.functions.paths import base_name, is_index_text
-from quarry.functions.text import normalize_query, split_words
+from quarry.functions.text import normalize_query, raw_tokens, split_words
 from quarry.operators import listing as L
 from quarry.operators.analysis import build_doc_stats
 from quarry.operators.extract import assemble_documents
@@ -101,6 +101,9 @@ PHRASE_QUERIES = (
     (8, "thanedble the anea", 0, 0),
 )
 
+# Letters of the texts and what the ideograph query puts in their place: Han, Hiragana, Katakana, Hangul, a mark.
+IDEOGRAPH_LETTERS = ("bhkpqvwxz", "中の東タ한々京\u3099\U00020000")
+
 SINGLE_TERM = "license"
 SINGLE_PREFIX = "licen"
 SINGLE_FILENAME = "doc42.txt"
@@ -129,15 +132,24 @@ def _corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble_documents(C.texts_listing(spark, sf_dir))
 
 
-#: Index stores built in this process: one for each application, input and tree.
+#: Index stores built in this process: one for each application, state of the input table and tree.
 _STORES: dict = {}
 RUN_TIMES = (datetime(2029, 1, 1), datetime(2031, 1, 1), datetime(2032, 1, 1))
+#: The table behind each tree.
+_TREE_TABLES = {"corpus": "documents", "edited": "documents", "pages": "pages", "conversations": "conversations"}
+
+
+def _table_state(spark: SparkSession, sf_dir: str, table: str) -> tuple:
+    """Number, bytes and digest of a table's files: path, size and time of each; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/{table}.parquet")
+    seen = F.xxhash64("path", "length", "modificationTime")
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(seen)).first())
 
 
 def _store(spark: SparkSession, sf_dir: str, tree: str) -> IndexStore:
-    """The index store of a tree, built in the shared folder by its first user."""
+    """The index store of a tree, built in the shared folder by its first user and again when its table has changed."""
     _utc(spark)
-    key = (spark.sparkContext.applicationId, sf_dir, tree)
+    key = (spark.sparkContext.applicationId, sf_dir, tree, _table_state(spark, sf_dir, _TREE_TABLES[tree]))
     if key not in _STORES or _STORES[key].current() is None:
         store = IndexStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry/store-{tree}-{uuid.uuid4().hex}")
         if tree == "edited":
@@ -486,6 +498,23 @@ def q_snippets(spark, sf_dir):
     return _search(spark, sf_dir, BATCH_QUERIES, lambda found: found.hits.select("query_id", "rank", "path", "snippet"))
 
 
+def q_snippets_bytes(spark, sf_dir):
+    """Snippets of the batch's page hits, windows counted in bytes."""
+    config = SearchConfig(snippet_unit="bytes")
+    pick = lambda found: found.hits.select("query_id", "rank", "path", "snippet")
+    return _search(spark, sf_dir, BATCH_QUERIES, pick, config=config)
+
+
+def q_ideograph_tokens(spark, sf_dir):
+    """Every document's tokens, some of its letters turned into ideographs, kana, Hangul and marks."""
+    docs = C.read_table(spark, sf_dir, "documents")
+    text = F.translate(F.coalesce("text", F.lit("")), *IDEOGRAPH_LETTERS)
+    tokens = raw_tokens(text)
+    return docs.select(
+        "doc_id", F.size(tokens).cast("bigint").alias("n_tokens"), F.array_join(tokens, "|").alias("tokens")
+    )
+
+
 def q_search_deep_pages(spark, sf_dir):
     """Pages of one broad prefix that end at ranks 20, 1000, 1020 and 10020."""
     return _search(spark, sf_dir, DEEP_QUERIES, _hits)
@@ -596,6 +625,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_batch": q_search_batch,
     "page_details": q_page_details,
     "snippets": q_snippets,
+    "snippets_bytes": q_snippets_bytes,
+    "ideograph_tokens": q_ideograph_tokens,
     "search_deep_pages": q_search_deep_pages,
     "search_match_all": q_search_match_all,
     "search_pages": q_search_pages,

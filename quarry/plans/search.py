@@ -172,7 +172,7 @@ def search(queries: DataFrame, index: M.IndexTables, config: SearchConfig = Sear
         "score",
         "size",
         iso_utc(F.col("mod_time")).alias("mod_time"),
-        snippet(F.col("content"), F.col("name"), F.col("loc_term"), config.snippet_context).alias("snippet"),
+        snippet(F.col("content"), F.col("name"), F.col("loc_term"), config.snippet_context, config.snippet_unit).alias("snippet"),
     )
     rejected = checked.filter(F.col("error").isNotNull()).select("query_id", "query", "error")
     return SearchResult(

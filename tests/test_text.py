@@ -28,6 +28,10 @@ def _one(spark, expr, value, typ="string"):
         ("Ahoy, Harbour!", ["ahoy", "harbour"]),
         ("snake_case été Ünïcödé", ["snake_case", "été", "ünïcödé"]),
         ('{"berth": "quay", "depth": 9}', ["berth", "quay", "depth", "9"]),
+        ("東京タワーに行く", ["東", "京", "タワー", "に", "行", "く"]),
+        ("v2中文.md 한국어", ["v2", "中", "文", "md", "한국어"]),
+        ("中.文 か\u3099き 々 \U00020000\U00020001x", ["中", "文", "か\u3099", "き", "々", "\U00020000", "\U00020001", "x"]),
+        ("1,中 l'été中's", ["1", "中", "l'été", "中", "s"]),
         ("", []),
     ],
 )
@@ -75,6 +79,30 @@ def test_lower_case_keeps_lengths(spark):
     assert cut == "...rd İstanbul"
 
 
+def _snippet(spark, text, term, context, unit="chars"):
+    return _one(spark, lambda c: snippet(c, F.lit("a.txt"), F.lit(term), context, unit), text)
+
+
+def test_snippets_of_ideographs(spark):
+    assert _snippet(spark, "ab東京タワー", "京", 1) == "...東京タ..."
+    assert _snippet(spark, "タワー東ワ", "ワ", 1) == "...東ワ"  # not inside a run of kana
+    assert _snippet(spark, "か\u3099 か", "か", 1) == "...か"  # with a mark it is another token
+
+
+def _byte_window(text, term, context):
+    """Brute force: the window of bytes, without the characters that it cuts."""
+    raw, at = text.encode(), len(text[: text.index(term)].encode())
+    begin, end = max(0, at - context), min(len(raw), at + len(term.encode()) + context)
+    body = raw[begin:end].decode("utf-8", "ignore").strip()
+    return "..." * (begin > 0) + body + "..." * (end < len(raw))
+
+
+@pytest.mark.parametrize("context", range(9))
+def test_byte_windows(spark, context):
+    for text in ("tide", "aé tide éa", "€€€ tide €€€", "𠀀é tide é𠀀𠀀", "ééé\ntide", "x tide\t𠀀y€é"):
+        assert _snippet(spark, text, "tide", context, "bytes") == _byte_window(text, "tide", context), (text, context)
+
+
 def test_normalize_and_split(spark):
     assert _one(spark, normalize_query, "\t  LoW Tide \n") == "low tide"
     assert _one(spark, split_words, " a \t b\nc  ") == ["a", "b", "c"]
