@@ -14,13 +14,16 @@ Variants are shuffled by their leading bits, and a fingerprint is sent once to
 every prefix that any of its variants has; the variants below that prefix are
 written out where they meet.  For 64 bits and radius 4 that sends 1 + b + b(b-1)/2
 rows of one fingerprint for b leading bits instead of 2081 rows, and the same
-variants meet.  ``b`` follows from the number of fingerprints, so that a task
-holds a bounded number of variants at any size; within a task, dense prefixes
-are split further by the next bits.
+variants meet.  ``b`` follows from the number of fingerprints.  Where more than
+``PREFIX_MOST`` of them reach one prefix (near copies of one template), that
+prefix is dealt out again by its next bits, with the flips that are left, until
+none holds more; at full length a prefix is one variant, which at most 2081
+fingerprints have.  So what meets in one group is bounded at any density.
 
 Copies share a fingerprint and count once from the start; components are
 joined back to documents on the fingerprint, a join that Spark splits where
-one fingerprint holds many rows.
+one fingerprint holds many rows.  The hub of a large component is one key in the
+rounds that find components: joins on it are dealt out by measured counts.
 
 Cases: a null, empty or blank text has fingerprint zero, linked like any other;
 fewer words than ``words`` make one shingle; repeated rows are kept, each with
@@ -49,6 +52,11 @@ BLOCK = 65_536
 #: Variants of one prefix that are aimed at, and the most that are sorted at once.
 VARIANTS_AIM = 1 << 20
 VARIANTS_MOST = 1 << 22
+#: Fingerprints of one prefix that meet at once, and the bits by which a fuller prefix is dealt out.
+PREFIX_MOST = 1 << 15
+DEAL_BITS = 8
+#: Shares of a table above which a key's rows are dealt out: at most so many keys can be.
+HOT_SHARES = 256
 
 
 def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -108,7 +116,7 @@ def ball_size(width: int, most: int) -> int:
 def prefix_bits(n: int, half: int) -> int:
     """Leading bits by which ``n`` fingerprints are dealt out."""
     wanted = n * ball_size(BITS, half) / VARIANTS_AIM
-    return int(min(28, max(4, math.ceil(math.log2(max(wanted, 1))))))
+    return int(min(48, max(4, math.ceil(math.log2(max(wanted, 1))))))
 
 
 def meetings(low: np.ndarray, left: np.ndarray, who: np.ndarray, width: int):
@@ -162,21 +170,55 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius % 2:
         raise ValueError("the radius must be even: variants lie within half of it")
-    spark = fps.sparkSession
     half = radius // 2
     bits = prefix_bits(fps.count(), half)
+    sent = _dealt(fps.select("fp", F.lit(0).cast("long").alias("prefix"), F.lit(half).alias("left")), 0, bits, half)
+    found = []
+    while True:
+        # The fingerprints of a prefix, counted with partial sums; rows are written only where one is too full.
+        counts = sent.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+        most = counts.agg(F.max("n")).first()[0] or 0
+        if most <= PREFIX_MOST or bits == BITS:
+            return _met(sent, bits, radius, found).distinct()
+        total = sent.count()
+        with_n = hub_join(materialize(sent, "dealt"), counts, "prefix", "n", total, "fp")
+        with_n = materialize(with_n.select("fp", "prefix", "left", "n"), "counted")
+        found.append(_meet(with_n.filter(F.col("n") <= PREFIX_MOST), bits, radius))
+        step = min(DEAL_BITS, BITS - bits)
+        sent = _dealt(with_n.filter(F.col("n") > PREFIX_MOST), bits, step, half)
+        bits += step
+
+
+def _dealt(rows: DataFrame, bits: int, step: int, half: int) -> DataFrame:
+    """(fp, prefix, left): each row under every prefix of ``bits + step`` bits that its flips ``left`` reach from its prefix."""
+    rest = BITS - bits - step
+    masks = [int(m) for m in flips(step, half)]
+    reach = F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(m.bit_count()).alias("used")) for m in masks])
+    own = F.shiftrightunsigned("fp", rest).bitwiseAND(F.lit((1 << step) - 1).cast("long"))
+    out = rows.select("fp", "prefix", "left", F.explode(reach).alias("flip")).filter(F.col("flip.used") <= F.col("left"))
+    prefix = F.shiftleft("prefix", step).bitwiseOR(own.bitwiseXOR(F.col("flip.mask").cast("long")))
+    return out.select("fp", prefix.alias("prefix"), (F.col("left") - F.col("flip.used")).alias("left"))
+
+
+def _met(sent: DataFrame, bits: int, radius: int, found: list[DataFrame]) -> DataFrame:
+    """The pairs of ``sent`` and those found at shorter prefixes."""
+    out = _meet(sent, bits, radius)
+    for pairs in found:
+        out = out.unionByName(pairs)
+    return out
+
+
+def _meet(sent: DataFrame, bits: int, radius: int) -> DataFrame:
+    """(a, b): verified pairs of fingerprints that have a variant below the same prefix of ``bits`` bits."""
     rest = BITS - bits
-    masks = np.left_shift(flips(bits, half), np.uint64(rest)).view(np.int64).tolist()
-    sent = fps.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")).select(
-        F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("mask")), rest).alias("prefix"), "fp"
-    )
 
     def meet(key, table):
-        fp = np.unique(table.column("fp").to_numpy()).view(np.uint64)
-        need = np.bitwise_count((fp >> np.uint64(rest)) ^ np.uint64(key[0].as_py())).astype(np.int64)
+        order = np.argsort(table.column("fp").to_numpy().view(np.uint64), kind="stable")
+        fp = table.column("fp").to_numpy().view(np.uint64)[order]
+        left = table.column("left").to_numpy().astype(np.int64)[order]
         seen = [np.empty((0, 2), np.int64)]
         low = fp & np.uint64((1 << rest) - 1)
-        for i, j in meetings(low, half - need, np.arange(len(fp)), rest):
+        for i, j in meetings(low, left, np.arange(len(fp)), rest):
             seen.append(np.stack([i, j], axis=1))
             if sum(map(len, seen)) > 4 * len(fp) + BLOCK:
                 seen = [np.unique(np.concatenate(seen), axis=0)]
@@ -185,9 +227,25 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         near = np.bitwise_count(a ^ b) <= radius
         return pa.table({"a": a[near].view(np.int64), "b": b[near].view(np.int64)})
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = sent.repartition(parts, "prefix").groupBy("prefix").applyInArrow(meet, "a long, b long")
-    return pairs.distinct()
+    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(parts, "prefix").groupBy("prefix").applyInArrow(meet, "a long, b long")
+
+
+def hub_join(rows: DataFrame, keys: DataFrame, key: str, count: str, total: int, by: str) -> DataFrame:
+    """``rows`` joined to ``keys`` (unique in ``key``; ``count`` rows each), the rows of a hot key dealt out by ``by``.
+
+    With at most ``total`` rows, fewer than ``HOT_SHARES`` keys can hold more
+    than that share of them each: those are broadcast with the number of parts
+    that their rows are dealt into, and stand in ``keys`` once for each part.
+    """
+    share = max(1, -(-total // HOT_SHARES))
+    parts = F.ceil(F.col(count) / F.lit(share)).cast("int")
+    # a hot key at least: never the case for more keys than shares
+    hot = keys.filter(F.col(count) > share).select(F.col(key).alias("_hot"), parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int"))
+    spread = keys.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.drop("_hot", "_parts").join(spread, [key, "_part"]).drop("_part")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -197,11 +255,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     shared folder, and the rounds end when one changes nothing.
     """
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, most: int) -> DataFrame:
         both = pairs if not large else pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # pairs hold a > b, so that small-star sees the smaller neighbours of a only
-        low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        joined = both.join(low, "a")
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count(F.lit(1)).alias("n"))
+        joined = hub_join(both, low, "a", "n", most, "b")
         moved = joined.filter(F.col("b") > F.col("a")) if large else joined
         out = moved.select(F.col("b").alias("a"), F.col("low").alias("b"))
         if not large:
@@ -215,7 +273,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     pairs = materialize(pairs, "edges")
     was = state(pairs)
     for _ in range(most_rounds if was[0] else 0):
-        pairs = materialize(star(star(pairs, True), False), "edges")
+        # a star of n pairs reads them from both ends and leaves no more than that
+        pairs = materialize(star(pairs, True, 2 * was[0]), "edges")
+        pairs = materialize(star(pairs, False, 2 * was[0]), "edges")
         now = state(pairs)
         if now == was:
             break
@@ -229,12 +289,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def with_components(hashed: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Adds component_id to rows with doc_id and fp; one row for each row."""
     distinct = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    total = distinct.count()
     found = components(link_fingerprints(distinct, radius))
     rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "root", "component_id")
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = hub_join(rooted, named, "root", "n", total, "fp").select("fp", "root", "component_id")
     return hashed.join(named, "fp", "left")
 
 

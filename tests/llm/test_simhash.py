@@ -105,6 +105,50 @@ def test_every_pair_within_the_radius_is_connected(spark, monkeypatch, limit):
     assert roots(found) == roots(links)
 
 
+def linked(spark, fps, radius):
+    signed = [(int(f) - (1 << 64) if int(f) >> 63 else int(f),) for f in fps]
+    pairs = S.link_fingerprints(spark.createDataFrame(signed, "fp long"), radius).collect()
+    return [(p.a % (1 << 64), p.b % (1 << 64)) for p in pairs]
+
+
+def roots_of(fps, pairs):
+    root = {int(f): int(f) for f in fps}
+
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in pairs:
+        a, b = sorted((top(int(a)), top(int(b))))
+        root[b] = a
+    return {f: top(f) for f in root}
+
+
+@pytest.mark.parametrize("radius,most", [(0, 3), (2, 3), (4, 6)])
+def test_full_prefixes_are_dealt_out_again(spark, monkeypatch, radius, most):
+    """A dense cluster of one template among scattered fingerprints, with few or many rounds of further bits."""
+    rng = np.random.default_rng(radius + most)
+    flip = lambda f, k: f ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False)))
+    base = rng.integers(0, 2**64, 20, dtype=np.uint64)
+    dense = [flip(base[0], k) for k in (1, 2, 3, 4, 5, 7) for _ in range(25)]
+    fps = np.unique(np.array([*base, *dense, *(flip(f, k) for f in base for k in (1, 4, 5))], np.uint64))
+    monkeypatch.setattr(S, "PREFIX_MOST", most)
+    monkeypatch.setattr(S, "DEAL_BITS", 20)
+    got = linked(spark, fps, radius)
+    links = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if int(a ^ b).bit_count() <= radius]
+    assert {tuple(sorted(p)) for p in got} <= {tuple(sorted((int(a), int(b)))) for a, b in links}
+    assert roots_of(fps, got) == roots_of(fps, links)
+
+
+def test_hub_join_keeps_every_row_once(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_SHARES", 4)
+    rows = spark.createDataFrame([(0 if i < 700 else i, i) for i in range(1000)], "k long, v long")
+    keys = rows.groupBy("k").agg(S.F.max("v").alias("top"), S.F.count("*").alias("n"))
+    got = sorted((r.k, r.v, r.top) for r in S.hub_join(rows, keys, "k", "n", 1000, "v").collect())
+    assert got == [(0, i, 699) for i in range(700)] + [(i, i, i) for i in range(700, 1000)]
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(500, i) for i in range(200, 230)] + [(-5, 900), (7, 7)]
     got = {r.node: r.root for r in S.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
