@@ -75,11 +75,12 @@ FEATURES = (
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"[^\W\d_]+[@$*!0134579]+[^\W\d_]+")
+_MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]+[@$*!0134579]+[^\W\d_]+")
+_INSIDE = re.compile(r"[@$*!0134579](?=[^\W\d_])")  # in every mixed word
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])")
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
+_MARKS = re.compile(r"[!?.#$%&*][!?.#$%&*]+")  # around all repeated marks
 _REPEATED = re.compile(r"[!?.]{2,}|[#$%&*]{2,}")
-_CAPITAL_WORD = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÖØ-Þ]{2,}(?![^\W\d_])")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _PUNCTUATION = re.compile(r"[^\w\s]")
 _LEET = str.maketrans("@$!0134579*", "asioieastgu")
@@ -90,66 +91,74 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "~" for n in BEGINNINGS if len(word) > n)]
 
 
+class WordFacts(dict):
+    """Facts of a word as it is written, made once; None for the many words that say nothing.
+
+    (weight of the strongest term, insult, second person, capital letters, drawn-out letters, letters)
+    """
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+
+    def __missing__(self, word: str):
+        low = word.lower()
+        weight = max((self.weights.get(t, 0.0) for t in terms_of(low)), default=0.0)
+        capitals, drawn = len(_CAPITAL.findall(word)), len(_DRAWN.findall(word))
+        facts = (weight, low in INSULTS, low in SECOND_PERSON, capitals, drawn, len(word))
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = out = facts if any(facts[:5]) or len(word) == 1 else None
+        return out
+
+
 class Extractor:
     """Feature vectors, given the learned terms and their weights."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights = weights
-        self.cache: dict[str, tuple[float, bool, bool]] = {}
-
-    def look_up(self, words: list[str]) -> list[tuple[float, bool, bool]]:
-        """(weight of the strongest term, insult, second person) of each word."""
-        cache = self.cache
-        try:
-            return [cache[w] for w in words]
-        except KeyError:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            for w in set(words):
-                if w not in cache:
-                    weight = max((self.weights.get(t, 0.0) for t in terms_of(w)), default=0.0)
-                    cache[w] = (weight, w in INSULTS, w in SECOND_PERSON)
-            return [cache[w] for w in words]
+        self.facts = WordFacts(weights)
 
     def features(self, text: str | None) -> list[float]:
         text = text or ""
-        found = _WORD.findall(text.lower())
+        found = _WORD.findall(text)
         n = len(found)
         if not n:
             return [0.0] * len(FEATURES)
-        facts = self.look_up(found)
-        weights = [x[0] for x in facts if x[0]]
-        hits = [i for i, x in enumerate(facts) if x[0] or x[1]]
-        you = [i for i, x in enumerate(facts) if x[2]]
+        look_up = self.facts.__getitem__
+        told = [(i, x) for i, x in enumerate(map(look_up, found)) if x]
+        weights = [x[0] for _, x in told if x[0]]
+        hits = [i for i, x in told if x[0] or x[1]]
+        you = [i for i, x in told if x[2]]
         near = 0
         if hits and you:
             at = np.searchsorted(you, hits)
             marks = np.array([-10 * NEAR, *you, n + 10 * NEAR])
             near = int((np.minimum(np.array(hits) - marks[at], marks[at + 1] - np.array(hits)) <= NEAR).sum())
-        mixed = _MIXED.findall(text)
-        spaced = _SPACED.findall(text)
+        mixed = _MIXED.findall(text) if _INSIDE.search(text) else []
+        single = [i for i, x in told if x[5] == 1]
+        # Three single letters in a row are in every spaced word.
+        spaced = _SPACED.findall(text) if any(c - a == 2 for a, c in zip(single, single[2:], strict=False)) else []
         hidden = [m.lower().translate(_LEET) for m in mixed] + [re.sub(r"[^\w]|_", "", m).lower() for m in spaced]
         letters = sum(map(len, found))
         chars = len(text)
         return [
             math.log1p(n),
-            100 * sum(x[1] for x in facts) / n,
+            100 * sum(x[1] for _, x in told) / n,
             100 * len(weights) / n,
             100 * sum(w >= 2 * MIN_WEIGHT for w in weights) / n,
             max(weights, default=0.0),
             sum(weights) / n,
-            100 * sum(x[0] > 0 or x[1] for x in self.look_up(hidden)) / n,
+            100 * sum(bool(x and (x[0] > 0 or x[1])) for x in map(look_up, hidden)) / n,
             100 * near / n,
             100 * len(you) / n,
-            100 * len(_CAPITAL_WORD.findall(text)) / n,
-            100 * len(_CAPITAL.findall(text)) / letters,
+            100 * sum(x[3] == x[5] > 1 for _, x in told) / n,
+            100 * sum(x[3] for _, x in told) / letters,
             100 * text.count("!") / chars,
             100 * text.count("?") / chars,
             100 * len(_PUNCTUATION.findall(text)) / chars,
-            100 * len(_REPEATED.findall(text)) / n,
+            100 * sum(len(_REPEATED.findall(m)) for m in _MARKS.findall(text)) / n,
             100 * len(mixed) / n,
             100 * len(spaced) / n,
-            100 * len(_DRAWN.findall(text)) / n,
+            100 * sum(x[4] for _, x in told) / n,
             100 * sum(map(text.count, "0123456789")) / chars,
             letters / n,
         ]

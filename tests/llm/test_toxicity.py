@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -105,3 +106,136 @@ def test_one_class_and_no_labels(spark, make_docs, toxic, score):
     assert {r.score for r in got} == {score}
     none = T.toxicity(make_docs(rows), spark.createDataFrame([], LABELS), F.lit(True)).collect()
     assert {r.score for r in none} == {0.0}
+
+
+def letters_of(text):
+    """Runs of letters and where they start."""
+    runs, here = [], ""
+    for at, c in enumerate(text + " "):
+        if c.isalnum() and not c.isdecimal():
+            here += c
+        elif here:
+            runs.append((at - len(here), here))
+            here = ""
+    return runs
+
+
+def plain_features(text, weights):
+    """The features by loops over characters and words."""
+    text = text or ""
+    words = [w for _, w in letters_of(text)]
+    n, low = len(words), [w.lower() for _, w in letters_of(text)]
+    if not n:
+        return dict.fromkeys(T.FEATURES, 0.0)
+
+    def weight(w):
+        return max([weights.get(w, 0.0)] + [weights.get(w[:k] + "~", 0.0) for k in T.BEGINNINGS if len(w) > k])
+
+    def bad(w):
+        return weight(w) > 0 or w in T.INSULTS
+
+    told = [weight(w) for w in low if weight(w)]
+    you = [i for i, w in enumerate(low) if w in T.SECOND_PERSON]
+    near = sum(any(abs(i - j) <= T.NEAR for j in you) for i, w in enumerate(low) if bad(w))
+    mixed, taken = [], 0
+    for at, w in letters_of(text):
+        end = at + len(w)
+        to = end
+        while to < len(text) and text[to] in "@$*!0134579":
+            to += 1
+        after = [x for s, x in letters_of(text) if s == to]
+        if at >= taken and to > end and after:
+            mixed.append(text[at : to + len(after[0])])
+            taken = to + len(after[0])
+    drawn = 0
+    for w in words:
+        i = 0
+        while i + 2 < len(w):
+            same = w[i] == w[i + 1] == w[i + 2]
+            drawn += same
+            i += 3 if same else 1
+    marks, i = 0, 0
+    while i < len(text):
+        kind = next((k for k in ("!?.", "#$%&*") if text[i] in k), None)
+        to = i + 1
+        while kind and to < len(text) and text[to] in kind:
+            to += 1
+        marks += bool(kind) and to - i > 1
+        i = to
+    capital = [[c for c in w if "A" <= c <= "Z" or "À" <= c <= "Þ"] for w in words]
+    leet = dict(zip("@$!0134579*", "asioieastgu", strict=True))
+    size = sum(map(len, words))
+    return {
+        "log_words": math.log1p(n), "insults": 100 * sum(w in T.INSULTS for w in low) / n, "terms": 100 * len(told) / n,
+        "heavy_terms": 100 * sum(w >= 2 * T.MIN_WEIGHT for w in told) / n, "top_term": max(told, default=0.0),
+        "mean_term": sum(told) / n,
+        "hidden_insults": 100 * sum(bad("".join(leet.get(c, c) for c in m.lower())) for m in mixed) / n,
+        "near_you": 100 * near / n, "you": 100 * len(you) / n,
+        "capital_words": 100 * sum(len(c) == len(w) > 1 for c, w in zip(capital, words, strict=True)) / n,
+        "capital_letters": 100 * sum(map(len, capital)) / size, "exclamations": 100 * text.count("!") / len(text),
+        "questions": 100 * text.count("?") / len(text),
+        "punctuation": 100 * sum(not (c.isalnum() or c == "_" or c.isspace()) for c in text) / len(text),
+        "repeated_marks": 100 * marks / n, "mixed_words": 100 * len(mixed) / n, "spaced_words": 0.0,
+        "drawn_out": 100 * drawn / n, "digits": 100 * sum(c in "0123456789" for c in text) / len(text), "word_length": size / n,
+    }
+
+
+def test_features_against_loops():
+    weights = {"blorg": 3.0, "blor~": 2.0, "vequ~": 4.5, "stupid": 2.5}
+    x, rng = T.Extractor(weights), random.Random(3)
+    parts = ["you", "Blorgish", "IDIOT", "st0pid", "a1b2c", "id!ot", "sooo", "EEEE", "élan", "ÀÉ", "vequel", "tree", "the", "x_y",
+             "12", "!!", "?!.", "$$", ".", "#*!!", "-", "_", "naïve", "ein", "dich", "a$$hole", "ß", "日本日日日"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "  ", ", ", "! ", "\n", ""]) for _ in range(rng.randint(0, 40)))
+        if T._SPACED.search(text):
+            continue  # the loops leave spaced words out; test_features has one
+        got, want = named(x.features(text)), plain_features(text, weights)
+        assert got == pytest.approx(want), text
+
+
+def test_whole_result_against_plain_steps(spark, make_docs):
+    """Terms, features, trees and calibration by plain loops, for every row of the result."""
+    rows, labels = corpus(9, 240)
+    held = fold(F.col("doc_id"), 5) == 0
+    docs = make_docs([*rows, (240, None), (241, "You IDIOT, you zogblat!")])
+    frame = spark.createDataFrame(labels, LABELS)
+    sample = T.labelled_sample(docs.select("doc_id", "text"), frame, ~held)
+    halves = {r.doc_id: (r.half, r.toxic) for r in sample.collect()}
+    assert set(halves) == {r.doc_id for r in docs.filter(~held).collect()} - {240, 241}
+    texts = dict([*rows, (240, None), (241, "You IDIOT, you zogblat!")])
+
+    def terms(ids):
+        counts = {}
+        for i in ids:
+            for t in {t for _, w in letters_of(texts[i].lower()) for t in T.terms_of(w)}:
+                counts.setdefault(t, [0, 0])[halves[i][1]] += 1
+        size = [sum(halves[i][1] == t for i in ids) for t in (0, 1)]
+        weight = {t: math.log((b + 0.5) / (size[1] + 1)) - math.log((a + 0.5) / (size[0] + 1)) for t, (a, b) in counts.items()}
+        return {t: round(w, 6) for t, w in weight.items() if counts[t][1] >= T.MIN_TOXIC and w >= T.MIN_WEIGHT}
+
+    def vector(i, weights):
+        return list(plain_features(texts[i], weights).values())
+
+    ids = sorted(halves, key=str)
+    lexicon = [terms([i for i in ids if halves[i][0] == h]) for h in (0, 1)]
+    whole = terms(ids)
+    assert T.learn_terms(sample) == [lexicon[0], lexicon[1], whole]
+    x = np.array([vector(i, lexicon[1 - halves[i][0]]) for i in ids])
+    y, half = np.array([halves[i][1] for i in ids], float), np.array([halves[i][0] for i in ids])
+
+    def walk(trees, v):
+        raw = trees.start
+        for (features, limits), leaf in zip(trees.splits, trees.leaves, strict=True):
+            node = 0
+            for feature, limit in zip(features, limits, strict=True):
+                node = 2 * node + int(v[feature[node]] > limit[node])
+            raw += leaf[node]
+        return raw
+
+    fits = [T.Boosted().fit(x[half != h], y[half != h]) for h in (0, 1)]
+    knots = T.isotonic(np.array([walk(fits[h], v) for h, v in zip(half, x, strict=True)]), y)
+    last = T.Boosted().fit(x, y)
+    want = {i: min(max(float(np.interp(walk(last, vector(i, whole)), *knots)), 0.0), 1.0) for i in texts}
+    got = {r.doc_id: r for r in T.toxicity(docs, frame, ~held).collect()}
+    assert {i: r.score for i, r in got.items()} == pytest.approx(want, abs=1e-6)
+    assert all(r.predicted == int(r.score >= 0.5) for r in got.values())
