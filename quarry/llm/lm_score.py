@@ -8,10 +8,18 @@ space; a text's probability is the product over its words and its end.
 
 The vocabulary file gives the pieces and a best segmentation; its own scores
 are merge ranks, not probabilities, so the pieces' probabilities come from
-the training documents: counts of pieces in the best segmentations of all
-training words, with ``ALPHA`` added to each, and the end symbol counted once
-for each training document.  Characters without a piece are spelled by byte
-pieces.
+the training documents.  They start from counts of pieces in the file's best
+segmentations of all training words; then, ``ROUNDS`` times, a forward and a
+backward recursion over each distinct training word give every piece its
+expected count over all segmentations, weighted by their probabilities so far.
+``ALPHA`` is added to each count, and the end symbol counts once for each
+training document.  Characters without a piece are spelled by byte pieces.
+Expected counts are summed as whole numbers of ``1 / UNIT``, so that they do not
+hang on how the words were dealt to tasks.
+
+A batch of words is one ragged lattice in numpy: the pieces that start at every
+place are found by walking a sorted table of the vocabulary's tree for all
+places together, and each step of a recursion takes all words at one place.
 
 The base score is an add-one unigram score of whole words.
 
@@ -44,6 +52,11 @@ HEAD = 150_000
 COUNT_BINS = 8
 #: Added to each piece's count.
 ALPHA = 0.1
+#: Rounds of expected counts, and the parts of one that are summed.
+ROUNDS = 2
+UNIT = 1 << 16
+#: Characters of the words in one ragged lattice (a longer word has one of its own).
+LATTICE_CHARS = 100_000
 #: Distinct words that a task holds before it passes on its counts.
 HELD_WORDS = 250_000
 #: Marks the start of a word in the vocabulary.
@@ -96,7 +109,30 @@ class Vocabulary:
         special = [m.is_control(i) or m.is_unknown(i) or m.is_unused(i) for i in range(n)]
         self.byte_ids = {int(m.id_to_piece(i)[3:5], 16): i for i in range(n) if m.is_byte(i)}
         self.pieces = {m.id_to_piece(i): i for i in range(n) if not special[i] and not m.is_byte(i)}
-        self.longest = max(map(len, self.pieces))
+        self._plant()
+
+    def _plant(self):
+        """The tree of the pieces' characters: sorted (node, character) keys, next nodes, pieces that end in a node."""
+        nodes: dict[int, int] = {}
+        ends = [-1]
+        for piece, i in self.pieces.items():
+            at = 0
+            for char in piece:
+                key = at << 21 | ord(char)
+                if key not in nodes:
+                    nodes[key] = len(ends)
+                    ends.append(-1)
+                at = nodes[key]
+            ends[at] = i
+        self.keys = np.array(sorted(nodes), np.int64)
+        self.next = np.array([nodes[k] for k in self.keys.tolist()], np.int64)
+        self.ends = np.array(ends, np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes reached by one more character, -1 where no piece goes on so."""
+        key = node << 21 | char
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.next[at], -1)
 
     def segment(self, words: list[str]) -> list[list[int]]:
         """The vocabulary's own best segmentation of each word."""
@@ -133,55 +169,144 @@ def piece_counts(words: DataFrame, path: str) -> dict[int, int]:
 
 
 class Lattice:
-    """Log probabilities of pieces and the forward recursion over a word."""
-
-    def __init__(self, v: Vocabulary, log_p: np.ndarray):
-        self.longest = v.longest
-        self.edges = {piece: float(log_p[i]) for piece, i in v.pieces.items()}
-        self.byte_log_p = {b: float(log_p[i]) for b, i in v.byte_ids.items()}
-
-    def spelled(self, char: str) -> float:
-        """A character without a piece, by byte pieces."""
-        return sum(self.byte_log_p[b] for b in char.encode("utf-8"))
-
-    def log_probability(self, word: str) -> float:
-        """Natural log of the sum over all segmentations of the word's lattice."""
-        s = START + word
-        edges, longest, exp, log = self.edges.get, self.longest, math.exp, math.log
-        alpha = [0.0]
-        for j in range(1, len(s) + 1):
-            terms = []
-            for i in range(max(0, j - longest), j):
-                e = edges(s[i:j])
-                if e is not None:
-                    terms.append(alpha[i] + e)
-            if s[j - 1] not in self.edges:
-                terms.append(alpha[j - 1] + self.spelled(s[j - 1]))
-            top = max(terms)
-            alpha.append(top + log(sum(exp(t - top) for t in terms)) if len(terms) > 1 else top)
-        return alpha[-1]
-
-
-def train(words: DataFrame, documents: int, path: str) -> tuple[list[float], float]:
+    """The pieces at all places of some words, as edges of one ragged graph.
+
+    A word of n characters (its start mark included) has n + 1 slots, which follow
+    those of the word before.  ``ids`` beyond the vocabulary stand for the
+    characters ``odd``, which have no piece.
+    """
+
+    def __init__(self, v: Vocabulary, words: list[str]):
+        self.v = v
+        marked = [START + w for w in words]
+        size = np.fromiter(map(len, marked), np.int64, len(marked))
+        chars = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+        self.last = self.first + size
+        self.slots = int(size.sum()) + len(size)
+        word = np.repeat(np.arange(len(size)), size)
+        slot = np.arange(len(chars)) + word  # of each character
+        left = self.last[word] - slot  # characters from here to the word's end
+        found = []
+        at, node, n = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
+        while len(at):
+            node = v.step(node, chars[at + n])
+            at, node = at[node >= 0], node[node >= 0]
+            n += 1
+            here = v.ends[node] >= 0
+            found.append((at[here], np.full(here.sum(), n), v.ends[node[here]]))
+            more = left[at] > n
+            at, node = at[more], node[more]
+        plain = np.zeros(len(chars), bool)
+        plain[found[0][0]] = True
+        at = np.flatnonzero(~plain)
+        self.odd, which = np.unique(chars[at], return_inverse=True)
+        found.append((at, np.ones(len(at), np.int64), v.size + which))
+        at, n, self.ids = (np.concatenate(c) for c in zip(*found, strict=True))
+        self.start, self.end, self.word = slot[at], slot[at] + n, word[at]
+        self.offset = self.start - self.first[self.word]
+
+    def weights(self, log_p: np.ndarray) -> np.ndarray:
+        """Log probability of every edge."""
+        spelled = [sum(log_p[self.v.byte_ids[b]] for b in chr(c).encode("utf-8")) for c in self.odd.tolist()]
+        return np.concatenate([log_p, spelled])[self.ids]
+
+    def _swept(self, weight: np.ndarray, origin: np.ndarray, source: np.ndarray, target: np.ndarray, step: np.ndarray):
+        """Log sums over all paths from ``origin`` to every slot; edges are taken by rising ``step``, a word's own count."""
+        total = np.full(self.slots, -np.inf)
+        total[origin] = 0.0
+        order = np.lexsort((target, step))
+        step, target, source, weight = step[order], target[order], source[order], weight[order]
+        group = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])  # edges into one slot
+        bounds = np.flatnonzero(np.r_[True, step[group[1:]] != step[group[:-1]], True])
+        limits = np.append(group, len(order))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            lo, hi = limits[a], limits[b]
+            total[target[group[a:b]]] = np.logaddexp.reduceat(total[source[lo:hi]] + weight[lo:hi], group[a:b] - lo)
+        return total
+
+    def forward(self, weight: np.ndarray) -> np.ndarray:
+        return self._swept(weight, self.first, self.start, self.end, self.end - self.first[self.word])
+
+    def backward(self, weight: np.ndarray) -> np.ndarray:
+        return self._swept(weight, self.last, self.end, self.start, self.last[self.word] - self.start)
+
+    def log_probabilities(self, log_p: np.ndarray) -> np.ndarray:
+        """Natural log of the sum over all segmentations of each word."""
+        return self.forward(self.weights(log_p))[self.last]
+
+    def expected(self, log_p: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Expected counts of the vocabulary's pieces in the words taken ``times`` each, in parts of ``1 / UNIT``."""
+        weight = self.weights(log_p)
+        to, since = self.forward(weight), self.backward(weight)
+        share = np.exp(to[self.start] + weight + since[self.end] - to[self.last[self.word]])
+        parts = np.rint(share * times[self.word] * UNIT).astype(np.int64)
+        total = np.zeros(self.v.size + len(self.odd), np.int64)
+        np.add.at(total, self.ids, parts)
+        for c, n in zip(self.odd.tolist(), total[self.v.size :], strict=True):
+            for b in chr(c).encode("utf-8"):
+                total[self.v.byte_ids[b]] += n
+        return total[: self.v.size]
+
+
+def lattices(v: Vocabulary, words: list[str]):
+    """(first word, word after the last, lattice) of successive words, few enough to hold at once."""
+    at, chars = 0, 0
+    for i, w in enumerate(words):
+        if i > at and chars + len(w) > LATTICE_CHARS:
+            yield at, i, Lattice(v, words[at:i])
+            at, chars = i, 0
+        chars += len(w)
+    if words:
+        yield at, len(words), Lattice(v, words[at:])
+
+
+def expected_counts(words: DataFrame, log_p: np.ndarray, path: str) -> dict[int, float]:
+    """Expected counts of pieces over the training words; at most one entry for each piece of the file."""
+    shared = words.sparkSession.sparkContext.broadcast(log_p.tolist())
+
+    def count(batches):
+        v, p = vocabulary(path), np.array(shared.value)
+        total = np.zeros(v.size, np.int64)
+        for b in row_slices(batches, 8192):
+            times = b.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, lattice in lattices(v, [w.decode("utf-8") for w in b.column(0).to_pylist()]):
+                total += lattice.expected(p, times[lo:hi])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(at), "n": pa.array(total[at])})
+
+    found = words.filter("c > 0").select("word", "c").mapInArrow(count, "piece long, n long")
+    return {r["piece"]: r["n"] / UNIT for r in found.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+
+
+def train(words: DataFrame, documents: int, path: str) -> tuple[np.ndarray, float]:
     """log probabilities of all pieces, and of the end symbol."""
-    v = vocabulary(path)
-    counts = np.full(v.size, ALPHA)
-    for i, n in piece_counts(words, path).items():
-        counts[i] += n
-    end = documents + ALPHA
-    total = counts.sum() + end
-    return np.log(counts / total).tolist(), math.log(end / total)
+    size, end = vocabulary(path).size, documents + ALPHA
 
+    def probabilities(found: dict[int, float]) -> tuple[np.ndarray, float]:
+        counts = np.full(size, ALPHA)
+        for i, n in found.items():
+            counts[i] += n
+        total = counts.sum() + end
+        return np.log(counts / total), math.log(end / total)
 
-def score_words(words: DataFrame, log_p: list[float], path: str) -> DataFrame:
+    log_p, end_log_p = probabilities(piece_counts(words, path))
+    for _ in range(ROUNDS):
+        log_p, end_log_p = probabilities(expected_counts(words, log_p, path))
+    return log_p, end_log_p
+
+
+def score_words(words: DataFrame, log_p: np.ndarray, path: str) -> DataFrame:
     """Adds ``lattice``: log10 of each distinct word's marginal probability."""
-    shared = words.sparkSession.sparkContext.broadcast(log_p)
+    shared = words.sparkSession.sparkContext.broadcast(log_p.tolist())
 
     def score(batches):
-        lattice = Lattice(vocabulary(path), np.array(shared.value))
-        for b in row_slices(batches, 4096):
-            out = [lattice.log_probability(w.decode("utf-8")) / math.log(10) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=["word", "n", "c", "lattice"])
+        v, p = vocabulary(path), np.array(shared.value)
+        for b in row_slices(batches, 8192):
+            texts = [w.decode("utf-8") for w in b.column(0).to_pylist()]
+            out = [x.log_probabilities(p) / math.log(10) for _, _, x in lattices(v, texts)]
+            out = pa.array(np.concatenate(out) if out else [], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, out], names=["word", "n", "c", "lattice"])
 
     return words.select("word", "n", "c").mapInArrow(score, "word binary, n long, c long, lattice double")
 
