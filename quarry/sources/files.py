@@ -9,7 +9,8 @@ Two loaders produce the listing contract (``quarry.schema.LISTING``):
 - ``scan_tree``: a Python data source that walks a tree mounted on every
   machine, split by folders of the level that has enough of them, without
   following linked folders and without dropping '_' names.  It lists metadata
-  only, with an error row for each folder that cannot be listed;
+  only, with an error row for each folder that cannot be listed; excluded and
+  hidden folders may be left closed, so that what lies below is never listed;
   ``with_content`` then reads the rows that need it, in parallel tasks, and
   records per-file errors instead of failing the run.  For other file systems
   take ``scan_binary``.
@@ -17,7 +18,9 @@ Two loaders produce the listing contract (``quarry.schema.LISTING``):
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +29,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarry.functions.paths import base_name
 
+#: Error of a folder that was left closed on request.  As with any folder that was not
+#: listed, nothing indexed below it counts as deleted.
+CLOSED = "not opened: excluded or hidden"
+
 TREE_SCHEMA = "path string, name string, is_dir boolean, size bigint, mod_time timestamp, error string"
 
 
@@ -56,13 +63,22 @@ class _TreeReader(DataSourceReader):
     What was opened on the way is listed without its sub-folders; the folders
     of the last level are walked whole, each in a partition of its own.  A
     folder that cannot be listed gives a row with ``error``; a root that cannot
-    be listed fails the scan.
+    be listed fails the scan.  A folder in ``excludes`` (a JSON list), or a hidden
+    one with ``skip_hidden``, gives such a row too and is opened neither here nor
+    in a task.
     """
 
     def __init__(self, options):
         self.root = os.path.normpath(options["path"])
         self.splits = int(options.get("splits", 64))
         self.depth = int(options.get("depth", 4))
+        self.excludes = {os.path.normpath(e) for e in json.loads(options.get("excludes", "[]"))}
+        self.skip_hidden = options.get("skip_hidden", "false") == "true"
+
+    def _closed(self, folder):
+        if folder in self.excludes:
+            return True
+        return self.skip_hidden and folder != self.root and os.path.basename(folder).startswith(".")
 
     @staticmethod
     def _folders(top):
@@ -70,12 +86,14 @@ class _TreeReader(DataSourceReader):
             return sorted(e.path for e in it if e.is_dir(follow_symlinks=False))
 
     def partitions(self):
-        opened, level = [self.root], self._folders(self.root)
+        opened, level = [self.root], [] if self._closed(self.root) else self._folders(self.root)
         for _ in range(self.depth):
             if not level or len(level) >= self.splits:
                 break
             below = []
             for folder in level:
+                if self._closed(folder):
+                    continue
                 try:
                     below += self._folders(folder)
                 except OSError:
@@ -98,6 +116,10 @@ class _TreeReader(DataSourceReader):
         while pending:
             folder = pending.pop()
             row = self._row(folder, True)
+            if self._closed(folder):
+                if folder != self.root:
+                    yield (*row[:5], CLOSED)
+                continue
             try:
                 with os.scandir(folder) as it:
                     entries = sorted((e.path, e.is_dir(follow_symlinks=False)) for e in it)
@@ -127,10 +149,16 @@ class FileTreeSource(DataSource):
         return _TreeReader(self.options)
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Metadata listing of every entry under ``root`` (files and folders)."""
+def scan_tree(spark: SparkSession, root: str, excludes: Sequence[str] = (), skip_hidden: bool = False) -> DataFrame:
+    """Metadata listing of every entry under ``root`` (files and folders).
+
+    Nothing below an ``excludes`` folder, or with ``skip_hidden`` below a folder whose
+    name begins with a dot, is listed; such a folder has a row with error ``CLOSED``.
+    An excluded root gives no rows.
+    """
     spark.dataSource.register(FileTreeSource)
-    return spark.read.format(FileTreeSource.name()).option("path", root).load()
+    read = spark.read.format(FileTreeSource.name()).option("path", root)
+    return read.option("excludes", json.dumps(list(excludes))).option("skip_hidden", str(skip_hidden).lower()).load()
 
 
 #: Bytes of file content that a task holds before it passes them on.
@@ -177,4 +205,4 @@ def with_content(listing: DataFrame, want, cap: int | None = None) -> DataFrame:
     return src.mapInPandas(_read_capped(cap), out_schema)
 
 
-__all__ = ["scan_binary", "scan_tree", "with_content", "FileTreeSource"]
+__all__ = ["CLOSED", "scan_binary", "scan_tree", "with_content", "FileTreeSource"]

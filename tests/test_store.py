@@ -131,3 +131,35 @@ def test_a_cap_marks_what_it_cuts(spark, made):
     store.update(scan_tree(spark, root), root, run_ts=T[0])
     got = {os.path.basename(r.path): (r.content, r.truncated) for r in store.documents().collect()}
     assert got["a.txt"] == ("lantern ", True) and got["d.md"] == ("rope", False)
+
+
+def test_closed_folders_are_never_opened(spark, made, monkeypatch):
+    from quarry.sources import files
+
+    root, _ = made
+    os.makedirs(os.path.join(root, ".git", "objects"))
+    deep = os.path.join(root, "deep")
+    opened = []
+    scandir = os.scandir
+    monkeypatch.setattr(files.os, "scandir", lambda top: opened.append(top) or scandir(top))
+    for splits in ("1", "2", "100"):
+        options = {"path": root, "splits": splits, "skip_hidden": "true", "excludes": f'["{deep}/"]'}
+        reader = files._TreeReader(options)
+        rows = {r[0]: r[5] for p in reader.partitions() for r in reader.read(p)}
+        assert rows[deep] == rows[os.path.join(root, ".git")] == files.CLOSED
+        assert not any(p.startswith((deep + "/", os.path.join(root, ".git/"))) for p in rows)
+    assert opened and set(opened) & {deep, os.path.join(root, ".git")} == set()
+    everything = files._TreeReader({"path": root})
+    assert deep + "/er/d.md" in {r[0] for p in everything.partitions() for r in everything.read(p)}
+    none = files._TreeReader({"path": root, "excludes": f'["{root}"]'})
+    assert [r for p in none.partitions() for r in none.read(p)] == []
+
+
+def test_a_later_exclude_keeps_documents(spark, made):
+    root, store = made
+    n = store.doc_count()
+    r = store.update(scan_tree(spark, root, [os.path.join(root, "deep")], skip_hidden=True), root, run_ts=T[1])
+    assert r["deleted"] == 0 and store.doc_count() == n
+    os.remove(os.path.join(root, "a.txt"))
+    r = store.update(scan_tree(spark, root, [os.path.join(root, "deep")]), root, run_ts=T[2])
+    assert r["deleted"] == 1 and store.doc_count() == n - 1
