@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from quarry.config import IndexConfig
-from quarry.operators.analysis import build_postings, build_term_stats
+from quarry.operators.analysis import build_blocks, build_term_stats, posting_rows
 from quarry.operators.extract import assemble_documents
 from quarry.operators.listing import drop_excluded, visible_files
 from quarry.operators.match import IndexTables
@@ -27,8 +27,9 @@ def listing_documents(
 
 
 def build_index(documents: DataFrame, config: IndexConfig = IndexConfig(), n_docs: int | None = None) -> IndexTables:
-    postings = build_postings(documents, config.term_buckets)
-    term_stats = build_term_stats(postings)
+    blocks = build_blocks(documents, config.term_buckets)
+    postings = posting_rows(blocks)
+    term_stats = build_term_stats(blocks)
     if n_docs is None:
         n_docs = documents.select("id").count()
     return IndexTables(
