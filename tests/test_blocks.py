@@ -30,7 +30,7 @@ def test_a_row_holds_many_postings(spark, scratch):
     stored = store._seg_read(v.segments[0], "postings", S.BLOCKS).filter("field = 'content'").collect()
     at = {r.term: r for r in stored}
     # Once each: 60 "harbour" in one row, though its postings are 60.
-    assert len(stored) == len(at) == 1 + 3 + 60 and at["harbour"].n == len(at["harbour"].docs) == 60
+    assert len(stored) == len(at) == 1 + 3 + 60 and at["harbour"].n == len(at["harbour"].doc_ids) == 60
     flat = rows(store.postings())
     assert flat == rows(A.build_postings(store.documents(), v.term_buckets)) and len(flat) == 5 * 60 + 60
     assert {(r.field, r.term): r.df for r in store.term_stats().collect()}[("content", "harbour")] == 60
@@ -61,11 +61,11 @@ def test_groups_and_batches_of_any_size(monkeypatch, tokens, postings):
     ids = [f"/{i}" for i in range(len(texts) - 2)] + [None, "/last"]
     batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.string()), pa.array(lists, pa.list_(pa.string()))], ["doc_id", "text", "tokens"])
     out = [r for b in A._blocks(iter([batch.slice(0, 5), batch.slice(5)])) for r in b.to_pylist()]
-    assert all(r["n"] == len(r["docs"]) > 0 for r in out)
-    found = sorted((r["term"], d["doc_id"], d["tf"], d["dl"], d["positions"]) for r in out for d in r["docs"])
-    expected = [("hot", "/last", 2, 3, [1, 3]), ("Ж", "/last", 1, 3, [0])]
+    assert all(r["n"] == len(r["doc_ids"]) == len(r["dls"]) == len(r["ends"]) > 0 and r["ends"][-1] == len(r["positions"]) for r in out)
+    found = sorted((r["term"], d, dl, r["positions"][a:z]) for r in out for d, dl, a, z in zip(r["doc_ids"], r["dls"], [0, *r["ends"]], r["ends"]))
+    expected = [("hot", "/last", 3, [1, 3]), ("Ж", "/last", 3, [0])]
     for i in range(9):
         d = f"/{i + 2}"
-        expected += [("hot", d, 2, 4, [0, 2]), (f"w{i % 4}", d, 1, 4, [1]), (f"end{i}", d, 1, 4, [4])]
+        expected += [("hot", d, 4, [0, 2]), (f"w{i % 4}", d, 4, [1]), (f"end{i}", d, 4, [4])]
     assert found == sorted(expected)
     assert not [*A._blocks(iter([batch.slice(0, 2), batch.slice(0, 0)]))]
